@@ -43,10 +43,10 @@ def flag_columns_file(samples: DataFrame) -> DataFrame:
 
 def flag_columns_model(samples: DataFrame) -> DataFrame:
     """Name keyword first, then value patterns anywhere in a value, in listed order."""
-    by_value = [
-        F.when(F.exists("values", lambda v, p=p: v.rlike(p)), F.lit(k))
-        for k, p in rules.PII_VALUES_MODEL.items()
-    ]
+    def found(pattern):
+        return F.exists("values", lambda v: v.rlike(pattern))
+
+    by_value = [F.when(found(p), F.lit(k)) for k, p in rules.PII_VALUES_MODEL.items()]
     kind = F.coalesce(name_pii_type(F.col("column")), *by_value)
     return samples.select(
         "table", "column", kind.isNotNull().alias("pii_flag"), kind.alias("pii_type")

@@ -4,6 +4,7 @@ import importlib
 
 MODULES = [
     "columns",
+    "profiling",
 ]
 
 

@@ -82,10 +82,10 @@ def format_file_size(t):
     "format_duration",
     """WITH s AS (SELECT event_id, value::DECIMAL(12,2) * CASE event_id % 4 WHEN 0 THEN 0.01 WHEN 1 THEN 1
                     WHEN 2 THEN 10 ELSE 200 END AS d FROM events)
-       SELECT event_id, CASE WHEN d < 1 THEN round(d * 1000, 0)::BIGINT || 'ms'
+       SELECT event_id, CASE WHEN d < 1 THEN round(d::DOUBLE * 1000, 0)::BIGINT || 'ms'
          WHEN d < 60 THEN round(d, 1)::DECIMAL(12,1) || 's'
-         WHEN d < 3600 THEN (d // 60)::BIGINT || 'm ' || floor(d % 60)::BIGINT || 's'
-         ELSE (d // 3600)::BIGINT || 'h ' || floor((d % 3600) / 60)::BIGINT || 'm' END AS duration
+         WHEN d < 3600 THEN floor(d::DOUBLE / 60)::BIGINT || 'm ' || floor(d::DOUBLE % 60)::BIGINT || 's'
+         ELSE floor(d::DOUBLE / 3600)::BIGINT || 'h ' || floor((d::DOUBLE % 3600) / 60)::BIGINT || 'm' END AS duration
        FROM s""",
 )
 def format_duration(t):
