@@ -5,6 +5,7 @@ import importlib
 MODULES = [
     "columns",
     "profiling",
+    "dictionary",
 ]
 
 
