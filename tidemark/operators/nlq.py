@@ -1,6 +1,14 @@
-"""Questions and entities."""
+"""Questions, entities, sessions, feedback and templates."""
 
-from pyspark.sql import Column, functions as F
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from tidemark import rules
+from tidemark.functions.scalar import contains_any, first_rule
+from tidemark.operators.blocks import keep_topk
+
+ANCHOR = 4
 
 
 def confidence_level(score: Column) -> Column:
@@ -10,3 +18,175 @@ def confidence_level(score: Column) -> Column:
         .when(score >= 0.5, "low")
         .otherwise("uncertain")
     )
+
+
+def _grams(c: str) -> Column:
+    """All distinct substrings of 1..ANCHOR characters."""
+    def of(n: int) -> Column:
+        count = F.length(c) - (n - 1)
+        return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(F.col(c), i, F.lit(n)))
+                      ).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[of(n) for n in range(1, ANCHOR + 1)]))
+
+
+def extract_entities(questions: DataFrame, names: DataFrame, limit: int = rules.MAX_ENTITIES) -> DataFrame:
+    """Catalog names inside each question. ``questions``: question_id, question; ``names``: type, name, seq.
+
+    Containment is found by an equi-join: a name is keyed by its first four characters, a question
+    by all of its four-character (and, for short names, shorter) substrings, and a hit is then
+    verified. Every containment shares that key, so nothing is missed and no pair table is built.
+    Texts and names are made distinct first.
+    """
+    conf = F.when(F.col("type") == "table", 0.8).when(F.col("type") == "column", 0.7).otherwise(0.6)
+    n = names.where(F.length("name") > 0).withColumn("confidence", conf)
+    first = n.groupBy("name").agg(F.min_by(F.struct("type", "confidence", "seq"), F.struct((-F.col("confidence")).alias("c"), "seq")).alias("b"))
+    keyed = first.select("name", F.lower("name").alias("low"), "b.*").withColumn("key", F.substring("low", 1, ANCHOR))
+    texts = questions.select("question").where(F.length("question") > 0).distinct().withColumn("text", F.lower("question"))
+    parts = texts.select("question", "text", F.explode(_grams("text")).alias("key"))
+    hits = parts.join(keyed, "key").where(F.contains("text", F.col("low")))
+    top = keep_topk(hits, ["question"], [F.desc("confidence"), F.col("seq"), F.col("name")], limit)
+    top = top.select("question", F.col("name").alias("entity"), "type", "confidence",
+                     (F.instr("text", F.col("low")) - 1).alias("position"), "rank")
+    return questions.select("question_id", "question").join(top, "question").drop("question")
+
+
+def validate_entities(raw: DataFrame, threshold: float = rules.ENTITY_CONFIDENCE, limit: int = rules.MAX_ENTITIES) -> DataFrame:
+    """Entities with text; missing type or confidence get defaults; the first ``limit`` per session stay."""
+    conf = F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.5))
+    kept = raw.where(F.col("entity").isNotNull()).withColumns(
+        {"entity_type": F.coalesce("entity_type", F.lit("unknown")), "confidence": conf}).where(F.col("confidence") >= threshold)
+    return keep_topk(kept, ["session_id"], [F.col("entity_id")], limit)
+
+
+def query_confidence(sessions: DataFrame, entities: DataFrame) -> DataFrame:
+    """Mean entity confidence per session, 0 without entities."""
+    mean = entities.groupBy("session_id").agg(F.avg("confidence").alias("m"))
+    return sessions.join(mean, "session_id", "left").select("session_id", F.round(F.coalesce("m", F.lit(0.0)), 6).alias("confidence"))
+
+
+def words(c: str) -> Column:
+    return F.filter(F.split(F.col(c), r"[\s\p{Z}]+"), lambda w: F.length(w) > 0)
+
+
+def query_intent(questions: DataFrame, text: str = "question") -> DataFrame:
+    """Intent by the first matching rule, complexity, word count and difficulty."""
+    low = F.lower(text)
+    intent = F.coalesce(first_rule(low, rules.INTENT_RULES), F.lit("unknown"))
+    n = F.size(words(text))
+    links = F.size(F.filter(words(text), lambda w: F.lower(w).isin(*rules.CONNECTIVES)))
+    complexity = (
+        F.when(n > 20, "complex")
+        .when(contains_any(low, rules.COMPLEX_WORDS), "complex")
+        .when(links > 2, "medium")
+        .otherwise("simple")
+    )
+    return questions.withColumns({"intent": intent, "complexity": complexity, "word_count": n, "difficulty": query_difficulty(text)})
+
+
+def query_difficulty(text: str) -> Column:
+    low = F.lower(text)
+    count = lambda ws: sum((F.contains(low, F.lit(w)).cast("int") for w in ws), F.lit(0))
+    n = F.size(words(text))
+    size = F.when(n > 30, 0.2).when(n > 15, 0.1).otherwise(0.0)
+    score = 0.1 + count(rules.DIFFICULTY_INDICATORS) * 0.15 + F.least(count(rules.DIFFICULTY_CONDITIONS) * 0.05, F.lit(0.3)) + size
+    return F.round(F.least(score, F.lit(1.0)), 6)
+
+
+def context_lines(columns: DataFrame) -> DataFrame:
+    """(table_id, pos, line): one prompt line per column with key, null and comment marks."""
+    line = F.concat(
+        F.lit("  "), "name", F.lit(" "), "data_type", F.when(F.col("is_primary_key"), " PRIMARY KEY").otherwise(""),
+        F.when(~F.col("is_nullable"), " NOT NULL").otherwise(""),
+        F.when(F.length("description") > 0, F.concat(F.lit(" -- "), "description")).otherwise(""))
+    return columns.select("table_id", "pos", line.alias("line"))
+
+
+def join_lines(lines: DataFrame, key: str, sep: str = "\n", chunk: int = 1000) -> DataFrame:
+    """Lines per key as one text, by position; pre-joined in chunks so that a wide key is split."""
+    inner = lines.groupBy(key, F.floor(F.col("pos") / chunk).alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l")).select(
+        key, "part", F.array_join(F.transform("l", lambda s: s["line"]), sep).alias("t"))
+    packed = F.array_sort(F.collect_list(F.struct("part", "t")))
+    return inner.groupBy(key).agg(F.array_join(F.transform(packed, lambda s: s["t"]), sep).alias("lines"))
+
+
+def schema_context(tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """(table_id, context): the prompt text of each table."""
+    body = join_lines(context_lines(columns), "table_id")
+    full = F.concat_ws(".", "schema_name", "name")
+    text = F.concat(F.lit("Table: "), full, F.lit("\n"), F.coalesce("lines", F.lit("")),
+                    F.when(F.length("description") > 0, F.concat(F.lit("\nDescription: "), "description")).otherwise(""))
+    return tables.join(body, "table_id", "left").select("table_id", text.alias("context"))
+
+
+def session_contexts(mappings: DataFrame, contexts: DataFrame, columns: DataFrame) -> DataFrame:
+    """(session_id, table_id, context) for tables mapped directly or through a column."""
+    direct = mappings.where("target_type = 'table'").select("session_id", F.col("target_id").alias("table_id"))
+    via = mappings.where("target_type = 'column'").join(
+        columns.select(F.col("column_id").alias("target_id"), "table_id"), "target_id").select("session_id", "table_id")
+    return direct.unionByName(via).distinct().join(contexts, "table_id")
+
+
+def mapping_lines(mappings: DataFrame) -> DataFrame:
+    """``table.column (type)`` or ``table (table)`` per mapping."""
+    line = F.when(F.col("column").isNotNull(), F.concat("table", F.lit("."), "column", F.lit(" ("), F.coalesce("data_type", F.lit("unknown")), F.lit(")"))
+                  ).otherwise(F.concat("table", F.lit(" (table)")))
+    return mappings.withColumn("line", line)
+
+
+def foreign_key_hints(columns: DataFrame, tables: DataFrame) -> DataFrame:
+    named = columns.where("is_foreign_key").join(tables.select("table_id", F.col("name").alias("table")), "table_id")
+    return named.select("table_id", "column_id", F.concat("table", F.lit("."), "name", F.lit(" references another table")).alias("hint"))
+
+
+def session_funnel(sessions: DataFrame, steps: list[str]) -> DataFrame:
+    """Sessions by status: count, with result, with feedback, mean and sum of the step times."""
+    times = F.filter(F.array(*steps), lambda x: x.isNotNull())
+    total = F.when(F.size(times) > 0, F.aggregate(times, F.lit(0.0), lambda a, x: a + x))
+    s = sessions.withColumn("total_time", F.when(F.col("status") == "completed", total))
+    return s.groupBy("status").agg(
+        F.count(F.lit(1)).alias("sessions"), F.count("sql_result").alias("with_result"),
+        F.count("user_feedback").alias("with_feedback"), F.round(F.avg("total_time"), 4).alias("avg_total_time"))
+
+
+def feedback_summary(feedback: DataFrame) -> DataFrame:
+    return feedback.groupBy("feedback_type", "step").agg(
+        F.count(F.lit(1)).alias("n"), F.count("rating").alias("rated"), F.round(F.avg("rating"), 4).alias("avg_rating"))
+
+
+def latest_feedback(feedback: DataFrame) -> DataFrame:
+    """The last feedback per (session, step); ``max_by`` combines map-side."""
+    order = F.struct("created_at", "feedback_id")
+    return feedback.groupBy("session_id", "step").agg(
+        F.max_by(F.struct("feedback_id", "feedback_type", "rating"), order).alias("f")).select("session_id", "step", "f.*")
+
+
+def template_pattern(pattern: str) -> str:
+    body = pattern.replace("{entity}", rules.TEMPLATE_ENTITY).replace("{value}", rules.TEMPLATE_VALUE)
+    return f"(?iU){body}"
+
+
+def template_match(questions: DataFrame, templates: list[tuple[int, str]], text: str = "question") -> DataFrame:
+    """(…, template_id) for every template found in a question.
+
+    Templates are a short rule list, so each is a constant pattern compiled once; there is no join.
+    """
+    hits = F.array_compact(F.array(*[
+        F.when(F.col(text).rlike(template_pattern(p)), F.lit(i)) for i, p in templates]))
+    return questions.withColumn("template_id", F.explode(hits))
+
+
+def template_success(uses: DataFrame) -> DataFrame:
+    """``uses``: template_id, success. The running rate ends at the mean."""
+    return uses.groupBy("template_id").agg(
+        F.count(F.lit(1)).alias("usage_count"), F.round(F.avg(F.col("success").cast("int")), 6).alias("success_rate"))
+
+
+def mapped_split(sessions: DataFrame, mappings: str = "mappings", entities: str = "entities", entity_type: str = "table") -> DataFrame:
+    """Mapped tables, mapped columns and entities of one type out of a session's arrays."""
+    none = F.col(mappings)
+    return sessions.withColumns({
+        "mapped_tables": F.filter(none, lambda m: m["target_type"] == "table"),
+        "mapped_columns": F.filter(none, lambda m: m["target_type"] == "column"),
+        "typed_entities": F.filter(F.col(entities), lambda e: e["type"] == entity_type),
+    })

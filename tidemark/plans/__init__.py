@@ -6,6 +6,8 @@ MODULES = [
     "columns",
     "profiling",
     "dictionary",
+    "retrieval",
+    "questions",
 ]
 
 

@@ -38,7 +38,7 @@ DERIVED = {
         FROM {part}""",
     "cat_columns": """
         SELECT event_id AS column_id, user_id AS table_id, event_id AS pos,
-               concat(event_type, '_',
+               concat(CASE WHEN event_id % 35 = 4 THEN '' ELSE concat(event_type, '_') END,
                       CASE event_id % 12 WHEN 0 THEN 'customer_id' WHEN 1 THEN 'order_date'
                            WHEN 2 THEN 'total_amount' WHEN 3 THEN 'item_count' WHEN 4 THEN 'status'
                            WHEN 5 THEN 'email' WHEN 6 THEN 'phone_number' WHEN 7 THEN 'zip_code'
