@@ -8,6 +8,9 @@ MODULES = [
     "dictionary",
     "retrieval",
     "questions",
+    "catalog",
+    "files",
+    "streams",
 ]
 
 

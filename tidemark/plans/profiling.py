@@ -394,7 +394,23 @@ def inclusion_dependencies(t):
         for a, x, b, y in pairs])
 
 
-@query("relationships")
+_BIGINT_COLUMNS = [(n, c) for n in KEYED for c, d in STAR[n][1].items() if d == "bigint"]
+
+
+def _pair_sql(child, parent):
+    (ct, c), (pt, p) = child, parent
+    return f"""SELECT '{ct}' AS child_table, '{c}' AS child_column, '{pt}' AS parent_table, '{p}' AS parent_column,
+        (SELECT count(DISTINCT {c}) FROM {ct}) AS child_values,
+        (SELECT count(DISTINCT {c}) FROM {ct} WHERE {c} IN (SELECT {p} FROM {pt})) AS matched
+        WHERE (SELECT count(DISTINCT {p}) = count(*) FROM {pt}) AND (SELECT min({c}) FROM {ct}) >= (SELECT min({p}) FROM {pt})
+          AND (SELECT max({c}) FROM {ct}) <= (SELECT max({p}) FROM {pt})"""
+
+
+@query(
+    "relationships",
+    "SELECT *, round(matched::DOUBLE / child_values, 4) AS confidence FROM ("
+    + " UNION ALL ".join(_pair_sql(a, b) for a in _BIGINT_COLUMNS for b in _BIGINT_COLUMNS if a != b) + ")",
+)
 def relationships(t):
     names = ["customer", "orders", "part", "supplier"]
     tables = {n: getattr(t, n) for n in names}

@@ -76,14 +76,16 @@ def sniff_csv(sample: bytes) -> tuple[str, str]:
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
-             schema: str | None = None, extra_nulls: bool = True) -> DataFrame:
+             schema: str | None = None, extra_nulls: bool = True, multi_line: bool = False) -> DataFrame:
     """Delimited text as strings (types are decided later by ``coerce_types``).
 
-    Without ``sep`` the separator and encoding are sniffed from the first 64 KiB.
+    Without ``sep`` the separator and encoding are sniffed from the first 64 KiB. Quoted line breaks
+    need ``multi_line``, at the price of files that are no longer split.
     """
     if sep is None:
         sep, encoding = sniff_csv(head_lines(spark, path))
     reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding or "UTF-8")
+    reader = reader.option("escape", '"').option("multiLine", multi_line)
     df = (reader.schema(schema) if schema else reader).csv(path)
     tokens = list(rules.READ_NULL_TOKENS) + (rules.DEFAULT_NULL_TOKENS if extra_nulls else [])
     return with_nulls(df, tokens)

@@ -16,6 +16,10 @@ def export_rows(entries: DataFrame, statuses: list[str] | None = None, categorie
     return out if include_metadata else out.select("term", "definition", "category")
 
 
+# values keep their outer spaces; quotes are doubled
+CSV_OPTIONS = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "escape": '"'}
+
+
 def _flat(df: DataFrame) -> DataFrame:
     """CSV has no nested types: arrays, maps and structs become JSON text."""
     nested = (T.ArrayType, T.MapType, T.StructType)
@@ -28,7 +32,7 @@ def _flat(df: DataFrame) -> DataFrame:
 def export(df: DataFrame, path: str, fmt: str = "json") -> None:
     """Parallel write, one file per task."""
     out = _flat(df) if fmt == "csv" else df
-    out.write.mode("errorifexists").format(fmt).options(**({"header": "true"} if fmt == "csv" else {})).save(path)
+    out.write.mode("errorifexists").format(fmt).options(**(CSV_OPTIONS if fmt == "csv" else {})).save(path)
 
 
 def export_project(tables: dict[str, DataFrame], path: str, project_id: int, key: str = "project_id") -> None:
