@@ -22,11 +22,12 @@ Scorer = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 
 
 def block_topk(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, score: Scorer,
-               schema: str, prune: Callable[[pd.DataFrame], pd.DataFrame], small_rows: int = SMALL_SIDE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+               schema: str, prune: Callable[[pd.DataFrame], pd.DataFrame], small_rows: int = SMALL_SIDE_ROWS, block_rows: int = BLOCK_ROWS, rebalance: bool = False) -> DataFrame:
     """Apply ``score(query_block, corpus_block)`` to all block pairs; it returns its local best.
 
     ``prune`` cuts the union of two local results back to the best per query, so a partition emits
-    one result however many batches it reads.
+    one result however many batches it reads. ``rebalance`` spreads a corpus of few rows that are
+    costly to score over all cores.
     """
     n_queries = queries.count()
     if n_queries <= small_rows:
@@ -42,6 +43,8 @@ def block_topk(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id:
             if best is not None:
                 yield best
 
+        if rebalance:
+            corpus = corpus.repartition(spark.sparkContext.defaultParallelism, corpus_id)
         return corpus.mapInPandas(scan, schema)
     n_corpus = corpus.count()
     qb, cb = max(1, ceil(n_queries / block_rows)), max(1, ceil(n_corpus / block_rows))

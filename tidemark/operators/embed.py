@@ -18,24 +18,33 @@ class HashEmbedder:
     Deterministic and needs no model file. Swap in any object with ``encode(list[str]) -> 2-D array``.
     """
 
+    MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+
     def __init__(self, dim: int = 64):
         self.dim = dim
 
+    def _trigrams(self, text: str) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+        if len(codes) < 3:
+            return np.zeros(0, dtype=np.uint64)
+        h = codes[:-2] * self.MIX[0] + codes[1:-1] * self.MIX[1] + codes[2:] * self.MIX[2]
+        h ^= h >> np.uint64(29)
+        return (h * self.MIX[1]) >> np.uint64(16)
+
     def encode(self, texts: list[str]) -> np.ndarray:
         import xxhash
 
-        out = np.zeros((len(texts), self.dim), dtype=np.float32)
+        out = np.zeros((len(texts), self.dim))
         for i, text in enumerate(texts):
-            low = (text or "").lower()
-            padded = f" {' '.join(low.split())} "
-            feats = low.split() + [padded[j : j + 3] for j in range(len(padded) - 2)]
-            for f in feats:
-                h = xxhash.xxh64_intdigest(f)
-                out[i, h % self.dim] += 1.0 if (h >> 32) & 1 else -1.0
-            n = np.linalg.norm(out[i])
-            if n > 0:
-                out[i] /= n
-        return out
+            words = (text or "").lower().split()
+            hashes = np.concatenate([
+                np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words)),
+                self._trigrams(f" {' '.join(words)} "),
+            ])
+            sign = np.where((hashes >> np.uint64(32)) & np.uint64(1), 1.0, -1.0)
+            out[i] = np.bincount((hashes % np.uint64(self.dim)).astype(np.int64), weights=sign, minlength=self.dim)
+        norms = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0).astype(np.float32)
 
 
 def embed_batch(objects: DataFrame, factory: Callable[[], object] = HashEmbedder, model_name: str = "hash-64",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark import rules
 from tidemark.functions.text import ngrams, tokens
@@ -10,8 +10,14 @@ from tidemark.operators.blocks import keep_topk
 
 
 def term_counts(docs: DataFrame, doc_id: str, text: str, n_max: int = 2, stop_words=None) -> DataFrame:
-    """(doc, term, tf). Counted map-side first, so one row per distinct term of a text is shuffled."""
-    terms = docs.select(F.col(doc_id).alias("doc"), F.explode(ngrams(tokens(text, stop_words), n_max)).alias("term"))
+    """(doc, term, tf). Counted map-side first, so one row per distinct term of a text is shuffled.
+
+    Nulls are filtered here so that every use of the counts has the same plan: Spark then tokenises
+    once and reuses the shuffle.
+    """
+    terms = docs.where(F.col(doc_id).isNotNull()).select(
+        F.col(doc_id).alias("doc"), F.explode(ngrams(tokens(text, stop_words), n_max)).alias("term"))
+    terms = terms.where("term IS NOT NULL")
     return terms.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -38,16 +44,23 @@ def tfidf_build(docs: DataFrame, doc_id: str, text: str, max_features: int | Non
     idf = F.log((F.lit(1.0) + n_docs(docs)) / (F.lit(1.0) + F.col("df"))) + 1.0
     vocab = vocabulary(counts, max_features).withColumn("idf", idf)
     raw = counts.join(vocab, "term").select("doc", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("weight")), vocab
+    return unit_weights(raw, "doc", "weight"), vocab
+
+
+def unit_weights(raw: DataFrame, key: str, out: str) -> DataFrame:
+    """Scale the weights of each ``key`` to unit length: one shuffle, no join.
+
+    A group is the distinct vocabulary terms of one text, so its size is bounded by the vocabulary.
+    """
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("w") / norm).alias(out))
 
 
 def tfidf_queries(queries: DataFrame, query_id: str, text: str, vocab: DataFrame, n_max: int = 2, stop_words=None) -> DataFrame:
     """(query, term, qw): query texts in the space of an index."""
     counts = term_counts(queries, query_id, text, n_max, stop_words).withColumnRenamed("doc", "query")
     raw = counts.join(vocab, "term").select("query", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = raw.groupBy("query").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "query").select("query", "term", (F.col("w") / F.col("norm")).alias("qw"))
+    return unit_weights(raw, "query", "qw")
 
 
 def tfidf_search(postings: DataFrame, query_terms: DataFrame, k: int = 10, min_score: float | None = rules.SEARCH_MIN_SCORE) -> DataFrame:

@@ -20,13 +20,13 @@ def confidence_level(score: Column) -> Column:
     )
 
 
-def _grams(c: str) -> Column:
-    """All distinct substrings of 1..ANCHOR characters."""
+def _grams(c: str, sizes: list[int]) -> Column:
+    """All distinct substrings of the given sizes."""
     def of(n: int) -> Column:
         count = F.length(c) - (n - 1)
         return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(F.col(c), i, F.lit(n)))
                       ).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(*[of(n) for n in range(1, ANCHOR + 1)]))
+    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
 
 
 def extract_entities(questions: DataFrame, names: DataFrame, limit: int = rules.MAX_ENTITIES) -> DataFrame:
@@ -35,14 +35,17 @@ def extract_entities(questions: DataFrame, names: DataFrame, limit: int = rules.
     Containment is found by an equi-join: a name is keyed by its first four characters, a question
     by all of its four-character (and, for short names, shorter) substrings, and a hit is then
     verified. Every containment shares that key, so nothing is missed and no pair table is built.
-    Texts and names are made distinct first.
+    Texts and names are made distinct first. Which key sizes occur (at most four) is asked once.
     """
     conf = F.when(F.col("type") == "table", 0.8).when(F.col("type") == "column", 0.7).otherwise(0.6)
     n = names.where(F.length("name") > 0).withColumn("confidence", conf)
     first = n.groupBy("name").agg(F.min_by(F.struct("type", "confidence", "seq"), F.struct((-F.col("confidence")).alias("c"), "seq")).alias("b"))
     keyed = first.select("name", F.lower("name").alias("low"), "b.*").withColumn("key", F.substring("low", 1, ANCHOR))
+    sizes = sorted(r[0] for r in n.select(F.least(F.length("name"), F.lit(ANCHOR))).distinct().collect())
+    if not sizes:
+        sizes = [ANCHOR]
     texts = questions.select("question").where(F.length("question") > 0).distinct().withColumn("text", F.lower("question"))
-    parts = texts.select("question", "text", F.explode(_grams("text")).alias("key"))
+    parts = texts.select("question", "text", F.explode(_grams("text", sizes)).alias("key"))
     hits = parts.join(keyed, "key").where(F.contains("text", F.col("low")))
     top = keep_topk(hits, ["question"], [F.desc("confidence"), F.col("seq"), F.col("name")], limit)
     top = top.select("question", F.col("name").alias("entity"), "type", "confidence",

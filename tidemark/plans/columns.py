@@ -22,7 +22,7 @@ def _ident_sql(col: str, prefix: str) -> str:
         AS table_name FROM documents""",
 )
 def clean_table_name(t):
-    return t.documents.select("doc_id", S.clean_table_name("text").alias("table_name"))
+    return t.spread("documents", "doc_id", "text").select("doc_id", S.clean_table_name("text").alias("table_name"))
 
 
 @query(
@@ -61,7 +61,7 @@ def clean_identifier(t):
        FROM documents""",
 )
 def truncate_text(t):
-    return t.documents.select("doc_id", S.truncate_text("text").alias("short"))
+    return t.spread("documents", "doc_id", "text").select("doc_id", S.truncate_text("text").alias("short"))
 
 
 @query(
@@ -108,7 +108,7 @@ def format_duration(t):
          ELSE left(n, greatest(length(n) + 254 - length(e), 0)) || '.' || e END AS filename FROM q""",
 )
 def sanitize_filename(t):
-    return t.documents.select("doc_id", S.sanitize_filename("text").alias("filename"))
+    return t.spread("documents", "doc_id", "text").select("doc_id", S.sanitize_filename("text").alias("filename"))
 
 
 @query(
@@ -124,7 +124,7 @@ def sanitize_filename(t):
          ON w.doc_id = x.doc_id""",
 )
 def extract_keywords(t):
-    return t.documents.select(
+    return t.spread("documents", "doc_id", "text").select(
         "doc_id", F.array_join(S.extract_keywords("text"), ",").alias("keywords")
     )
 
@@ -180,7 +180,7 @@ def validate_email(t):
         FROM documents""",
 )
 def normalize_text(t):
-    return t.documents.select("doc_id", S.normalize_text("text").alias("norm"))
+    return t.spread("documents", "doc_id", "text").select("doc_id", S.normalize_text("text").alias("norm"))
 
 
 @query(
@@ -189,7 +189,7 @@ def normalize_text(t):
         SELECT doc_id, rtrim(left(trim(regexp_replace(a, '[\s\p{Z}_-]+', '-', 'g'), '-'), 50), '-') AS slug FROM s""",
 )
 def generate_slug(t):
-    return t.documents.select("doc_id", S.generate_slug("text").alias("slug"))
+    return t.spread("documents", "doc_id", "text").select("doc_id", S.generate_slug("text").alias("slug"))
 
 
 @query(
@@ -225,7 +225,7 @@ def format_timestamp(t):
 
 @query("sha256_hex", "SELECT doc_id, sha256(text) AS digest FROM documents")
 def sha256_hex(t):
-    return t.documents.select("doc_id", S.sha256_hex("text").alias("digest"))
+    return t.spread("documents", "doc_id", "text").select("doc_id", S.sha256_hex("text").alias("digest"))
 
 
 @query(
@@ -252,7 +252,7 @@ def qualified_name(t):
 def pii_mask(t):
     from tidemark.operators.pii import mask_values
 
-    return t.documents.select(
+    return t.spread("documents", "doc_id", "text", "source").select(
         "doc_id",
         mask_values("text", ["credit_card", "email"]).alias("masked"),
         S.mask_sensitive("source").alias("tail"),

@@ -99,7 +99,7 @@ def export_csv(t):
 @query("index_save_load", ORACLES["tfidf_search"])
 def index_save_load(t):
     path = f"{scratch_dir(t.spark, 'index')}/tfidf"
-    postings, vocab = L.tfidf_build(t.documents, "doc_id", "text")
+    postings, vocab = L.tfidf_build(t.spread("documents", "doc_id", "text"), "doc_id", "text")
     sinks.save_index({"postings": postings, "vocabulary": vocab}, path, {"type": "tfidf", "max_features": rules.TFIDF_MAX_FEATURES})
     parts, _ = sinks.load_index(t.spark, path)
     return L.tfidf_search(parts["postings"], L.tfidf_queries(t.benchmark, "item_id", "text", parts["vocabulary"]), 10)

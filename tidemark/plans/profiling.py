@@ -287,7 +287,7 @@ def _scan_sql(pats):
 
 @query("pii_scan_rows", _scan_sql(rules.PII_VALUES_MODEL))
 def pii_scan_rows(t):
-    return pii.scan_rows(t.documents.select("doc_id", "text"), "text").drop("text")
+    return pii.scan_rows(t.spread("documents", "doc_id", "text"), "text").drop("text")
 
 
 @query(
@@ -298,7 +298,7 @@ def pii_scan_rows(t):
         for k in rules.PII_VALUES_CONFIG),
 )
 def pii_scan_totals(t):
-    scanned = pii.scan_rows(t.documents.select("doc_id", "text"), "text", mode="config")
+    scanned = pii.scan_rows(t.spread("documents", "doc_id", "text"), "text", mode="config")
     return pii.scan_totals(scanned, mode="config")
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.plans.derived import DERIVED
+from tidemark.sources.tables import spread
 
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -31,6 +32,10 @@ class Tables:
             return self.sql(DERIVED[name])
         raise AttributeError(name)
 
+    def spread(self, name: str, *cols: str) -> DataFrame:
+        """Columns of a base table for work that is heavy per row."""
+        return spread(getattr(self, name).select(*cols))
+
     def sql(self, text: str) -> DataFrame:
         """Spark SQL in which ``{name}`` is a base table or a derived view."""
         names = set(re.findall(r"\{(\w+)\}", text))

@@ -79,7 +79,7 @@ def collect_objects(t):
 # --- embedding life cycle -----------------------------------------------------------------
 @query("embed_batch")
 def embed_batch(t):
-    objects = t.documents.select(F.col("doc_id").alias("object_id"), "text")
+    objects = t.spread("documents", "doc_id", "text").withColumnRenamed("doc_id", "object_id")
     return E.embed_batch(objects).select("object_id", "model_name", "vector")
 
 
@@ -254,13 +254,13 @@ _KW = f"""{_TFIDF}, qc AS (SELECT id, term, count(*) AS tf FROM ({_terms('benchm
 
 
 def keyword_hits(t, k, min_score=None):
-    postings, vocab = L.tfidf_build(t.documents, "doc_id", "text")
+    postings, vocab = L.tfidf_build(t.spread("documents", "doc_id", "text"), "doc_id", "text")
     return L.tfidf_search(postings, L.tfidf_queries(t.benchmark, "item_id", "text", vocab), k, min_score)
 
 
 @query("tfidf_build", f"WITH {_TFIDF} SELECT doc, term, round(weight, 6) AS weight FROM postings")
 def tfidf_build(t):
-    postings, _ = L.tfidf_build(t.documents, "doc_id", "text")
+    postings, _ = L.tfidf_build(t.spread("documents", "doc_id", "text"), "doc_id", "text")
     return postings.select("doc", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -291,7 +291,7 @@ def _unigrams(src, key):
         SELECT query, doc, score, rank FROM r WHERE rank <= 10""",
 )
 def bm25_search(t):
-    postings = L.bm25_build(t.documents, "doc_id", "text")
+    postings = L.bm25_build(t.spread("documents", "doc_id", "text"), "doc_id", "text")
     return L.bm25_search(postings, t.benchmark, "item_id", "text", 10)
 
 
