@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 SMALL_SIDE_ROWS = 2048
+SMALL_SIDE_BYTES = 64 << 20
 BLOCK_ROWS = 4096
 
 Scorer = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
@@ -29,10 +30,11 @@ def block_topk(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id:
     one result however many batches it reads. ``rebalance`` spreads a corpus of few rows that are
     costly to score over all cores.
     """
-    n_queries = queries.count()
-    if n_queries <= small_rows:
+    # one bounded look decides: whatever does not fit goes block against block
+    head = queries.limit(small_rows + 1).toPandas() if small_rows > 0 else None
+    if head is not None and len(head) <= small_rows and head.memory_usage(deep=True).sum() <= SMALL_SIDE_BYTES:
         spark = queries.sparkSession
-        held = spark.sparkContext.broadcast(queries.toPandas())
+        held = spark.sparkContext.broadcast(head)
 
         def scan(batches):
             best = None
@@ -46,7 +48,7 @@ def block_topk(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id:
         if rebalance:
             corpus = corpus.repartition(spark.sparkContext.defaultParallelism, corpus_id)
         return corpus.mapInPandas(scan, schema)
-    n_corpus = corpus.count()
+    n_queries, n_corpus = queries.count(), corpus.count()
     qb, cb = max(1, ceil(n_queries / block_rows)), max(1, ceil(n_corpus / block_rows))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

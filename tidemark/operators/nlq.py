@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import rules
 from tidemark.functions.scalar import contains_any, first_rule
@@ -20,37 +20,35 @@ def confidence_level(score: Column) -> Column:
     )
 
 
-def _grams(c: str, sizes: list[int]) -> Column:
-    """All distinct substrings of the given sizes."""
-    def of(n: int) -> Column:
-        count = F.length(c) - (n - 1)
-        return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(F.col(c), i, F.lit(n)))
-                      ).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
-
-
 def extract_entities(questions: DataFrame, names: DataFrame, limit: int = rules.MAX_ENTITIES) -> DataFrame:
     """Catalog names inside each question. ``questions``: question_id, question; ``names``: type, name, seq.
 
-    Containment is found by an equi-join: a name is keyed by its first four characters, a question
-    by all of its four-character (and, for short names, shorter) substrings, and a hit is then
-    verified. Every containment shares that key, so nothing is missed and no pair table is built.
-    Texts and names are made distinct first. Which key sizes occur (at most four) is asked once.
+    Two equi-joins and no pair table. First every position of a text is looked up by the next four
+    characters (fewer for shorter names) in the list of keys, one row per key, which tells the
+    lengths of the names that start so. Then the substring of each such length is looked up among
+    the distinct names. The rows in between carry a short piece of text, not the text, and a key
+    shared by a third of all names adds one row per name length only.
     """
     conf = F.when(F.col("type") == "table", 0.8).when(F.col("type") == "column", 0.7).otherwise(0.6)
     n = names.where(F.length("name") > 0).withColumn("confidence", conf)
     first = n.groupBy("name").agg(F.min_by(F.struct("type", "confidence", "seq"), F.struct((-F.col("confidence")).alias("c"), "seq")).alias("b"))
-    keyed = first.select("name", F.lower("name").alias("low"), "b.*").withColumn("key", F.substring("low", 1, ANCHOR))
-    sizes = sorted(r[0] for r in n.select(F.least(F.length("name"), F.lit(ANCHOR))).distinct().collect())
-    if not sizes:
-        sizes = [ANCHOR]
-    texts = questions.select("question").where(F.length("question") > 0).distinct().withColumn("text", F.lower("question"))
-    parts = texts.select("question", "text", F.explode(_grams("text", sizes)).alias("key"))
-    hits = parts.join(keyed, "key").where(F.contains("text", F.col("low")))
-    top = keep_topk(hits, ["question"], [F.desc("confidence"), F.col("seq"), F.col("name")], limit)
-    top = top.select("question", F.col("name").alias("entity"), "type", "confidence",
-                     (F.instr("text", F.col("low")) - 1).alias("position"), "rank")
-    return questions.select("question_id", "question").join(top, "question").drop("question")
+    distinct = first.select("name", F.lower("name").alias("low"), "b.*")
+    keyed = distinct.select(F.substring("low", 1, ANCHOR).alias("key"), F.length("low").alias("size"))
+    keys = keyed.groupBy("key").agg(F.collect_set("size").alias("sizes"))
+    known = keys.agg(F.collect_set(F.length("key")).alias("k"), F.max(F.array_max("sizes")).alias("m")).first()
+    key_sizes, longest = sorted(known["k"]), known["m"] or ANCHOR
+    texts = questions.select("question").where(F.length("question") > 0).distinct().select(
+        F.sha2("question", 256).alias("text_id"), F.lower("question").alias("text"))
+    at = texts.select("text_id", F.posexplode(F.transform(
+        F.sequence(F.lit(1), F.length("text")), lambda i: F.substring(F.col("text"), i, F.lit(longest)))).alias("position", "piece"))
+    cuts = F.explode(F.array(*[F.when(F.length("piece") >= s, F.substring("piece", 1, s)) for s in key_sizes] or [F.lit(None).cast("string")]))
+    probes = at.select("text_id", "position", "piece", cuts.alias("key")).where("key IS NOT NULL").join(keys, "key")
+    found = probes.select("text_id", "position", "piece", F.explode("sizes").alias("size")).where(
+        F.length("piece") >= F.col("size")).select("text_id", "position", F.expr("substring(piece, 1, size)").alias("low"))
+    hits = found.groupBy("text_id", "low").agg(F.min("position").alias("position")).join(distinct, "low")
+    top = keep_topk(hits, ["text_id"], [F.desc("confidence"), F.col("seq"), F.col("name")], limit)
+    top = top.select("text_id", F.col("name").alias("entity"), "type", "confidence", "position", "rank")
+    return questions.select("question_id", F.sha2("question", 256).alias("text_id")).join(top, "text_id").drop("text_id")
 
 
 def validate_entities(raw: DataFrame, threshold: float = rules.ENTITY_CONFIDENCE, limit: int = rules.MAX_ENTITIES) -> DataFrame:
