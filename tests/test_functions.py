@@ -104,12 +104,12 @@ def test_search_terms(spark):
     ("status", "categorical"), ("title", "descriptive"), ("city", "geographic"), ("blob", "attribute"),
 ])
 def test_business_category(spark, name, want):
-    assert one(spark, profile.business_category(L(name), False, L(1), L(10))) == want
+    assert one(spark, profile.business_category(L(name), L(False), L(1), L(10))) == want
 
 
 @pytest.mark.parametrize("distinct,rows,want", [(5, 100, "categorical"), (50, 100, "measure"), (0, 0, "categorical")])
 def test_business_category_numeric(spark, distinct, rows, want):
-    assert one(spark, profile.business_category(L("blob"), True, L(distinct), L(rows))) == want
+    assert one(spark, profile.business_category(L("blob"), L(True), L(distinct), L(rows))) == want
 
 
 @pytest.mark.parametrize("text,want", [

@@ -57,10 +57,11 @@ def profile_columns(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
                 (F.col("_rows") - q("n")).alias("null_count"), q("d").alias("distinct_count"),
                 (F.col("_rows") > q("n")).alias("is_nullable"),
                 lo.alias("min_value"), hi.alias("max_value"), avg.alias("avg_value"),
-                business_category(F.lit(f.name), is_numeric(f.dataType), q("d"), F.col("_rows")).alias("business_category"),
+                F.lit(is_numeric(f.dataType)).alias("_numeric"), F.col("_rows"),
             ))
         parts.append(_explode_stats(df.agg(*aggs), rows))
-    return union_all(parts)
+    category = business_category(F.col("column"), F.col("_numeric"), F.col("distinct_count"), F.col("_rows"))
+    return union_all(parts).withColumn("business_category", category).drop("_numeric", "_rows")
 
 
 def profile_columns_lengths(df: DataFrame, table: str) -> DataFrame:
@@ -88,12 +89,9 @@ def profile_columns_lengths(df: DataFrame, table: str) -> DataFrame:
     return union_all(parts)
 
 
-def business_category(name: Column, numeric: bool, distinct: Column, rows: Column) -> Column:
-    if numeric:
-        low = F.coalesce(F.try_divide(distinct, rows), F.lit(0.0)) < rules.LOW_CARDINALITY
-        rest = F.when(low, "categorical").otherwise("measure")
-    else:
-        rest = F.lit("attribute")
+def business_category(name: Column, numeric: Column, distinct: Column, rows: Column) -> Column:
+    low = F.coalesce(F.try_divide(distinct, rows), F.lit(0.0)) < rules.LOW_CARDINALITY
+    rest = F.when(numeric & low, "categorical").when(numeric, "measure").otherwise("attribute")
     return F.coalesce(first_rule(F.lower(name), rules.CATEGORY_RULES), rest)
 
 
