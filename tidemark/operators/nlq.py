@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark import rules
-from tidemark.functions.scalar import contains_any, first_rule
+from tidemark.functions.scalar import contains_any, first_rule, mean
 from tidemark.operators.blocks import keep_topk
 
 ANCHOR = 4
@@ -147,12 +147,12 @@ def session_funnel(sessions: DataFrame, steps: list[str]) -> DataFrame:
     s = sessions.withColumn("total_time", F.when(F.col("status") == "completed", total))
     return s.groupBy("status").agg(
         F.count(F.lit(1)).alias("sessions"), F.count("sql_result").alias("with_result"),
-        F.count("user_feedback").alias("with_feedback"), F.round(F.avg("total_time"), 4).alias("avg_total_time"))
+        F.count("user_feedback").alias("with_feedback"), mean("total_time", 4).alias("avg_total_time"))
 
 
 def feedback_summary(feedback: DataFrame) -> DataFrame:
     return feedback.groupBy("feedback_type", "step").agg(
-        F.count(F.lit(1)).alias("n"), F.count("rating").alias("rated"), F.round(F.avg("rating"), 4).alias("avg_rating"))
+        F.count(F.lit(1)).alias("n"), F.count("rating").alias("rated"), mean("rating", 4).alias("avg_rating"))
 
 
 def latest_feedback(feedback: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def template_match(questions: DataFrame, templates: list[tuple[int, str]], text:
 def template_success(uses: DataFrame) -> DataFrame:
     """``uses``: template_id, success. The running rate ends at the mean."""
     return uses.groupBy("template_id").agg(
-        F.count(F.lit(1)).alias("usage_count"), F.round(F.avg(F.col("success").cast("int")), 6).alias("success_rate"))
+        F.count(F.lit(1)).alias("usage_count"), mean(F.col("success").cast("int"), 6).alias("success_rate"))
 
 
 def mapped_split(sessions: DataFrame, mappings: str = "mappings", entities: str = "entities", entity_type: str = "table") -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tidemark.functions.scalar import mean
 
 
 def record_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -54,7 +56,7 @@ def usage(logs: DataFrame, sources: DataFrame, embeddings: DataFrame, indexes: D
     recent = logs.where((F.col("created_at") >= now - F.expr(f"INTERVAL {days} DAYS")) & (F.col("created_at") <= now))
     parts = [
         recent.agg(F.count(F.lit(1)).alias("total_searches"),
-                   F.coalesce(F.round(F.avg(F.coalesce("search_time_ms", F.lit(0.0))), 2), F.lit(0.0)).alias("avg_search_ms")),
+                   F.coalesce(mean(F.coalesce("search_time_ms", F.lit(0.0)), 2), F.lit(0.0)).alias("avg_search_ms")),
         sources.agg(F.count(F.lit(1)).alias("total_sources"),
                     *[F.count_if(F.col("ingest_status") == s).alias(f"{s}_ingests") for s in ("completed", "failed", "pending")]),
         embeddings.agg(F.count(F.lit(1)).alias("total_embeddings")),

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import rules
-from tidemark.functions.scalar import clip
+from tidemark.functions.scalar import clip, mean
 from tidemark.operators.blocks import keep_topk
 
 OBJECT = ["object_type", "object_id"]
@@ -130,8 +130,8 @@ def recent(logs: DataFrame, now: Column, days: int) -> DataFrame:
 def search_stats(logs: DataFrame, now: Column, days: int = 30) -> DataFrame:
     """Per project: searches, mean time (2 decimals), mean hits (1 decimal) of the last days."""
     return recent(logs, now, days).groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("total_searches"), F.round(F.avg("search_time_ms"), 2).alias("avg_search_time"),
-        F.round(F.avg("results_count"), 1).alias("avg_results_count"))
+        F.count(F.lit(1)).alias("total_searches"), mean("search_time_ms", 2).alias("avg_search_time"),
+        mean("results_count", 1).alias("avg_results_count"))
 
 
 def popular_queries(logs: DataFrame, now: Column, days: int = 30, n: int = 10) -> DataFrame:
@@ -142,7 +142,7 @@ def popular_queries(logs: DataFrame, now: Column, days: int = 30, n: int = 10) -
 
 def search_trends(logs: DataFrame, bucket: str = "1 day") -> DataFrame:
     return logs.groupBy(F.window("created_at", bucket).alias("w")).agg(
-        F.count(F.lit(1)).alias("searches"), F.round(F.avg("search_time_ms"), 2).alias("avg_ms")
+        F.count(F.lit(1)).alias("searches"), mean("search_time_ms", 2).alias("avg_ms")
     ).select(F.col("w.start").alias("bucket"), "searches", "avg_ms")
 
 

@@ -40,7 +40,7 @@ NOW = "2024-01-28 00:00:00"
 @query(
     "usage_30d",
     f"""SELECT (SELECT count(*) FROM search_log WHERE created_at BETWEEN TIMESTAMP '{NOW}' - INTERVAL 30 DAY AND TIMESTAMP '{NOW}') AS total_searches,
-          (SELECT coalesce(round(avg(coalesce(search_time_ms, 0)), 2), 0) FROM search_log WHERE created_at BETWEEN TIMESTAMP '{NOW}' - INTERVAL 30 DAY AND TIMESTAMP '{NOW}') AS avg_search_ms,
+          (SELECT coalesce(round(avg(coalesce(search_time_ms, 0))::DECIMAL(28,9), 2)::DOUBLE, 0) FROM search_log WHERE created_at BETWEEN TIMESTAMP '{NOW}' - INTERVAL 30 DAY AND TIMESTAMP '{NOW}') AS avg_search_ms,
           (SELECT count(*) FROM cat_sources) AS total_sources,
           (SELECT count(*) FROM cat_sources WHERE ingest_status = 'completed') AS completed_ingests,
           (SELECT count(*) FROM cat_sources WHERE ingest_status = 'failed') AS failed_ingests,

@@ -410,7 +410,7 @@ def preview_sql(t):
 @query(
     "session_funnel",
     """SELECT status, count(*) AS sessions, count(sql_result) AS with_result, count(user_feedback) AS with_feedback,
-         round(avg(CASE WHEN status = 'completed' THEN coalesce(step_extract, 0) + step_map END), 4) AS avg_total_time FROM sessions GROUP BY 1""",
+         round(avg(CASE WHEN status = 'completed' THEN coalesce(step_extract, 0) + step_map END)::DECIMAL(28,9), 4)::DOUBLE AS avg_total_time FROM sessions GROUP BY 1""",
 )
 def session_funnel(t):
     return nlq.session_funnel(t.sessions, ["step_extract", "step_map"])
@@ -428,7 +428,7 @@ def session_page(t):
     return ops.page(done, [F.desc("created_at"), F.col("session_id")], 100, 50).drop("created_at")
 
 
-@query("feedback_summary", "SELECT feedback_type, step, count(*) AS n, count(rating) AS rated, round(avg(rating), 4) AS avg_rating FROM feedback GROUP BY ALL")
+@query("feedback_summary", "SELECT feedback_type, step, count(*) AS n, count(rating) AS rated, round(avg(rating)::DECIMAL(28,9), 4)::DOUBLE AS avg_rating FROM feedback GROUP BY ALL")
 def feedback_summary(t):
     return nlq.feedback_summary(t.feedback)
 
@@ -456,7 +456,7 @@ def template_match(t):
 
 @query(
     "template_success",
-    rf"""SELECT template_id, count(*) AS usage_count, round(avg((status = 'completed')::INT), 6) AS success_rate
+    rf"""SELECT template_id, count(*) AS usage_count, round(avg((status = 'completed')::INT)::DECIMAL(28,9), 6)::DOUBLE AS success_rate
         FROM questions JOIN (VALUES {_TEMPLATES}) v(template_id, p) ON regexp_matches(question, '(?i)' || p)
         JOIN sessions ON sessions.session_id = question_id GROUP BY 1""",
 )

@@ -445,8 +445,8 @@ def now():
 
 @query(
     "search_stats",
-    f"""SELECT project_id, count(*) AS total_searches, round(avg(search_time_ms), 2) AS avg_search_time,
-          round(avg(results_count), 1) AS avg_results_count FROM search_log WHERE {_RECENT} GROUP BY 1""",
+    f"""SELECT project_id, count(*) AS total_searches, round(avg(search_time_ms)::DECIMAL(28,9), 2)::DOUBLE AS avg_search_time,
+          round(avg(results_count)::DECIMAL(28,9), 1)::DOUBLE AS avg_results_count FROM search_log WHERE {_RECENT} GROUP BY 1""",
 )
 def search_stats(t):
     return R.search_stats(t.search_log, now(), 20)
@@ -464,7 +464,7 @@ def popular_queries(t):
 
 @query(
     "search_trends",
-    "SELECT date_trunc('day', created_at)::TIMESTAMP AS bucket, count(*) AS searches, round(avg(search_time_ms), 2) AS avg_ms FROM search_log GROUP BY 1",
+    "SELECT date_trunc('day', created_at)::TIMESTAMP AS bucket, count(*) AS searches, round(avg(search_time_ms)::DECIMAL(28,9), 2)::DOUBLE AS avg_ms FROM search_log GROUP BY 1",
 )
 def search_trends(t):
     return R.search_trends(t.search_log)

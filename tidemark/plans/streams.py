@@ -42,7 +42,7 @@ def rate_limit_stream(t):
 
 
 _WINDOWS = """SELECT date_trunc('day', created_at)::TIMESTAMP AS window_start, date_trunc('day', created_at)::TIMESTAMP + INTERVAL 1 DAY AS window_end,
-    query_type, count(*) AS searches, round(avg(search_time_ms), 4) AS avg_ms FROM search_log GROUP BY ALL"""
+    query_type, count(*) AS searches, round(avg(search_time_ms)::DECIMAL(28,9), 4)::DOUBLE AS avg_ms FROM search_log GROUP BY ALL"""
 
 
 @query("search_log_windows", _WINDOWS)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.functions.scalar import mean
+
 
 def log_windows(log: DataFrame, width: str = "1 day", ts: str = "created_at") -> DataFrame:
     """Searches and mean latency per window and query type; works on batch and streaming frames."""
     return log.groupBy(F.window(ts, width).alias("w"), "query_type").agg(
-        F.count(F.lit(1)).alias("searches"), F.round(F.avg("search_time_ms"), 4).alias("avg_ms")
+        F.count(F.lit(1)).alias("searches"), mean("search_time_ms", 4).alias("avg_ms")
     ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "query_type", "searches", "avg_ms")
 
 
