@@ -9,24 +9,26 @@ from tidemark.functions.text import ngrams, tokens
 from tidemark.operators.blocks import keep_topk
 
 
-def term_counts(docs: DataFrame, doc_id: str, text: str, n_max: int = 2, stop_words=None) -> DataFrame:
-    """(doc, term, tf). Counted map-side first, so one row per distinct term of a text is shuffled.
-
-    Nulls are filtered here so that every use of the counts has the same plan: Spark then tokenises
-    once and reuses the shuffle.
-    """
-    terms = docs.where(F.col(doc_id).isNotNull()).select(
+def terms_of(docs: DataFrame, doc_id: str, text: str, n_max: int = 2, stop_words=None) -> DataFrame:
+    """(doc, term), one row per occurrence."""
+    out = docs.where(F.col(doc_id).isNotNull()).select(
         F.col(doc_id).alias("doc"), F.explode(ngrams(tokens(text, stop_words), n_max)).alias("term"))
-    terms = terms.where("term IS NOT NULL")
+    return out.where("term IS NOT NULL")
+
+
+def count_terms(terms: DataFrame) -> DataFrame:
+    """(doc, term, tf). Counted map-side first, so one row per distinct term of a text is shuffled."""
     return terms.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocabulary(counts: DataFrame, max_features: int | None = rules.TFIDF_MAX_FEATURES) -> DataFrame:
-    """(term, df): the most frequent terms by total count, ties by term."""
-    vocab = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    if max_features:
-        vocab = vocab.orderBy(F.desc("total"), "term").limit(max_features)
-    return vocab.select("term", "df")
+def term_counts(docs: DataFrame, doc_id: str, text: str, n_max: int = 2, stop_words=None) -> DataFrame:
+    return count_terms(terms_of(docs, doc_id, text, n_max, stop_words))
+
+
+def top_terms(terms: DataFrame, max_features: int) -> DataFrame:
+    """The most frequent terms by total count, ties by term; only per-task totals are shuffled."""
+    totals = terms.groupBy("term").agg(F.count(F.lit(1)).alias("total"))
+    return totals.orderBy(F.desc("total"), "term").limit(max_features).select("term")
 
 
 def n_docs(docs: DataFrame):
@@ -38,11 +40,16 @@ def tfidf_build(docs: DataFrame, doc_id: str, text: str, max_features: int | Non
                 n_max: int = 2, stop_words=None) -> tuple[DataFrame, DataFrame]:
     """(postings: doc, term, weight; vocabulary: term, df, idf). Rows of a document have unit norm.
 
-    The vocabulary is at most ``max_features`` rows when capped, so Spark broadcasts it by its size.
+    The capped vocabulary is found first, from term totals. It is at most ``max_features`` rows, so
+    Spark broadcasts it by its size, and terms outside it are dropped before anything is shuffled by
+    document. The counts are used twice with the same plan, so their shuffle is reused.
     """
-    counts = term_counts(docs, doc_id, text, n_max, stop_words)
+    terms = terms_of(docs, doc_id, text, n_max, stop_words)
+    if max_features:
+        terms = terms.join(top_terms(terms, max_features), "term", "left_semi")
+    counts = count_terms(terms)
     idf = F.log((F.lit(1.0) + n_docs(docs)) / (F.lit(1.0) + F.col("df"))) + 1.0
-    vocab = vocabulary(counts, max_features).withColumn("idf", idf)
+    vocab = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", idf)
     raw = counts.join(vocab, "term").select("doc", "term", (F.col("tf") * F.col("idf")).alias("w"))
     return unit_weights(raw, "doc", "weight"), vocab
 
