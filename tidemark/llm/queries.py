@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from tidemark.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from tidemark.llm.packing import op3_packing
+from tidemark.llm.quality import op8_quality
 from tidemark.llm.sharding import op9_rendezvous
 
 QUERIES = {
+    "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_quality": op8_quality,
     "op9_rendezvous": op9_rendezvous,
 }
 ORACLES = {"op5_exact_dedup": OP5_SQL}
