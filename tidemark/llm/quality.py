@@ -117,17 +117,7 @@ def train(
     size = (1 << bits) + 1
     z, n = np.zeros(size), np.zeros(size)
     for _ in range(rounds):
-        z0, n0 = z, n
-
-        def one(pdf: pd.DataFrame, z0: np.ndarray = z0, n0: np.ndarray = n0) -> pd.DataFrame:
-            pdf = pdf.sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
-            pdf = pdf.iloc[np.random.default_rng(1).permutation(len(pdf))]
-            given = vectors([(t or "").encode() for t in pdf["text"]], bits)
-            z1, n1 = z0.copy(), n0.copy()
-            learn([(a, v, int(y)) for (a, v), y in zip(given, pdf["label"], strict=True)], z1, n1, passes)
-            return pd.DataFrame({"rows": [len(pdf)], "z": [z1.tobytes()], "n": [n1.tobytes()]})
-
-        states = rows.groupBy("part").applyInPandas(one, "rows long, z binary, n binary").collect()
+        states = rows.groupBy("part").applyInPandas(one_round(z, n, bits, passes), "rows long, z binary, n binary").collect()
         if not states:
             break
         share = np.array([s["rows"] for s in states], dtype=np.float64)
@@ -137,6 +127,19 @@ def train(
     return weights_of(z, n)
 
 
+def one_round(z: np.ndarray, n: np.ndarray, bits: int, passes: int):
+    """The function that takes a part of the sample from the common state to its own."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
+        pdf = pdf.iloc[np.random.default_rng(1).permutation(len(pdf))]
+        given = vectors([(t or "").encode() for t in pdf["text"]], bits)
+        z1, n1 = z.copy(), n.copy()
+        learn([(a, v, int(y)) for (a, v), y in zip(given, pdf["label"], strict=True)], z1, n1, passes)
+        return pd.DataFrame({"rows": [len(pdf)], "z": [z1.tobytes()], "n": [n1.tobytes()]})
+
+    return run
+
+
 def vectors(texts: list[bytes], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Columns and values of each text, the bias last."""
     bias = (np.array([1 << bits]), np.array([1.0]))
