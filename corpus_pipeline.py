@@ -1,25 +1,57 @@
-"""Cleaning of the document corpus: stages that each read all rows which the stage before kept."""
+"""Cleaning and packing of the document corpus: stages that each read all rows which the stage before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.decontaminate import keep_clean
 from tidemark.llm.exact_dedup import keep_first
+from tidemark.llm.packing import packed
+from tidemark.llm.quality import keep_good
 from tidemark.llm.shared import documents, written
+from tidemark.llm.simhash import keep_one
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones among docs, predicts 1."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, that with the smallest doc_id."""
     return keep_first(docs)
 
 
-STAGES = [("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints, that with the smallest doc_id."""
+    return keep_one(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no benchmark item contaminates."""
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents left, each with its place in a sequence."""
+    return packed(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact),
+    ("simhash near-dedup", near),
+    ("benchmark decontamination", clean),
+    ("best-fit packing", pack),
+]
 
-#: Training and similarity of fingerprints have no SQL form; tests hold the stages against brute force.
+#: A trained classifier, 64-bit fingerprints and tokenisation have no SQL form; tests hold each stage against
+#: a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; each stage is written to the shared folder and read again."""
+    """The rows of the last stage; each stage before is written to the shared folder and read again."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
