@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from tidemark.llm.decontaminate import op7_decontaminate
 from tidemark.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from tidemark.llm.html_text import op6_html
 from tidemark.llm.packing import op3_packing
 from tidemark.llm.quality import op8_quality
 from tidemark.llm.sharding import op9_rendezvous
 from tidemark.llm.simhash import op1_simhash
+from tidemark.llm.warc import op2_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_warc": op2_warc,
     "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_html": op6_html,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
     "op9_rendezvous": op9_rendezvous,
