@@ -254,7 +254,8 @@ def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def joined(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    """kind:start:end of the spans in their order; one that several layers show is named once."""
+    return F.array_join(F.array_distinct(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))), ",")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
