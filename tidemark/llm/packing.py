@@ -159,7 +159,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFra
         sizes = pdf["length"].to_numpy()
         sequence, offset = np.zeros(len(pdf), dtype=np.int64), np.zeros(len(pdf), dtype=np.int64)
         for number, items in enumerate(sum_of_squares(sizes, length)):
-            sequence[items] = -1 - ((key[0] << 32) + number)  # below 0: apart from those of full pieces
+            sequence[items] = -1 - ((int(key[0]) << 32) + number)  # below 0: apart from those of full pieces
             offset[items] = np.cumsum(sizes[items]) - sizes[items]
         return pdf[names].assign(sequence_id=sequence, offset=offset)
 

@@ -151,14 +151,14 @@ def vectors(texts: list[bytes], bits: int) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
-def score(df: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
-    """df with `score` (0 to 1, higher for label 1): sparse dot products of c-columns' last one, the text `__text`.
+def score(df: DataFrame, weights: np.ndarray) -> DataFrame:
+    """df with `score` (0 to 1, higher for label 1): the sparse dot product of the weights with column `__text`.
 
     Null texts count as empty and get the score of the bias alone. The weights have a fixed size and are
     broadcast once.
     """
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(weights)
+    bits = len(weights).bit_length() - 1
+    shared = df.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")
     def dot(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
