@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from tidemark.llm.decontaminate import op7_decontaminate
-from tidemark.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from tidemark.llm.exact_dedup import op5_exact_dedup
 from tidemark.llm.html_text import op6_html
+from tidemark.llm.oracles import ORACLES
 from tidemark.llm.packing import op3_packing
 from tidemark.llm.pii import op4_pii
 from tidemark.llm.quality import op8_quality
@@ -13,6 +14,8 @@ from tidemark.llm.sharding import op9_rendezvous
 from tidemark.llm.simhash import op1_simhash
 from tidemark.llm.warc import op2_warc
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -25,4 +28,3 @@ QUERIES = {
     "op9_rendezvous": op9_rendezvous,
     "op10_secrets": op10_secrets,
 }
-ORACLES = {"op5_exact_dedup": OP5_SQL}
