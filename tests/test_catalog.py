@@ -80,8 +80,17 @@ def test_coerce_rules(spark):
 def test_late_dates_do_not_decide(spark):
     rows = [(i, f"w{i}" if i < 120 else "2024-01-01") for i in range(130)]
     df = spark.createDataFrame(rows, "k int, a string")
-    assert clean.decide_types(df, "k") == {"a": "string"}
-    assert clean.decide_types(df) == {"a": "timestamp"}
+    assert clean.decide_types(df, "k", "first_values") == {"a": "string"}
+    assert clean.decide_types(df) == clean.decide_types(df, "k") == {"a": "timestamp"}
+
+
+def test_exact_numbers_and_dotted_names(spark):
+    rows = [("9007199254740993", "1e5", "9" * 30, "1"), ("-9223372036854775808", "12.0", "5", "2024-01-02"), ("", "nan", "1", "x")]
+    df = spark.createDataFrame(rows, "`a.id` string, b string, c string, `d.d` string")
+    assert clean.decide_types(df) == {"a.id": "bigint", "b": "bigint", "c": "double", "d.d": "bigint"}
+    out = clean.coerce_types(df).collect()
+    assert [r[0] for r in out] == [9007199254740993, -(2**63), None] and [r[1] for r in out] == [100000, 12, None]
+    assert out[0][2] == 1e30 and [r[3] for r in out] == [1, None, None]
 
 
 def test_profile_with_nulls(spark):
@@ -140,10 +149,14 @@ def test_pages_agree(spark):
     assert page == after and ops.page(df, ["a", "id"], 0, 1).first()["total"] == 95
 
 
-def test_filter_spec_drops_bad_values():
-    got = ops.filter_spec({"x_min": "1", "y_max": "no", "d_date": "2024-01-02T00:00:00Z", "e_date": "bad", "l_list": "a, ,b", "s": "v", "n": None, "m": ""})
-    assert [g[:2] for g in got] == [("x", ">="), ("d", "date"), ("l", "in"), ("s", "=")]
-    assert got[2][2] == ["a", "b"]
+def test_filters_ignore_what_cannot_be_read(spark):
+    df = spark.sql("SELECT 1.0D AS x, 2.0D AS y, TIMESTAMP_NTZ '2024-01-02 00:00:00' AS d, 'a' AS l, 'v' AS s UNION ALL SELECT 0.5D, 9D, TIMESTAMP_NTZ '2024-01-03 00:00:00', 'c', 'w'")
+    count = lambda **spec: ops.apply_filters(df, spec).count()
+    assert count(x_min="1") == 1 and count(x_max=0.7) == 1 and count(y_max="no") == 2 and count(y_min=None, s="") == 2
+    assert count(d_date="2024-01-02T00:00:00Z") == 1 and count(d_date="bad") == 2
+    assert count(l_list="a, ,b") == 1 and count(l_list=["c"], s="w") == 1 and count(s="v") == 1
+    plan = ops.apply_filters(df, {"y_max": "no"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan
 
 
 def test_settings_and_live_rows(spark):

@@ -16,6 +16,9 @@ def views(spark):
     "SELECT '{x} DROP TABLE' AS s FROM nums",
     "SELECT * FROM nums WHERE created_at IN (SELECT id FROM OTHER);",
     "SELECT 1 AS one",
+    "WITH a AS (SELECT 1 AS x), b AS (WITH c AS (SELECT x FROM a) SELECT * FROM c) SELECT * FROM b UNION ALL SELECT id FROM other",
+    "SELECT created_at, row_number() OVER (PARTITION BY created_at % 3 ORDER BY created_at) AS r FROM nums",
+    "SELECT count(*) AS n FROM nums n JOIN other o ON n.created_at = o.id GROUP BY o.id HAVING count(*) > 0 ORDER BY 1 LIMIT 3",
 ])
 def test_allowed(spark, views, sql):
     assert G.guarded_query(spark, sql, views).count() >= 1
@@ -26,6 +29,15 @@ def test_allowed(spark, views, sql):
     "SELECT * FROM parquet.`/etc`", "SET spark.x = 1", "EXPLAIN SELECT 1", "", "  ;", "SELECT * FROM range(5)",
     "SELECT * FROM nums WHERE created_at IN (SELECT id FROM secret)", "TRUNCATE TABLE nums", "CACHE TABLE nums",
     "FROM nums INSERT INTO a SELECT * INSERT INTO b SELECT *",
+    "SELECT secret.* FROM (WITH secret AS (SELECT 1 x) SELECT * FROM secret) a, secret",
+    "SELECT (WITH secret AS (SELECT 1 x) SELECT max(x) FROM secret) FROM secret",
+    "WITH a AS (SELECT * FROM b), b AS (SELECT 1 x) SELECT * FROM a",
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.dir') FROM nums",
+    "SELECT java_method('java.lang.System', 'getProperty', 'user.dir')", "SELECT try_reflect('java.lang.System', 'nanoTime')",
+    "SELECT * FROM nums WHERE reflect('java.lang.System', 'nanoTime') > '1'", "SELECT * FROM nums ORDER BY reflect('java.lang.System', 'nanoTime')",
+    "SELECT current_user()", "SELECT input_file_name() FROM nums", "SELECT * FROM nums LATERAL VIEW stack(2, 1, 2) s AS v",
+    "SELECT count(*) FROM nums GROUP BY reflect('java.lang.System', 'nanoTime')", "SELECT * FROM VALUES (reflect('java.lang.System', 'nanoTime'))",
+    "SELECT TRANSFORM (created_at) USING 'cat' FROM nums",
 ])
 def test_refused(spark, views, sql):
     with pytest.raises(G.UnsafeSql):
@@ -39,6 +51,13 @@ def test_row_cap(spark, views):
     assert (r.row_count, r.has_more) == (3, False)
 
 
+def test_frame_with_a_cap_tells_of_more(spark, views):
+    got = G.guarded_query(spark, "SELECT * FROM nums ORDER BY created_at", views, 100).collect()
+    assert len(got) == 100 and all(r.has_more for r in got)
+    assert not any(r.has_more for r in G.guarded_query(spark, "SELECT * FROM other", views, 3).collect())
+    assert G.guarded_query(spark, "SELECT * FROM nums", views).count() == 250
+
+
 def test_preview(spark, views):
     r = G.preview_sql(spark, "SELECT * FROM nums", views)
     assert (r.row_count, r.has_more, r.is_preview) == (100, True, True)

@@ -80,7 +80,7 @@ def test_fuzzy_topk(spark, kernel, floor, k, small):
     got = match.fuzzy_topk(
         spark.createDataFrame([(x,) for x in texts], "q string"),
         spark.createDataFrame(objects, "object_id bigint, terms array<string>").select("object_id", F.array_sort(F.array_distinct("terms")).alias("terms")),
-        k, floor, kernel, **({} if small else {"small_rows": 0, "block_rows": 7}))
+        k, floor, kernel, **({"small_queries": True} if small else {"block_rows": 7}))
     fn = M.KERNELS[kernel]
     want = set()
     for q in set(texts):
@@ -120,7 +120,7 @@ def test_match_candidates(spark, small):
     got = match.match_candidates(
         spark.createDataFrame(entities, "entity string, entity_type string"),
         spark.createDataFrame(objects, "object_type string, object_id bigint, name string, terms array<string>, description string"),
-        **({} if small else {"small_rows": 0, "block_rows": 16})).collect()
+        **({"small_queries": True} if small else {"block_rows": 16})).collect()
     for e, k in entities:
         mine = [(r["object_type"], r["object_id"], round(r["max_score"], 9)) for r in sorted(got, key=lambda r: r["rank"]) if (r["q"], r["kind"]) == (e, k)]
         assert mine == [(a, b, round(c, 9)) for a, b, c in brute(e, k, objects)], (e, k)

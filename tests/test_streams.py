@@ -104,3 +104,20 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
     assert sorted((r[0], r[1]) for r in rows if r[1]) == [(1, "ann"), (2, "bob"), (3, "cy")]
     assert sorted(r[0] for r in spark.read.parquet(f"{out}/vectors").select("object_id").collect()) == [1, 2, 3]
     assert spark.read.parquet(f"{out}/profiles").where(F.col("column") == "id").count() == 2
+
+
+@pytest.mark.parametrize("key", ["rate_limit_stream", "search_log_stream", "incremental_ingest"])
+def test_a_folder_of_parts_gives_the_rows_of_a_file(spark, tmp_path, key):
+    from tidemark.plans import load_all
+    from tidemark.plans.registry import BASE_TABLES, QUERIES
+
+    load_all()
+    sf = "/root/testdata/sf0.001"
+    for name in BASE_TABLES:
+        if name in ("events", "customer"):
+            spark.read.parquet(f"{sf}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+        else:
+            (tmp_path / f"{name}.parquet").symlink_to(f"{sf}/{name}.parquet")
+    rows = lambda folder: sorted(map(str, QUERIES[key](spark, str(folder)).collect()))
+    want = rows(sf)
+    assert want and rows(tmp_path) == want

@@ -35,7 +35,7 @@ def brute(m, n_q, metric, k, drop_self=False):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
-@pytest.mark.parametrize("sizes", [{}, {"small_rows": 0, "block_rows": 40}])
+@pytest.mark.parametrize("sizes", [{}, {"small_queries": True}, {"block_rows": 40}])
 def test_topk(spark, vecs, metric, sizes):
     q, c = frame(spark, vecs[:50], "qid", "qv"), frame(spark, vecs, "cid", "cv").repartition(5)
     got = {(r["qid"], r["cid"]) for r in V.topk(q, c, 7, metric, **sizes).collect()}
@@ -93,7 +93,7 @@ def test_incremental_embeds_only_missing(spark):
     assert E.embed_incremental(objs, full, overwrite=True).count() == 5
 
 
-def test_failed_batch_is_skipped(spark):
+def test_failed_texts_stay_with_their_error(spark):
     class Flaky:
         def encode(self, texts):
             if any("bad" in t for t in texts):
@@ -101,7 +101,16 @@ def test_failed_batch_is_skipped(spark):
             return np.ones((len(texts), 2))
 
     objs = spark.createDataFrame([(1, "table", i, "bad" if i == 0 else "ok") for i in range(64)], OBJ).coalesce(1)
-    assert E.embed_batch(objs, Flaky).count() == 32
+    got = {r["object_id"]: (r["vector"], r["embed_error"]) for r in E.embed_batch(objs, Flaky).collect()}
+    assert len(got) == 64 and got[0] == (None, "RuntimeError: no")
+    assert all(got[i] == ([1.0, 1.0], None) for i in range(1, 64))
+
+
+def test_null_vectors_do_not_stop_a_search(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [None, 1.0]), (4, [0.6, 0.8])], "cid int, cv array<double>")
+    queries = spark.createDataFrame([(7, [1.0, 0.0]), (8, None)], "qid int, qv array<double>")
+    for small in (True, False):
+        assert [(r.qid, r.cid) for r in V.topk(queries, corpus, 5, small_queries=small).orderBy("rank").collect()] == [(7, 1), (7, 4)]
 
 
 def test_embedding_is_repeatable():

@@ -3,8 +3,8 @@
 Every (query, candidate) score is needed for an exact answer, but no pair is ever a row: rows are
 hashed into blocks of bounded size, two blocks meet in one task, and only the best ``k`` per query
 of that meeting leave it. A window then keeps the best ``k`` over all meetings. Blocks follow a hash
-of the id, so they are even whatever the data looks like. A small query side is instead shipped to
-the candidates' own partitions, which then do not move at all.
+of the id, so they are even whatever the data looks like. Queries that the caller declares small are
+instead shipped to the candidates' own partitions, which then do not move at all.
 """
 
 from __future__ import annotations
@@ -23,16 +23,18 @@ Scorer = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 
 
 def block_topk(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, score: Scorer,
-               schema: str, prune: Callable[[pd.DataFrame], pd.DataFrame], small_rows: int = SMALL_SIDE_ROWS, block_rows: int = BLOCK_ROWS, rebalance: bool = False) -> DataFrame:
+               schema: str, prune: Callable[[pd.DataFrame], pd.DataFrame], small_queries: bool = False, block_rows: int = BLOCK_ROWS, rebalance: bool = False) -> DataFrame:
     """Apply ``score(query_block, corpus_block)`` to all block pairs; it returns its local best.
 
-    ``prune`` cuts the union of two local results back to the best per query, so a partition emits
-    one result however many batches it reads. ``rebalance`` spreads a corpus of few rows that are
+    ``small_queries`` broadcasts the query side; more than SMALL_SIDE_ROWS rows or SMALL_SIDE_BYTES are
+    an error then, not another plan. ``prune`` cuts the union of two local results back to the best per
+    query, so a partition emits one result however many batches it reads. ``rebalance`` spreads a corpus of few rows that are
     costly to score over all cores.
     """
-    # one bounded look decides: whatever does not fit goes block against block
-    head = queries.limit(small_rows + 1).toPandas() if small_rows > 0 else None
-    if head is not None and len(head) <= small_rows and head.memory_usage(deep=True).sum() <= SMALL_SIDE_BYTES:
+    if small_queries:
+        head = queries.limit(SMALL_SIDE_ROWS + 1).toPandas()
+        if len(head) > SMALL_SIDE_ROWS or head.memory_usage(deep=True).sum() > SMALL_SIDE_BYTES:
+            raise ValueError("the query side is too large for a broadcast")
         spark = queries.sparkSession
         held = spark.sparkContext.broadcast(head)
 
@@ -50,6 +52,8 @@ def block_topk(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id:
         return corpus.mapInPandas(scan, schema)
     n_queries, n_corpus = queries.count(), corpus.count()
     qb, cb = max(1, ceil(n_queries / block_rows)), max(1, ceil(n_corpus / block_rows))
+    if rebalance:
+        cb = max(cb, min(n_corpus, queries.sparkSession.sparkContext.defaultParallelism))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("_qb", block(query_id, qb)).withColumn("_cb", every(cb))

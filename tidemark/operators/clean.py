@@ -63,18 +63,20 @@ def datetime_or_null(c: Column) -> Column:
     return F.replace(F.trim(c), F.lit("/"), F.lit("-")).try_cast("timestamp_ntz")
 
 
-def _date_hints(df: DataFrame, cols: list[str], order_key: str | None) -> dict[str, bool]:
+def bigint_or_null(c: Column) -> Column:
+    """A whole number exactly, also one written as 12.0 or 1e5; never by way of a double."""
+    text = F.trim(c)
+    whole = F.coalesce(text.try_cast("bigint"), text.try_cast("decimal(38,6)").try_cast("bigint"))
+    return F.when(c.rlike(rules.NUMBER), whole)
+
+
+def _date_hints(df: DataFrame, cols: list[str], order_key: str) -> dict[str, bool]:
     """Does any of the first 100 non-null values (by ``order_key``) look like a date?"""
     if not cols:
         return {}
-    if order_key is None:
-        hits = df.agg(
-            *[F.max(null_tokens(F.col(c)).rlike(rules.DATE_HINT)).alias(c) for c in cols]
-        ).first()
-        return {c: bool(hits[c]) for c in cols}
     parts = []
     for c in cols:
-        v = null_tokens(F.col(c))
+        v = null_tokens(F.col(f"`{c}`"))
         head = df.where(v.isNotNull()).orderBy(order_key).limit(100)
         parts.append(
             head.agg(F.max(v.rlike(rules.DATE_HINT)).alias("hit")).select(F.lit(c).alias("c"), "hit")
@@ -88,9 +90,13 @@ def _date_hints(df: DataFrame, cols: list[str], order_key: str | None) -> dict[s
 def decide_types(df: DataFrame, order_key: str | None = None, mode: str = "any") -> dict[str, str]:
     """Target type per text column: bigint, double, timestamp, boolean or string.
 
-    ``any``: one numeric value makes a column numeric. ``threshold``: the configured shares of
-    non-null values must fit.
+    ``any``: one numeric value makes a column numeric, else one that looks like a date makes it a
+    timestamp. ``first_values``: the same, but only the first 100 values by ``order_key`` may show the
+    date. ``threshold``: the configured shares of non-null values must fit. All values decide, but for
+    that; whole numbers that fit no bigint make a double.
     """
+    if mode == "first_values" and order_key is None:
+        raise ValueError("first_values needs an order_key")
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     stats: dict[str, int] = {}
     for cols in chunks(text):
@@ -101,7 +107,8 @@ def decide_types(df: DataFrame, order_key: str | None = None, mode: str = "any")
             aggs += [
                 F.count(v).alias(f"{c}|n"),
                 F.count(num).alias(f"{c}|num"),
-                F.count_if(num != F.floor(num)).alias(f"{c}|frac"),
+                F.count_if(num.isNotNull() & ((num != F.floor(num)) | bigint_or_null(v).isNull())).alias(f"{c}|frac"),
+                F.max(v.rlike(rules.DATE_HINT)).alias(f"{c}|hint"),
                 F.count(datetime_or_null(v)).alias(f"{c}|dt"),
                 F.count_if(F.lower(v).isin("true", "false")).alias(f"{c}|bool"),
             ]
@@ -123,10 +130,10 @@ def decide_types(df: DataFrame, order_key: str | None = None, mode: str = "any")
         elif num:
             out[c] = numeric
         else:
-            out[c] = "string"
+            out[c] = "timestamp" if mode == "any" and dt and stats[f"{c}|hint"] else "string"
             if dt:
                 undecided.append(c)
-    if mode == "any":
+    if mode == "first_values":
         for c, hit in _date_hints(df, undecided, order_key).items():
             if hit:
                 out[c] = "timestamp"
@@ -139,8 +146,10 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     def convert(c: str) -> Column:
         v = null_tokens(F.col(f"`{c}`"))
         kind = types[c]
-        if kind in ("bigint", "double"):
-            return number_or_null(v).cast(kind).alias(c)
+        if kind == "bigint":
+            return bigint_or_null(v).alias(c)
+        if kind == "double":
+            return number_or_null(v).alias(c)
         if kind == "timestamp":
             return datetime_or_null(v).alias(c)
         if kind == "boolean":

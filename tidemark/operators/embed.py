@@ -47,10 +47,27 @@ class HashEmbedder:
         return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0).astype(np.float32)
 
 
+def encode_all(model, texts: list[str]) -> tuple[list[list[float] | None], list[str | None]]:
+    """(vectors, errors), one of the two per text."""
+    plain = lambda vecs: [np.asarray(v, dtype=np.float32).tolist() for v in vecs]
+    try:
+        return plain(model.encode(texts)), [None] * len(texts)
+    except Exception as ex:  # noqa: BLE001 - whatever a model raises is told per row
+        if len(texts) == 1:
+            return [None], [f"{type(ex).__name__}: {ex}"]
+    each = [encode_all(model, [x]) for x in texts]
+    return [v for vecs, _ in each for v in vecs], [e for _, errors in each for e in errors]
+
+
 def embed_batch(objects: DataFrame, factory: Callable[[], object] = HashEmbedder, model_name: str = "hash-64",
                 text: str = "text", batch: int = BATCH) -> DataFrame:
-    """Add ``vector`` and ``model_name``. The model is built once per task; a failed batch is skipped."""
-    added = [T.StructField("model_name", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType()))]
+    """Add ``model_name``, ``vector`` and ``embed_error``. The model is built once per task.
+
+    A batch that fails is tried again row by row; a text that fails alone stays with a null vector and
+    the error's text, so no row is lost.
+    """
+    added = [T.StructField("model_name", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType())),
+             T.StructField("embed_error", T.StringType())]
     schema = T.StructType(objects.schema.fields + added)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,11 +75,8 @@ def embed_batch(objects: DataFrame, factory: Callable[[], object] = HashEmbedder
         for pdf in frames:
             for start in range(0, len(pdf), batch):
                 part = pdf.iloc[start : start + batch]
-                try:
-                    vecs = model.encode(part[text].fillna("").tolist())
-                except Exception:  # noqa: BLE001 - a failed batch is skipped by contract
-                    continue
-                yield part.assign(model_name=model_name, vector=[np.asarray(v, dtype=np.float32).tolist() for v in vecs])
+                vecs, errors = encode_all(model, part[text].fillna("").tolist())
+                yield part.assign(model_name=model_name, vector=vecs, embed_error=errors)
 
     return objects.mapInPandas(run, schema)
 

@@ -155,39 +155,50 @@ def settings_merge(log: DataFrame, key: str, settings: str, order: list[str]) ->
     return last.groupBy(key).agg(F.map_from_entries(packed).alias("settings"))
 
 
-def filter_spec(spec: dict) -> list[tuple[str, str, object]]:
-    """Typed (column, operator, value) triples from a filter map; empty and bad values drop out."""
-    from datetime import datetime
+def _number(value) -> Column:
+    return F.lit(str(value)).try_cast("double")
 
+
+def _moment(value) -> Column:
+    """A time; the zone of an ISO text is dropped, as the columns carry none."""
+    return F.regexp_replace(F.lit(str(value)), r"(?:Z|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz")
+
+
+def _listed(value) -> list[str]:
+    return [v.strip() for v in value.split(",") if v.strip()] if isinstance(value, str) else list(value)
+
+
+#: what a suffix of a filter's name asks for: (column, value) to a predicate
+FILTER_SUFFIXES = {
+    "_min": lambda c, v: c >= _number(v),
+    "_max": lambda c, v: c <= _number(v),
+    "_date": lambda c, v: c == _moment(v),
+    "_list": lambda c, v: c.isin(*_listed(v)),
+}
+
+
+def filter_predicates(spec: dict) -> list[Column]:
+    """A predicate per filter of the map; empty filters drop out.
+
+    A bound that cannot be read is null and would keep nothing, so such a filter is ignored instead:
+    ``predicate or (bound is null)`` over literals, which Catalyst folds away before the scan.
+    """
     out = []
-    for key, value in spec.items():
+    for name, value in spec.items():
         if value is None or value == "":
             continue
-        suffix = key.rsplit("_", 1)[-1]
-        base = key[: -len(suffix) - 1] if suffix in ("min", "max", "date", "list") and "_" in key else key
-        try:
-            if base != key and suffix in ("min", "max"):
-                out.append((base, ">=" if suffix == "min" else "<=", float(value)))
-            elif base != key and suffix == "date":
-                when = datetime.fromisoformat(value.replace("Z", "+00:00")) if isinstance(value, str) else value
-                out.append((base, "date", when))
-            elif base != key and suffix == "list":
-                items = [v.strip() for v in value.split(",") if v.strip()] if isinstance(value, str) else list(value)
-                out.append((base, "in", items))
-            else:
-                out.append((key, "=", value))
-        except (TypeError, ValueError):
+        suffix = next((s for s in FILTER_SUFFIXES if name.endswith(s) and len(name) > len(s)), None)
+        if suffix is None:
+            out.append(F.col(f"`{name}`") == value)
             continue
+        test = FILTER_SUFFIXES[suffix](F.col(f"`{name[: -len(suffix)]}`"), value)
+        readable = {"_min": _number, "_max": _number, "_date": _moment}.get(suffix)
+        out.append(test if readable is None else test | readable(value).isNull())
     return out
 
 
 def apply_filters(df: DataFrame, spec: dict) -> DataFrame:
-    """Compile a filter map to predicates, which Catalyst pushes to the scan."""
-    test = {
-        ">=": lambda c, v: c >= v, "<=": lambda c, v: c <= v, "=": lambda c, v: c == v,
-        "in": lambda c, v: c.isin(*v),
-        "date": lambda c, v: c == F.lit(v.isoformat(sep=" ")).cast("timestamp_ntz"),
-    }
-    for name, op, value in filter_spec(spec):
-        df = df.where(test[op](F.col(name), value))
+    """The rows that pass all filters of the map; the predicates reach the scan."""
+    for predicate in filter_predicates(spec):
+        df = df.where(predicate)
     return df

@@ -24,20 +24,34 @@ def name_pii_type(name: Column) -> Column:
     return F.coalesce(*[F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in rules.PII_NAMES_MODEL])
 
 
+def _starts_known(v: Column) -> Column:
+    hit = F.lit(False)
+    for p in rules.PII_VALUES_FILE.values():
+        hit = hit | v.rlike(f"^(?:{p})")
+    return hit
+
+
+def flag_cells_file(cells: DataFrame) -> DataFrame:
+    """Per (table, column): flagged by its name or by any value that starts with a known shape; one pass."""
+    hit = F.coalesce(F.bool_or(_starts_known(F.col("value"))), F.lit(False))
+    flags = cells.groupBy("table", "column").agg(hit.alias("hit"))
+    return flags.select("table", "column", (name_is_pii(F.col("column")) | F.col("hit")).alias("pii_flag"))
+
+
+def flag_cells_model(cells: DataFrame) -> DataFrame:
+    """Per (table, column): name keyword first, then the first listed pattern found in any value; one pass."""
+    pats = rules.PII_VALUES_MODEL
+    hits = cells.groupBy("table", "column").agg(*[F.bool_or(F.col("value").rlike(p)).alias(f"has_{k}") for k, p in pats.items()])
+    kind = F.coalesce(name_pii_type(F.col("column")), *[F.when(F.col(f"has_{k}"), F.lit(k)) for k in pats])
+    return hits.select("table", "column", kind.isNotNull().alias("pii_flag"), kind.alias("pii_type"))
+
+
 def flag_columns_file(samples: DataFrame) -> DataFrame:
     """``samples``: one row per (table, column) with an array of probe values.
 
     A column is flagged by its name or by a value that starts with a known shape.
     """
-    patterns = list(rules.PII_VALUES_FILE.values())
-
-    def starts(v):
-        hit = F.lit(False)
-        for p in patterns:
-            hit = hit | v.rlike(f"^(?:{p})")
-        return hit
-
-    flag = name_is_pii(F.col("column")) | F.exists("values", starts)
+    flag = name_is_pii(F.col("column")) | F.exists("values", _starts_known)
     return samples.select("table", "column", flag.alias("pii_flag"))
 
 

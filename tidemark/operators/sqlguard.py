@@ -102,33 +102,53 @@ class UnsafeSql(ValueError):
 
 
 def check_plan(spark: SparkSession, sql: str, views: set[str]) -> set[str]:
-    """Parse without running; reject commands, writes, functions in FROM, and unknown relations.
+    """Parse without running and walk the plan by scope; returns the view names the query reads.
 
-    Returns the view names the query reads.
+    Only the plan nodes of plain queries and the functions in ``rules.SQL_FUNCTIONS`` are let through; a
+    relation must be a view, or a CTE that is in scope where it is named.
     """
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    load = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader().loadClass
-    banned = [load(f"org.apache.spark.sql.catalyst.plans.logical.{c}") for c in ("Command", "ParsedStatement")]
-
-    def walk(node) -> None:
-        if any(cls.isInstance(node) for cls in banned):
-            raise UnsafeSql(f"only queries are allowed, not {node.getClass().getSimpleName()}")
-        children = node.children()
-        for i in range(children.size()):
-            walk(children.apply(i))
-
-    walk(plan)
-    # the tree also shows subqueries inside expressions
-    tree = plan.treeString()
-    if re.search(r"UnresolvedTableValuedFunction|ScriptTransformation|UnresolvedInlineTable", tree):
-        raise UnsafeSql("table functions and scripts are not allowed")
-    read = {m.replace(" ", "").lower() for m in re.findall(r"'UnresolvedRelation \[([^\]]*)\]", tree)}
-    local = {c.strip().lower() for m in re.findall(r"^[^'\n]*CTE \[([^\]]*)\]", tree, re.M) for c in m.split(",")}
-    known = {v.lower() for v in views}
-    unknown = sorted(read - known - local)
-    if unknown:
-        raise UnsafeSql(f"unknown table {unknown[0]}")
-    return read & known - local
+    loader = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    subquery = loader.loadClass("org.apache.spark.sql.catalyst.expressions.SubqueryExpression")
+    known, read = {v.lower() for v in views}, set()
+
+    def items(seq):
+        return [seq.apply(i) for i in range(seq.size())]
+
+    def expression(node, scope: frozenset[str]) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind in ("UnresolvedFunction", "UnresolvedGenerator"):
+            parts = items(node.nameParts()) if kind == "UnresolvedFunction" else [node.name().funcName()]
+            name = ".".join(parts).lower()
+            if name not in rules.SQL_FUNCTIONS:
+                raise UnsafeSql(f"function {name} is not allowed")
+        if subquery.isInstance(node):
+            walk(node.plan(), scope)
+        for child in items(node.children()):
+            expression(child, scope)
+
+    def walk(node, scope: frozenset[str]) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind not in rules.SQL_PLAN_NODES:
+            raise UnsafeSql(f"only queries are allowed, not {kind}")
+        if kind == "UnresolvedRelation":
+            name = ".".join(items(node.multipartIdentifier())).lower()
+            if name not in scope:
+                if name not in known:
+                    raise UnsafeSql(f"unknown table {name}")
+                read.add(name)
+        if kind == "UnresolvedWith":
+            for cte in items(node.cteRelations()):
+                name = cte._1().lower()
+                walk(cte._2(), scope | {name} if node.allowRecursion() else scope)
+                scope = scope | {name}
+        for e in items(node.expressions()):
+            expression(e, scope)
+        for child in items(node.children()):
+            walk(child, scope)
+
+    walk(plan, frozenset())
+    return read
 
 
 @dataclass
@@ -140,8 +160,11 @@ class GuardedResult:
     is_preview: bool = False
 
 
-def guarded_query(spark: SparkSession, sql: str, views: dict[str, DataFrame], max_rows: int | None = rules.SQL_MAX_ROWS) -> DataFrame:
-    """Checked query as a lazy DataFrame over ``views`` only, with at most ``max_rows`` rows."""
+def guarded_query(spark: SparkSession, sql: str, views: dict[str, DataFrame], max_rows: int | None = None) -> DataFrame:
+    """Checked query as a lazy DataFrame over ``views`` only: all rows.
+
+    With ``max_rows`` at most so many, and a column ``has_more`` that tells whether there are others.
+    """
     text = sql.strip().rstrip(";").strip()
     if not text:
         raise UnsafeSql("empty SQL query")
@@ -154,13 +177,16 @@ def guarded_query(spark: SparkSession, sql: str, views: dict[str, DataFrame], ma
         own = re.match(r"(?is)\s*with\s", body)
         body = f"WITH {ctes}, {body[own.end():]}" if own else f"WITH {ctes} {body}"
     out = spark.sql(body, **frames)
-    return out if max_rows is None else out.limit(max_rows)
+    if max_rows is None:
+        return out
+    head = out.limit(max_rows + 1)
+    return head.limit(max_rows).withColumn("has_more", head.agg(F.count(F.lit(1)) > max_rows).scalar())
 
 
 def run_guarded(spark: SparkSession, sql: str, views: dict[str, DataFrame], max_rows: int = rules.SQL_MAX_ROWS,
                 preview: bool = False) -> GuardedResult:
     """Fetch at most ``max_rows`` rows; one more is asked for to know whether there are others."""
-    df = guarded_query(spark, sql, views, max_rows + 1)
+    df = guarded_query(spark, sql, views).limit(max_rows + 1)
     rows = [tuple(r) for r in df.collect()]
     return GuardedResult(df.columns, rows[:max_rows], min(len(rows), max_rows), len(rows) > max_rows, preview)
 

@@ -102,16 +102,24 @@ def _pruner(k: int):
     return prune
 
 
+def usable(df: DataFrame, vector: str) -> DataFrame:
+    """Rows whose vector is there and has no null in it; the others cannot be scored."""
+    return df.where(F.col(vector).isNotNull() & ~F.exists(F.col(vector), lambda x: x.isNull()))
+
+
 def topk(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "cosine",
          min_score: float | None = None, exclude_self: bool = False, **block_sizes) -> DataFrame:
     """Exact nearest neighbours. ``queries``: qid, qv; ``corpus``: cid, cv. Gives qid, cid, score, rank.
 
+    Rows with a null vector are left out. ``small_queries=True`` says that the queries fit a broadcast.
+
     ``l2`` orders by distance, nearest first, with score 1/(1+d).
     """
     if metric not in METRICS:
         raise ValueError(f"unsupported similarity metric: {metric}")
     schema = f"qid {queries.schema['qid'].dataType.simpleString()}, cid {corpus.schema['cid'].dataType.simpleString()}, score double"
-    local = block_topk(queries.select("qid", "qv"), corpus.select("cid", "cv"), "qid", "cid",
+    left, right = usable(queries.select("qid", "qv"), "qv"), usable(corpus.select("cid", "cv"), "cv")
+    local = block_topk(left, right, "qid", "cid",
                        _scorer(k, metric, min_score, exclude_self), schema, _pruner(k), **block_sizes)
     return keep_topk(local, ["qid"], [F.desc("score"), F.col("cid")], k)
 
@@ -132,7 +140,8 @@ def assign_cells(df: DataFrame, vector: str, centres: np.ndarray, n: int = 1) ->
 
     @F.pandas_udf("array<int>")
     def nearest(v: pd.Series) -> pd.Series:
-        s = _matrix(v, True) @ held.value.T
+        # the nearest centre to v has the largest v.c - |c|^2 / 2: means of unit vectors are shorter than 1
+        s = _matrix(v, True) @ held.value.T - 0.5 * (held.value**2).sum(axis=1)
         return pd.Series(list(np.argsort(-s, axis=1, kind="stable")[:, :n].astype("int32")))
 
     return df.withColumn("cell", F.explode(nearest(vector)))
@@ -145,6 +154,7 @@ def ivf_topk(queries: DataFrame, corpus: DataFrame, centres: np.ndarray, k: int
     A cell is split into salted parts by a hash of the id, so a cell that holds a third of the
     corpus is scored on many tasks; the queries are repeated for each part.
     """
+    queries, corpus = usable(queries, "qv"), usable(corpus, "cv")
     n_salt = max(1, -(-corpus.count() // (salt_rows * len(centres))))
     right = assign_cells(corpus, "cv", centres).withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(n_salt)).cast("int"))
     left = assign_cells(queries, "qv", centres, n_probe).withColumn(

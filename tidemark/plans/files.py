@@ -25,7 +25,7 @@ def csv_sniff(t):
                           "o_totalprice", "o_orderdate")
     path = written(t, src, "csv", "orders.csv", header=True, sep=";")
     raw = files.read_csv(t.spark, path)
-    return clean.rename_clean(clean.coerce_types(raw, order_key=None))
+    return clean.rename_clean(clean.coerce_types(raw))
 
 
 @query("csv_scan", "SELECT p_partkey::VARCHAR AS p_partkey, p_name, p_brand, p_retailprice::VARCHAR AS p_retailprice, 'part_list' AS table_name FROM part")
@@ -77,11 +77,6 @@ def json_text_column(t):
     return clean.rename_clean(files.flatten(df))
 
 
-@query("file_inventory")
-def file_inventory(t):
-    return files.file_inventory(t.spark, t.sf_dir)
-
-
 @query("export_json", "SELECT entry_id, term, array_to_string(synonyms, ',') AS synonyms FROM cat_entries WHERE status = 'approved'")
 def export_json(t):
     path = f"{scratch_dir(t.spark, 'export')}/entries"

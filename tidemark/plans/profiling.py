@@ -85,7 +85,7 @@ _NULLS = "('', 'null', 'NULL', 'None', 'NaN', 'nan')"
                CASE WHEN day_text NOT IN {_NULLS} THEN try_cast(day_text AS TIMESTAMP) END AS day_text, kind_text FROM r""",
 )
 def coerce_types(t):
-    return clean.coerce_types(t.sql(RAW_TEXT), order_key="event_id")
+    return clean.coerce_types(t.sql(RAW_TEXT))
 
 
 @query(
@@ -242,14 +242,26 @@ def _starts(v):
     return " OR ".join(f"regexp_matches({v}, '^(?:{p})')" for p in rules.PII_VALUES_FILE.values())
 
 
+_NAMED = " OR ".join(f"contains(\"column\", '{w}')" for w in rules.PII_NAMES_FILE)
+
+
 @query(
     "pii_columns_file",
+    f"""WITH c AS ({_CELLS(None)})
+        SELECT "table", "column", bool_or({_NAMED} OR (value IS NOT NULL AND ({_starts('value')}))) AS pii_flag FROM c GROUP BY ALL""",
+)
+def pii_columns_file(t):
+    return pii.flag_cells_file(cells(t, list(STAR)))
+
+
+@query(
+    "pii_columns_file_probe",
     f"""WITH c AS ({_CELLS(None)}),
          r AS (SELECT *, row_number() OVER (PARTITION BY "table", "column" ORDER BY key) AS rn FROM c WHERE value IS NOT NULL)
-        SELECT "table", "column", bool_or({" OR ".join(f"contains(\"column\", '{w}')" for w in rules.PII_NAMES_FILE)}
+        SELECT "table", "column", bool_or({_NAMED}
             OR ({_starts('value')})) AS pii_flag FROM r WHERE rn <= 50 GROUP BY ALL""",
 )
-def pii_columns_file(t):
+def pii_columns_file_probe(t):
     return pii.flag_columns_file(profile.probe_values(cells(t, list(STAR))))
 
 
@@ -264,13 +276,23 @@ _LABELLED = """
 
 @query(
     "pii_columns_model",
+    f"""WITH l AS ({_LABELLED.replace('{cat_columns}', 'cat_columns')}),
+         d AS (SELECT name AS "column", CASE {" ".join(_MODEL_NAME).replace('contains("column"', 'contains(name')} {" ".join(_MODEL_VALUE)} END AS pii_type FROM l GROUP BY name)
+        SELECT 'labelled' AS "table", "column", pii_type IS NOT NULL AS pii_flag, pii_type FROM d""",
+)
+def pii_columns_model(t):
+    return pii.flag_cells_model(t.sql(_LABELLED).select(F.lit("labelled").alias("table"), F.col("name").alias("column"), "key", "value"))
+
+
+@query(
+    "pii_columns_model_probe",
     f"""WITH l AS ({_LABELLED.replace('{cat_columns}', 'cat_columns')}),
          r AS (SELECT name AS "column", value, row_number() OVER (PARTITION BY name ORDER BY key) AS rn FROM l),
          d AS (SELECT "column", CASE {" ".join(_MODEL_NAME)} {" ".join(_MODEL_VALUE)} END AS pii_type
                FROM r WHERE rn <= 10 GROUP BY "column")
         SELECT 'labelled' AS "table", "column", pii_type IS NOT NULL AS pii_flag, pii_type FROM d""",
 )
-def pii_columns_model(t):
+def pii_columns_model_probe(t):
     rows = t.sql(_LABELLED).select(F.lit("labelled").alias("table"), F.col("name").alias("column"), "key", "value")
     return pii.flag_columns_model(profile.probe_values(rows, 10))
 

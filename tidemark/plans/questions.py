@@ -16,11 +16,6 @@ def turn_pairs(t):
     return t.conversations.withColumn("prev", F.lag("text").over(w)).where("prev IS NOT NULL")
 
 
-@query("seq_ratio")
-def seq_ratio(t):
-    return M.score_pairs(turn_pairs(t), "text", "prev", "matcher").select("conv_id", "turn", F.round("score", 6).alias("score"))
-
-
 @query("fuzz_ratio")
 def fuzz_ratio(t):
     return M.score_pairs(turn_pairs(t), "text", "prev", "indel").select("conv_id", "turn", "score")
@@ -396,12 +391,12 @@ for _name, _text in SMOKE.items():
 _ORDERED = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey"
 
 
-@query("run_guarded_sql", _ORDERED + " LIMIT 10000")
+@query("run_guarded_sql", _ORDERED)
 def run_guarded_sql(t):
     return G.guarded_query(t.spark, _ORDERED + ";", views_of(t))
 
 
-@query("preview_sql", _ORDERED + " LIMIT 100")
+@query("preview_sql", f"SELECT *, (SELECT count(*) > 100 FROM orders WHERE o_orderstatus = 'F') AS has_more FROM ({_ORDERED} LIMIT 100)")
 def preview_sql(t):
     return G.guarded_query(t.spark, _ORDERED, views_of(t), rules.SQL_PREVIEW_ROWS)
 

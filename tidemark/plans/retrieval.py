@@ -84,14 +84,14 @@ def embed_batch(t):
 
 
 def objects_of(t):
-    """One object per stored vector and as many again that have none."""
+    """One object per stored vector and as many again that have none, under ids below zero."""
     base = t.cat_embeddings.select("project_id", "object_type", "object_id")
-    new = base.withColumn("object_id", F.col("object_id") + 1000000)
+    new = base.withColumn("object_id", -1 - F.col("object_id"))
     return base.unionByName(new).withColumn("text", F.concat_ws(" ", "object_type", F.col("object_id").cast("string")))
 
 
 _OBJECTS = """objects AS (SELECT project_id, object_type, object_id FROM cat_embeddings
-    UNION ALL SELECT project_id, object_type, object_id + 1000000 FROM cat_embeddings)"""
+    UNION ALL SELECT project_id, object_type, -1 - object_id FROM cat_embeddings)"""
 
 
 @query(
@@ -110,7 +110,7 @@ def embed_incremental(t):
     """SELECT project_id, object_type, object_id, model_name, list_sum(vector::DOUBLE[]) IS NOT NULL AS has_vector FROM cat_embeddings""",
 )
 def embed_replace(t):
-    fresh = E.embed_batch(objects_of(t).where("object_id < 1000000"), model_name="hash-64")
+    fresh = E.embed_batch(objects_of(t).where("object_id >= 0"), model_name="hash-64")
     stored = t.cat_embeddings.select(*E.KEYS, "vector")
     same = fresh.select(*E.KEYS, "vector").join(stored.where("model_name = 'hash-64'").select(*E.KEYS), E.KEYS, "left_semi")
     return E.replace_scope(stored, same).select(*E.KEYS, F.col("vector").isNotNull().alias("has_vector"))
@@ -219,7 +219,7 @@ def similar_objects(t):
 @query("similar_objects_drop_first", _SELF.format(where="") + " SELECT qid, cid, score, (rank - 1)::INTEGER AS rank FROM r WHERE rank BETWEEN 2 AND 6")
 def similar_objects_drop_first(t):
     # block sizes are set low here so that the many-queries path is the one that is checked
-    ranked = V.topk(all_vectors(t), corpus_vectors(t), 6, small_rows=0, block_rows=200)
+    ranked = V.topk(all_vectors(t), corpus_vectors(t), 6, block_rows=200)
     return R.drop_first(ranked, 5)
 
 

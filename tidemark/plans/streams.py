@@ -1,4 +1,4 @@
-"""Streams and their batch forms (T1-T3). The stream source is the table's own Parquet file."""
+"""Streams and their batch forms (T1-T3). The stream source is the table itself, one file or a folder of parts."""
 
 from pyspark.sql import functions as F
 
@@ -10,7 +10,12 @@ from tidemark.streaming import ingest, rate_limit as RL, search_log as SL
 
 
 def stream_of(t, name):
-    return (t.spark.readStream.schema(getattr(t, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.sf_dir))
+    """A stream needs a folder to watch: the table's own, or for a single file the folder it is in, cut to that file."""
+    path = t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.sf_dir}/{name}.parquet")
+    stream = t.spark.readStream.schema(getattr(t, name).schema)
+    if path.getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return stream.parquet(path.toString())
+    return stream.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString())
 
 
 def run_to_table(t, stream, name):

@@ -194,3 +194,36 @@ SQL_FORBIDDEN_CHAT = [
 ]
 SQL_BLOCKED_SERVICE = ["DELETE", "UPDATE", "INSERT", "DROP", "ALTER", "CREATE", "TRUNCATE"]
 SQL_ALLOWED_SERVICE = ["SELECT", "WITH", "EXPLAIN"]
+
+# fixed values: what a guarded query may be made of
+SQL_PLAN_NODES = frozenset((
+    "UnresolvedRelation", "UnresolvedWith", "SubqueryAlias", "UnresolvedSubqueryColumnAliases", "Project", "Filter", "UnresolvedHaving", "Aggregate",
+    "Join", "LateralJoin", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Intersect", "Except", "WithWindowDefinition",
+    "OneRowRelation", "OneRowRelation$", "Generate", "Pivot", "Unpivot", "UnresolvedOrderBy", "NamedParametersQuery",
+))
+SQL_FUNCTIONS = frozenset((
+    # aggregates
+    "count", "sum", "avg", "mean", "min", "max", "median", "mode", "stddev", "stddev_pop", "stddev_samp", "variance", "var_pop", "var_samp", "corr",
+    "covar_pop", "covar_samp", "percentile", "percentile_approx", "approx_count_distinct", "any_value", "first", "last", "min_by", "max_by",
+    "bool_and", "bool_or", "every", "some", "any", "count_if", "collect_list", "collect_set", "array_agg", "listagg", "string_agg", "grouping", "grouping_id",
+    # windows
+    "row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile", "lag", "lead", "first_value", "last_value", "nth_value",
+    # conditions and casts
+    "coalesce", "nullif", "ifnull", "nvl", "nvl2", "if", "greatest", "least", "isnull", "isnotnull", "isnan", "when", "cast", "try_cast",
+    "int", "bigint", "double", "float", "decimal", "string", "boolean", "date", "timestamp",
+    # numbers
+    "abs", "ceil", "ceiling", "floor", "round", "bround", "sign", "signum", "sqrt", "cbrt", "exp", "ln", "log", "log2", "log10", "pow", "power", "mod",
+    "pmod", "div", "width_bucket", "try_divide", "try_add", "try_subtract", "try_multiply",
+    # text
+    "lower", "lcase", "upper", "ucase", "initcap", "trim", "ltrim", "rtrim", "btrim", "length", "char_length", "character_length", "substr", "substring",
+    "substring_index", "left", "right", "lpad", "rpad", "concat", "concat_ws", "replace", "translate", "reverse", "repeat", "split", "split_part", "position",
+    "locate", "instr", "contains", "startswith", "endswith", "like", "ilike", "rlike", "regexp", "regexp_like", "regexp_extract", "regexp_extract_all",
+    "regexp_replace", "regexp_count", "regexp_substr", "ascii", "chr", "md5", "sha2", "format_number", "format_string",
+    # time
+    "current_date", "current_timestamp", "now", "year", "quarter", "month", "week", "weekofyear", "day", "dayofmonth", "dayofweek", "dayofyear", "hour",
+    "minute", "second", "date_trunc", "trunc", "date_add", "dateadd", "date_sub", "date_diff", "datediff", "add_months", "months_between", "last_day",
+    "next_day", "date_format", "to_date", "to_timestamp", "make_date", "extract", "date_part", "unix_timestamp", "from_unixtime",
+    # arrays and maps
+    "array", "size", "cardinality", "array_contains", "element_at", "explode", "posexplode", "array_distinct", "array_sort", "sort_array", "sequence", "struct",
+    "named_struct", "map",
+))

@@ -1,4 +1,4 @@
-"""A fresh folder for intermediate tables: below ``spark.checkpoint.dir`` where the session names one."""
+"""A fresh folder for intermediate tables, below the shared folder that ``spark.checkpoint.dir`` names."""
 
 from __future__ import annotations
 
@@ -9,8 +9,13 @@ from pyspark.sql import SparkSession
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """The setting is the cluster's shared folder; only a session without it (tests) gets a local one."""
+    """A session without the setting gets a folder of its own where driver and executors are one machine.
+
+    On a cluster it is an error: executors would write to their own disks and the read back would miss rows.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return tempfile.mkdtemp(prefix=f"{name}-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
