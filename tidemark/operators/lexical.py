@@ -36,13 +36,14 @@ def n_docs(docs: DataFrame):
     return docs.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
-def tfidf_build(docs: DataFrame, doc_id: str, text: str, max_features: int | None = rules.TFIDF_MAX_FEATURES,
+def tfidf_build(docs: DataFrame, doc_id: str, text: str, max_features: int | None = None,
                 n_max: int = 2, stop_words=None) -> tuple[DataFrame, DataFrame]:
     """(postings: doc, term, weight; vocabulary: term, df, idf). Rows of a document have unit norm.
 
-    The capped vocabulary is found first, from term totals. It is at most ``max_features`` rows, so
-    Spark broadcasts it by its size, and terms outside it are dropped before anything is shuffled by
-    document. The counts are used twice with the same plan, so their shuffle is reused.
+    All terms are kept, or with ``max_features`` the most frequent ones: these are found first, from term
+    totals, and terms outside are dropped before anything is shuffled by document. The counts are used
+    twice with the same plan, so their shuffle is reused. Build once, save the two parts
+    (``sources.sinks.save_index``) and search the saved ones.
     """
     terms = terms_of(docs, doc_id, text, n_max, stop_words)
     if max_features:
@@ -71,8 +72,14 @@ def tfidf_queries(queries: DataFrame, query_id: str, text: str, vocab: DataFrame
 
 
 def tfidf_search(postings: DataFrame, query_terms: DataFrame, k: int = 10, min_score: float | None = rules.SEARCH_MIN_SCORE) -> DataFrame:
-    """(query, doc, score, rank). Scores are summed map-side; with ``min_score`` None only zeros drop."""
-    hits = query_terms.join(postings, "term").groupBy("query", "doc").agg(
+    """(query, doc, score, rank). Scores are summed map-side; with ``min_score`` None only zeros drop.
+
+    Postings are cut to the terms that queries ask for before they meet the queries. Both joins are plain
+    equi-joins on scans, so Spark broadcasts the query terms where they are small and splits hot terms
+    where they are not.
+    """
+    wanted = postings.join(query_terms.select("term").distinct(), "term", "left_semi")
+    hits = query_terms.join(wanted, "term").groupBy("query", "doc").agg(
         F.round(F.sum(F.col("qw") * F.col("weight")), 6).alias("score"))
     hits = hits.where(F.col("score") > 0 if min_score is None else F.col("score") >= min_score)
     return keep_topk(hits, ["query"], [F.desc("score"), F.col("doc")], k)
@@ -82,17 +89,19 @@ def bm25_build(docs: DataFrame, doc_id: str, text: str, k1: float = rules.BM25_K
                stop_words=None) -> DataFrame:
     """(doc, term, weight) with the whole document part of BM25 precomputed."""
     counts = term_counts(docs, doc_id, text, 1, stop_words)
-    lengths = counts.groupBy("doc").agg(F.sum("tf").alias("dl"))
     n = n_docs(docs)
     # a text without tokens has length zero but still counts in the mean
-    mean = lengths.agg(F.sum("dl").alias("s")).scalar() / n
+    mean = counts.agg(F.sum("tf").alias("s")).scalar() / n
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
-    return counts.join(lengths, "doc").join(df, "term").select("doc", "term", (idf * part).alias("weight"))
+    # the terms of one text meet for its length: a window over one shuffle, not a join of two tables of that size
+    sized = counts.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc")))
+    return sized.join(df, "term").select("doc", "term", (idf * part).alias("weight"))
 
 
 def bm25_search(postings: DataFrame, queries: DataFrame, query_id: str, text: str, k: int = 10, stop_words=None) -> DataFrame:
     q = term_counts(queries, query_id, text, 1, stop_words).select(F.col("doc").alias("query"), "term")
-    hits = q.join(postings, "term").groupBy("query", "doc").agg(F.round(F.sum("weight"), 6).alias("score"))
+    wanted = postings.join(q.select("term").distinct(), "term", "left_semi")
+    hits = q.join(wanted, "term").groupBy("query", "doc").agg(F.round(F.sum("weight"), 6).alias("score"))
     return keep_topk(hits.where("score > 0"), ["query"], [F.desc("score"), F.col("doc")], k)

@@ -4,7 +4,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark import rules
 from tidemark.functions import scalar as S
 from tidemark.operators import clean, lexical as L
 from tidemark.plans.registry import ORACLES, query
@@ -95,7 +94,7 @@ def export_csv(t):
 def index_save_load(t):
     path = f"{scratch_dir(t.spark, 'index')}/tfidf"
     postings, vocab = L.tfidf_build(t.spread("documents", "doc_id", "text"), "doc_id", "text")
-    sinks.save_index({"postings": postings, "vocabulary": vocab}, path, {"type": "tfidf", "max_features": rules.TFIDF_MAX_FEATURES})
+    sinks.save_index({"postings": postings, "vocabulary": vocab}, path, {"type": "tfidf"})
     parts, _ = sinks.load_index(t.spark, path)
     return L.tfidf_search(parts["postings"], L.tfidf_queries(t.benchmark, "item_id", "text", parts["vocabulary"]), 10)
 

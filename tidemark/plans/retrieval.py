@@ -6,6 +6,7 @@ from tidemark import rules
 from tidemark.functions import text as X
 from tidemark.operators import embed as E, lexical as L, retrieve as R, vector as V
 from tidemark.plans.columns import sql_list
+from tidemark.plans.indexes import saved_index
 from tidemark.plans.registry import query
 
 # --- object texts -------------------------------------------------------------------------
@@ -241,7 +242,7 @@ def _terms(src, key):
 
 _TFIDF = f"""dc AS (SELECT id, term, count(*) AS tf FROM ({_terms('documents', 'doc_id')}) GROUP BY ALL),
     vocab AS (SELECT term, df, ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + df)) + 1 AS idf FROM
-      (SELECT term, sum(tf) AS total, count(*) AS df FROM dc GROUP BY 1 ORDER BY total DESC, term LIMIT {rules.TFIDF_MAX_FEATURES})),
+      (SELECT term, sum(tf) AS total, count(*) AS df FROM dc GROUP BY 1)),
     dw AS (SELECT id, term, tf * idf AS w FROM dc JOIN vocab USING (term)),
     dn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM dw GROUP BY 1),
     postings AS (SELECT id AS doc, term, w / norm AS weight FROM dw JOIN dn USING (id))"""
@@ -253,17 +254,35 @@ _KW = f"""{_TFIDF}, qc AS (SELECT id, term, count(*) AS tf FROM ({_terms('benchm
     kw AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)::INTEGER AS rank FROM kw_all WHERE score > 0)"""
 
 
-def keyword_hits(t, k, min_score=None):
+def tfidf_parts(t):
     postings, vocab = L.tfidf_build(t.spread("documents", "doc_id", "text"), "doc_id", "text")
-    return L.tfidf_search(postings, L.tfidf_queries(t.benchmark, "item_id", "text", vocab), k, min_score)
+    return {"postings": postings, "vocabulary": vocab}
+
+
+def bm25_parts(t):
+    return {"postings": L.bm25_build(t.spread("documents", "doc_id", "text"), "doc_id", "text")}
+
+
+def keyword_hits(t, k, min_score=None):
+    index = saved_index(t, "tfidf", tfidf_parts)
+    return L.tfidf_search(index["postings"], L.tfidf_queries(t.benchmark, "item_id", "text", index["vocabulary"]), k, min_score)
 
 
-@query("tfidf_build", f"WITH {_TFIDF} SELECT doc, term, round(weight, 6) AS weight FROM postings")
+_TFIDF_BUILD = f"WITH {_TFIDF} SELECT doc, term, round(weight, 6) AS weight FROM postings"
+
+
+@query("tfidf_build", _TFIDF_BUILD)
 def tfidf_build(t):
     postings, _ = L.tfidf_build(t.spread("documents", "doc_id", "text"), "doc_id", "text")
     return postings.select("doc", "term", F.round("weight", 6).alias("weight"))
 
 
+@query("tfidf_build_capped", _TFIDF_BUILD.replace("FROM dc GROUP BY 1)", f"FROM dc GROUP BY 1 ORDER BY total DESC, term LIMIT {rules.TFIDF_MAX_FEATURES})"))
+def tfidf_build_capped(t):
+    postings, _ = L.tfidf_build(t.spread("documents", "doc_id", "text"), "doc_id", "text", rules.TFIDF_MAX_FEATURES)
+    return postings.select("doc", "term", F.round("weight", 6).alias("weight"))
+
+
 @query("tfidf_search", f"WITH {_KW} SELECT query, doc, score, rank FROM kw WHERE rank <= 10 AND score >= 0.1")
 def tfidf_search(t):
     return keyword_hits(t, 10, rules.SEARCH_MIN_SCORE)
@@ -291,8 +310,7 @@ def _unigrams(src, key):
         SELECT query, doc, score, rank FROM r WHERE rank <= 10""",
 )
 def bm25_search(t):
-    postings = L.bm25_build(t.spread("documents", "doc_id", "text"), "doc_id", "text")
-    return L.bm25_search(postings, t.benchmark, "item_id", "text", 10)
+    return L.bm25_search(saved_index(t, "bm25", bm25_parts)["postings"], t.benchmark, "item_id", "text", 10)
 
 
 # --- fusion -------------------------------------------------------------------------------
