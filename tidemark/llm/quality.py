@@ -20,9 +20,10 @@ from tidemark.llm.words import blocks, bounds, grams, hashes, mix
 BITS = 18
 #: Training rows at most (in expectation): the sample is drawn by a hash of the id.
 MAX_TRAIN = 12_000
-#: Parts that are trained side by side, rounds after which their states are averaged, passes within a round.
-PARTS, ROUNDS, PASSES = 8, 3, 1
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 0.05, 0.1
+#: Parts that are trained side by side (of PART_ROWS at least), rounds after which their states are averaged,
+#: passes within a round.
+PARTS, PART_ROWS, ROUNDS, PASSES = 8, 1500, 4, 2
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.01
 
 _WORD = np.ones(256, dtype=np.int8)
 _WORD[[9, 10, 11, 12, 13, 32]] = 0
@@ -102,7 +103,7 @@ def train(
 
     The sample is bounded: of more than `max_train` labelled rows a share is drawn by a hash of the id. Each
     part runs over its own rows from the common state; the driver only averages `parts` states of 2**bits
-    numbers a round. Rows with a null label or text-less ids are left out; without rows all weights are 0.
+    numbers a round. A small sample is one part. Rows with a null label or text-less ids are left out; without rows all weights are 0.
     """
     known = pick(labels, doc_id="doc_id", label="quality").where("doc_id is not null and label is not null")
     known = known.where(~held_out(F.col("doc_id")))
@@ -111,6 +112,7 @@ def train(
     most = 1_000_000 if count <= max_train else int(1_000_000 * max_train / count)
     known = known.where(draw < most)
     texts = pick(docs, doc_id="doc_id", text="text").where(draw < most).where(~held_out(F.col("doc_id")))
+    parts = max(1, min(parts, count // PART_ROWS, max_train // PART_ROWS))
     part = F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(9)), F.lit(parts)).cast("int")
     rows = texts.join(known, "doc_id").select("doc_id", "text", "label", part.alias("part"))
     rows = written(rows, "quality-training")
