@@ -15,14 +15,19 @@ from tidemark.sources import files, introspect, jdbc, sinks
     ("n;v\né;2\n".encode("latin-1"), (";", "ISO-8859-1")),
     (b"only\n1\n", (",", "UTF-8")),
     (b"a,b\n", (",", "UTF-8")),
+    (b"", (",", "UTF-8")),
 ])
-def test_sniff(data, want):
-    assert files.sniff_csv(data) == want
+def test_sniff(spark, tmp_path, data, want):
+    (tmp_path / "x.csv").write_bytes(data)
+    assert list(files.sniff_csv(spark, str(tmp_path / "x.csv"))) == [want]
 
 
-def test_sniff_survives_a_cut_character():
-    data = ("a;b\n" + "é;1\n" * 50).encode()
-    assert files.sniff_csv(data[:-4]) == (";", "UTF-8")
+def test_the_whole_file_decides_its_encoding(spark, tmp_path):
+    late = b"a;b\n" + b"plain;1\n" * 200_000 + "Jos\u00e9;2\n".encode("latin-1")
+    (tmp_path / "1.csv").write_bytes(late)
+    (tmp_path / "2.csv").write_bytes("a,b\nZo\u00eb,3\n".encode())
+    got = files.read_csv(spark, str(tmp_path)).where("a <> 'plain'")
+    assert sorted(map(tuple, got.collect())) == [("Jos\u00e9", "2"), ("Zo\u00eb", "3")]
 
 
 def test_csv_with_latin1_and_null_tokens(spark, tmp_path):
@@ -50,10 +55,20 @@ def test_json_list_and_single_object(spark, tmp_path):
     assert files.scan_json(files.read_json(spark, str(tmp_path / "o.json"))).count() == 1
 
 
-def test_first_array_key_is_by_file_order():
-    assert files.first_array_key(b'{"meta": {"list": [1]}, "z": [{"k": 1}], "a": [2]}') == "z"
-    assert files.first_array_key(b'{"s": "x[\\"y", "n": 1}') is None
-    assert files.first_array_key(b"[1]") is None
+def test_first_array_key_is_by_file_order(spark, tmp_path):
+    assert files.first_array_key([b'{"meta": {"list": [1]}, "z": [{"k": 1}], "a": [2]}']) == "z"
+    assert files.first_array_key([b'{"s": "x[\\"y", "n": 1}']) is None
+    assert files.first_array_key([b"[1]"]) is None
+    assert files.first_array_key([b'{"n": 1}\n', b'{"a": [1]}']) is None
+    text = '{"meta": "' + "x\\u00e9" * 300_000 + '", "zeta": [{"k": 1}], "alpha": [{"v": 2}]}'
+    assert files.first_array_key([text.encode()[i : i + 7777] for i in range(0, len(text), 7777)]) == "zeta"
+    (tmp_path / "late.json").write_text(text)
+    path = str(tmp_path / "late.json")
+    assert files.first_array_key_of(spark, path) == "zeta"
+    df = files.read_json(spark, path)
+    assert files.scan_json(df, "zeta").first()["k"] == 1
+    with pytest.raises(ValueError):
+        files.scan_json(df)
 
 
 def test_json_tables(spark, tmp_path):

@@ -48,7 +48,7 @@ def json_source(t) -> str:
 @query("json_scan", "SELECT o_orderkey AS k, o_totalprice AS price FROM orders UNION ALL SELECT -o_orderkey, o_totalprice * 2 FROM orders")
 def json_scan(t):
     path = json_source(t)
-    first = files.first_array_key(files.head_lines(t.spark, path))
+    first = files.first_array_key_of(t.spark, path)
     rows = files.scan_json(files.read_json(t.spark, path, lines=True), first)
     return files.flatten(rows).select("k", F.col("`cost.price`").alias("price"))
 

@@ -1,17 +1,23 @@
-"""File sources. Small head samples decide; one distributed read does the work."""
+"""File sources. Whole files decide how they are read; one distributed read does the work."""
 
 from __future__ import annotations
 
+import base64
+import codecs
 import os
+from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidemark import rules
 from tidemark.functions import scalar as S
 from tidemark.operators.clean import rename_clean
 
-SNIFF_BYTES = 1 << 16
+CHUNK_BYTES = 1 << 16
+#: Characters of a JSON key that are kept; what is longer cannot be a column.
+KEY_LENGTH = 10_000
+PYTHON_CODEC = {"UTF-8": "utf-8", "ISO-8859-1": "latin-1", "windows-1252": "cp1252"}
 
 
 def preview(df: DataFrame, order_key: str, n: int = 10, as_text: bool = True) -> DataFrame:
@@ -31,12 +37,11 @@ def with_nulls(df: DataFrame, tokens: list[str]) -> DataFrame:
     ])
 
 
-def head_lines(spark: SparkSession, path: str, n_bytes: int = SNIFF_BYTES) -> bytes:
-    """The first bytes of the first file under ``path``, read through the cluster's file system."""
-    jvm = spark._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
+def data_files(spark: SparkSession, path: str) -> list:
+    """Hadoop paths of the files under ``path``, in name order."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    statuses = fs.globStatus(hpath)
+    statuses = fs.globStatus(hpath) or []
     files = sorted(
         (s.getPath() for st in statuses for s in (fs.listStatus(st.getPath()) if st.isDirectory() else [st])
          if not s.isDirectory() and not s.getPath().getName().startswith(("_", "."))),
@@ -44,49 +49,75 @@ def head_lines(spark: SparkSession, path: str, n_bytes: int = SNIFF_BYTES) -> by
     )
     if not files:
         raise FileNotFoundError(path)
-    stream = fs.open(files[0])
+    return files
+
+
+def read_chunks(spark: SparkSession, hpath, n_bytes: int = CHUNK_BYTES):
+    """The bytes of one file, chunk by chunk, through the cluster's file system."""
+    jvm = spark._jvm
+    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream, left = fs.open(hpath), fs.getFileStatus(hpath).getLen()
     try:
-        size = min(n_bytes, fs.getFileStatus(files[0]).getLen())
-        return bytes(b & 0xFF for b in jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(size)))
+        while left > 0:
+            size = min(n_bytes, left)
+            yield bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(size)))
+            left -= size
     finally:
         stream.close()
 
 
-PYTHON_CODEC = {"UTF-8": "utf-8", "ISO-8859-1": "latin-1", "windows-1252": "cp1252"}
+def separator_of(header: str, row: str | None) -> str | None:
+    """The first separator that gives more than one column, with no more of them in the first row."""
+    for sep in rules.CSV_SEPARATORS:
+        if row is not None and sep in header and row.count(sep) <= header.count(sep):
+            return sep
+    return None
 
 
-def sniff_csv(sample: bytes) -> tuple[str, str]:
-    """(separator, encoding): first combination that gives more than one column and a data row.
+def sniff_csv(spark: SparkSession, path: str) -> dict[tuple[str, str], list[str]]:
+    """Files under ``path`` by their (separator, encoding).
 
-    Encodings are the outer loop. The comma with UTF-8 is the answer when nothing fits.
+    One distributed pass over all bytes: a file is UTF-8 if every line of it is, else it has the next
+    encoding of the list. The separator comes from the header and first row of each file, in that
+    encoding; without one that fits it is the comma. What reaches the driver is two lines a file.
     """
-    for enc in rules.CSV_ENCODINGS:
-        try:
-            # the sample may end inside a multi-byte character
-            text = sample.decode(PYTHON_CODEC[enc], errors="strict")
-        except UnicodeDecodeError as ex:
-            if ex.start < len(sample) - 4:
-                continue
-            text = sample[: ex.start].decode(PYTHON_CODEC[enc])
-        lines = [ln for ln in text.splitlines() if ln.strip()]
-        for sep in rules.CSV_SEPARATORS:
-            if len(lines) > 1 and sep in lines[0] and max(ln.count(sep) for ln in lines[1:2]) <= lines[0].count(sep):
-                return sep, enc
-    return ",", "UTF-8"
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), "value", (F.col("_metadata.file_block_start") == 0).alias("first_block"),
+        F.monotonically_increasing_id().alias("at"))
+    lines = raw.where(F.trim("value") != "")
+    valid = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
+    top = Window.partitionBy("file").orderBy("at")
+    heads = lines.where("first_block").withColumn("n", F.row_number().over(top)).where("n <= 2")
+    rows = heads.join(valid, "file").select("file", "utf8", "n", F.base64(F.col("value").cast("binary")).alias("line"))
+    by_file: dict[str, list] = {}
+    for r in rows.orderBy("file", "n").collect():
+        by_file.setdefault(r["file"], []).append(r)
+    out: dict[tuple[str, str], list[str]] = {}
+    for file, found in by_file.items():
+        encoding = "UTF-8" if found[0]["utf8"] else next(e for e in rules.CSV_ENCODINGS if e != "UTF-8")
+        text = [base64.b64decode(r["line"]).decode(PYTHON_CODEC[encoding]) for r in found]
+        sep = separator_of(text[0].lstrip("\ufeff"), text[1] if len(text) > 1 else None)
+        out.setdefault((sep or ",", encoding), []).append(file)
+    return out or {(",", "UTF-8"): [path]}
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None,
              schema: str | None = None, extra_nulls: bool = True, multi_line: bool = False) -> DataFrame:
     """Delimited text as strings (types are decided later by ``coerce_types``).
 
-    Without ``sep`` the separator and encoding are sniffed from the first 64 KiB. Quoted line breaks
-    need ``multi_line``, at the price of files that are no longer split.
+    Without ``sep`` the separator and encoding are found per file from all of it (``sniff_csv``); files
+    of each kind are one scan. Quoted line breaks need ``multi_line``, at the price of files that are no
+    longer split.
     """
-    if sep is None:
-        sep, encoding = sniff_csv(head_lines(spark, path))
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding or "UTF-8")
-    reader = reader.option("escape", '"').option("multiLine", multi_line)
-    df = (reader.schema(schema) if schema else reader).csv(path)
+    kinds = {(sep, encoding or "UTF-8"): [path]} if sep is not None else sniff_csv(spark, path)
+
+    def scan(kind: tuple[str, str], files: list[str]) -> DataFrame:
+        reader = spark.read.option("header", True).option("sep", kind[0]).option("encoding", kind[1])
+        reader = reader.option("escape", '"').option("multiLine", multi_line)
+        return (reader.schema(schema) if schema else reader).csv(files)
+
+    scans = [scan(kind, files) for kind, files in sorted(kinds.items())]
+    df = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), scans)
     tokens = list(rules.READ_NULL_TOKENS) + (rules.DEFAULT_NULL_TOKENS if extra_nulls else [])
     return with_nulls(df, tokens)
 
@@ -120,40 +151,61 @@ def _rows_of(df: DataFrame, key: str) -> DataFrame:
 def scan_json(df: DataFrame, first: str | None = None) -> DataFrame:
     """Rows of a parsed JSON file: the first array-valued key, else the record itself.
 
-    Spark sorts inferred field names, so the key that comes first in the file is given by
-    ``first``; without it the first in name order is taken. A top-level list is already rows.
+    Spark sorts inferred field names, so the key that comes first in the file is given by ``first``
+    (``first_array_key``). With several arrays and no such key the order is unknown, which is an error.
+    A top-level list is already rows.
     """
     arrays = array_fields(df)
+    if first not in arrays and len(arrays) > 1:
+        raise ValueError(f"which of {', '.join(arrays)} comes first in the file is not known")
     key = first if first in arrays else (arrays[0] if arrays else None)
     return _rows_of(df, key) if key else df
 
 
-def first_array_key(sample: bytes) -> str | None:
-    """First top-level key of a JSON object whose value opens with ``[``, from the file's head."""
-    text = sample.decode("utf-8", errors="ignore").lstrip()
-    if not text.startswith("{"):
-        return None
-    depth, i, key, last = 0, 0, None, None
-    while i < len(text):
-        ch = text[i]
-        if ch == '"':
-            j = i + 1
-            while j < len(text) and text[j] != '"':
-                j += 2 if text[j] == "\\" else 1
-            last = text[i + 1 : j]
-            i = j
-        elif ch == ":" and depth == 1:
-            key = last
-        elif ch in "{[":
-            if ch == "[" and depth == 1:
-                return key
-            depth += 1
-        elif ch in "}]":
-            depth -= 1
-        i += 1
+def first_array_key(chunks: Iterable[bytes]) -> str | None:
+    """First top-level key of a JSON object whose value opens with ``[``; reads on until it is found.
+
+    Only the nesting, and whether a string is open, are kept between chunks.
+    """
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    depth, in_text, escaped, started = 0, False, False, False
+    word: list[str] = []
+    key = None
+    for chunk in chunks:
+        for ch in decoder.decode(chunk):
+            if in_text:
+                if escaped:
+                    escaped = False
+                elif ch == "\\":
+                    escaped = True
+                elif ch == '"':
+                    in_text = False
+                    continue
+                if depth == 1 and len(word) < KEY_LENGTH:
+                    word.append(ch)
+            elif ch == '"':
+                in_text, word = True, []
+            elif ch == ":" and depth == 1:
+                key = "".join(word)
+            elif ch in "{[":
+                if not started and ch == "[":
+                    return None
+                started = True
+                if ch == "[" and depth == 1:
+                    return key
+                depth += 1
+            elif ch in "}]":
+                depth -= 1
+                if depth == 0:
+                    return None
     return None
 
 
+def first_array_key_of(spark: SparkSession, path: str) -> str | None:
+    """The first array-valued key of the first file's first record."""
+    return first_array_key(read_chunks(spark, data_files(spark, path)[0]))
+
+
 def json_tables(df: DataFrame, stem: str) -> dict[str, DataFrame]:
     """Every array-valued key as a table ``{stem}_{key}``; all share the one read."""
     return {f"{stem}_{k}": flatten(_rows_of(df, k)) for k in array_fields(df)}
