@@ -172,3 +172,12 @@ def test_no_group_collects_more_than_asked(spark):
     top = profile.first_values(profile.melt(hot, "t", ["v"], "k"), 10)
     assert top.count() == 10
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_relationships_of_text_dates_and_exact_numbers(spark):
+    big = 2**53
+    a = spark.sql(f"SELECT * FROM VALUES ('x', DATE '2024-01-01', {big}L, -0.0D), ('y', DATE '2024-01-02', {big + 1}L, 1D), ('z', DATE '2024-01-09', {big + 2}L, 2D) AS v(code, day, id, num)")
+    b = spark.sql(f"SELECT * FROM VALUES ('x', TIMESTAMP_NTZ '2024-01-02 00:00:00', {big + 1}L, 0.0D), ('x', NULL, {big + 1}L, 0.5D) AS v(ref, at, `some.id`, n)")
+    got = {(r.child_column, r.parent_column): (r.child_values, r.matched, r.confidence) for r in profile.relationships({"a": a, "b": b}).collect()}
+    assert got == {("ref", "code"): (1, 1, 1.0), ("at", "day"): (1, 1, 1.0), ("some.id", "id"): (1, 1, 1.0), ("n", "num"): (2, 1, 0.5)}
+    assert profile.relationships({"a": a, "b": b}, 0.9).count() == 3

@@ -73,9 +73,9 @@ def test_ivf_recall_and_skew(spark):
     m = (centre[pick] + rng.normal(size=(900, 16))).astype("float32")
     q, c = frame(spark, m[:40], "qid", "qv"), frame(spark, m, "cid", "cv")
     exact = V.topk(q, c, 5)
-    found = V.ivf_topk(q, c, V.train_cells(c, 6), 5, n_probe=3, salt_rows=50)
+    found = V.ivf_topk(q, c, V.train_cells(c, 6), 5, n_probe=3, block_rows=50)
     assert V.recall(found, exact).first()["recall"] >= 0.9
-    every = V.ivf_topk(q, c, V.train_cells(c, 6), 5, n_probe=6, salt_rows=50)
+    every = V.ivf_topk(q, c, V.train_cells(c, 6), 5, n_probe=6, block_rows=50)
     assert V.recall(every, exact).first()["recall"] == 1.0
 
 

@@ -205,36 +205,83 @@ def inclusion(child: DataFrame, child_col: str, parent: DataFrame, parent_col: s
     )
 
 
-def inclusion_candidates(profiles: DataFrame, keys: DataFrame) -> DataFrame:
-    """(child, parent) column pairs worth testing: same type, child range inside the parent range.
-
-    Catalog-sized: one row per column. The equi-join is on the type; the range test prunes pairs
-    before any table is read.
+#: what a column's values are compared as: (family, type)
+FAMILIES = ("whole", "bigint"), ("number", "double"), ("time", "timestamp_ntz"), ("text", "string")
+#: text up to this length is its own key, longer text its digest
+KEY_LENGTH = 64
+
+
+def family_of(dtype: T.DataType) -> tuple[str, str] | None:
+    """Columns are compared within a family: whole numbers, other numbers, times, texts."""
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return FAMILIES[0]
+    if is_numeric(dtype):
+        return FAMILIES[1]
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return FAMILIES[2]
+    return FAMILIES[3] if isinstance(dtype, T.StringType) else None
+
+
+def column_ranges(df: DataFrame, table: str) -> DataFrame:
+    """One row per comparable column: rows, non-null values and the exact smallest and largest one, by family."""
+    fields = [(f, family_of(f.dataType)) for f in df.schema.fields if family_of(f.dataType)]
+    aggs, rows = [F.count(F.lit(1)).alias("_rows")], []
+    for i, (f, (name, kind)) in enumerate(fields):
+        c = F.col(f"`{f.name}`").cast(kind)
+        aggs += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
+        at = lambda end, i=i, name=name: [
+            (F.col(f"{end}{i}") if n == name else F.lit(None)).cast(k).alias(f"{end}_{n}") for n, k in FAMILIES]
+        rows.append(F.struct(
+            F.lit(table).alias("table"), F.lit(f.name).alias("column"), F.lit(name).alias("family"),
+            F.col("_rows").alias("rows"), F.col(f"n{i}").alias("filled"), *at("lo"), *at("hi")))
+    return _explode_stats(df.agg(*aggs), rows)
+
+
+def column_values(df: DataFrame, table: str) -> DataFrame:
+    """The distinct values of every comparable column: table, column, family, key. Long texts go as digests."""
+    cells = []
+    for f in df.schema.fields:
+        if family := family_of(f.dataType):
+            v = F.col(f"`{f.name}`").cast(family[1])
+            v = (v + F.lit(0.0) if family[0] == "number" else v).cast("string")  # -0.0 is 0.0
+            key = F.when(F.length(v) > KEY_LENGTH, F.concat(F.lit("#"), F.sha2(v.cast("binary"), 256))).otherwise(F.concat(F.lit("="), v))
+            cells.append(F.struct(F.lit(f.name).alias("column"), F.lit(family[0]).alias("family"), key.alias("key")))
+    flat = df.select(F.lit(table).alias("table"), F.explode(F.array(*cells)).alias("c")).select("table", "c.*")
+    return flat.where("key IS NOT NULL").distinct()
+
+
+def relationships(tables: dict[str, DataFrame], min_confidence: float = 0.0, folder: str | None = None) -> DataFrame:
+    """(child, parent) column pairs where the parent is a key and the child's range lies inside its own.
+
+    All pairs are tested at once: the distinct values of all columns meet by value, once, and a value has at
+    most one row a column. Confidence is the share of the child's values found. Nothing is collected; pairs
+    and ranges are tables of the size of the schema. ``folder`` keeps the distinct values there, so that they
+    are found once for their three uses.
     """
-    parents = profiles.join(keys, ["table", "column"], "left_semi").where("min_value IS NOT NULL")
-    p = parents.select("dtype", F.col("table").alias("parent_table"), F.col("column").alias("parent_column"),
-                       F.col("min_value").alias("plo"), F.col("max_value").alias("phi"))
-    c = profiles.where("min_value IS NOT NULL").select(
-        "dtype", F.col("table").alias("child_table"), F.col("column").alias("child_column"),
-        F.col("min_value").alias("lo"), F.col("max_value").alias("hi"))
-    fits = (F.col("lo") >= F.col("plo")) & (F.col("hi") <= F.col("phi"))
+    ranges = union_all([column_ranges(df, n) for n, df in tables.items()])
+    values = union_all([column_values(df, n) for n, df in tables.items()])
+    if folder:
+        values.write.parquet(folder)
+        values = values.sparkSession.read.schema(values.schema).parquet(folder)
+    counts = values.groupBy("table", "column").agg(F.count(F.lit(1)).alias("distinct"))
+    columns = ranges.join(counts, ["table", "column"])
+    ends = [f"{end}_{n}" for end in ("lo", "hi") for n, _ in FAMILIES]
+    child = columns.select("family", F.col("table").alias("child_table"), F.col("column").alias("child_column"),
+                           F.col("distinct").alias("child_values"), *ends)
+    keys = columns.where("rows > 0 AND filled = rows AND distinct = rows").select(
+        "family", F.col("table").alias("parent_table"), F.col("column").alias("parent_column"), *[F.col(e).alias(f"p_{e}") for e in ends])
+    fits = F.lit(False)
+    for n, _ in FAMILIES:
+        fits = fits | ((F.col(f"lo_{n}") >= F.col(f"p_lo_{n}")) & (F.col(f"hi_{n}") <= F.col(f"p_hi_{n}")))
     other = (F.col("child_table") != F.col("parent_table")) | (F.col("child_column") != F.col("parent_column"))
-    return c.join(p, "dtype").where(fits & other).select(
-        "child_table", "child_column", "parent_table", "parent_column")
-
-
-def relationships(tables: dict[str, DataFrame], profiles: DataFrame, keys: DataFrame,
-                  min_confidence: float = 0.0) -> DataFrame:
-    """Test every candidate pair; the pair list is schema-sized and read on the driver."""
-    pairs = inclusion_candidates(profiles, keys).orderBy("child_table", "child_column", "parent_table", "parent_column").collect()
-    if not pairs:
-        schema = "child_table string, child_column string, parent_table string, parent_column string, child_values bigint, matched bigint, confidence double"
-        return profiles.sparkSession.createDataFrame([], schema)
-    tested = []
-    for r in pairs:
-        got = inclusion(tables[r["child_table"]], r["child_column"], tables[r["parent_table"]], r["parent_column"])
-        tested.append(got.select(*[F.lit(r[k]).alias(k) for k in r.asDict()], "child_values", "matched", "confidence"))
-    return union_all(tested).where(F.col("confidence") >= min_confidence)
+    names = ["child_table", "child_column", "parent_table", "parent_column"]
+    pairs = child.join(keys, "family").where(F.coalesce(fits, F.lit(False)) & other).select(*names, "child_values")
+    of_keys = values.withColumnsRenamed({"table": "parent_table", "column": "parent_column"}).join(
+        keys.select("parent_table", "parent_column"), ["parent_table", "parent_column"], "left_semi")
+    met = values.withColumnsRenamed({"table": "child_table", "column": "child_column"}).join(of_keys, ["family", "key"])
+    matched = met.groupBy(*names).agg(F.count(F.lit(1)).alias("matched"))
+    out = pairs.join(matched, names, "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+    return out.withColumn("confidence", F.round(F.col("matched") / F.col("child_values"), 4)).where(F.col("confidence") >= min_confidence)
 
 
 def table_governance(tables: DataFrame, columns: DataFrame, embeddings: DataFrame) -> DataFrame:

@@ -148,24 +148,35 @@ def assign_cells(df: DataFrame, vector: str, centres: np.ndarray, n: int = 1) ->
 
 
 def ivf_topk(queries: DataFrame, corpus: DataFrame, centres: np.ndarray, k: int = 10, n_probe: int = 10,
-             salt_rows: int = 20000) -> DataFrame:
-    """Approximate cosine neighbours: score only the ``n_probe`` nearest cells of each query.
+             block_rows: int = 20000) -> DataFrame:
+    """Approximate cosine neighbours: score only the ``n_probe`` nearest cells of each query; all cells are exact.
 
-    A cell is split into salted parts by a hash of the id, so a cell that holds a third of the
-    corpus is scored on many tasks; the queries are repeated for each part.
+    Both sides of a cell are split by a hash of the id into as many parts as their own counts ask for, so a
+    cell with a third of the corpus or of the queries is scored on many tasks, none with more than about
+    ``block_rows`` rows of a side. Only the counts per cell come to the driver.
     """
     queries, corpus = usable(queries, "qv"), usable(corpus, "cv")
-    n_salt = max(1, -(-corpus.count() // (salt_rows * len(centres))))
-    right = assign_cells(corpus, "cv", centres).withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(n_salt)).cast("int"))
-    left = assign_cells(queries, "qv", centres, n_probe).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(n_salt - 1))))
+    right = assign_cells(corpus.select("cid", "cv"), "cv", centres)
+    left = assign_cells(queries.select("qid", "qv"), "qv", centres, n_probe)
+
+    def parts(df: DataFrame):
+        counts = {r["cell"]: -(-r["count"] // block_rows) for r in df.groupBy("cell").count().collect()}
+        table = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair]) if counts else F.create_map().cast("map<int,int>")
+        return F.coalesce(table[F.col("cell")].cast("int"), F.lit(1))
+
+    own = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    of_left, of_right = parts(left), parts(right)
+    left = left.withColumn("lp", own("qid", of_left)).withColumn("rp", every(of_right))
+    right = right.withColumn("rp", own("cid", of_right)).withColumn("lp", every(of_left))
     inner = _scorer(k, "cosine", None, False)
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame() if a.empty or b.empty else inner(a, b)
 
     schema = f"qid {queries.schema['qid'].dataType.simpleString()}, cid {corpus.schema['cid'].dataType.simpleString()}, score double"
-    local = left.groupBy("cell", "salt").cogroup(right.groupBy("cell", "salt")).applyInPandas(meet, schema)
+    keys = ["cell", "lp", "rp"]
+    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
     return keep_topk(local, ["qid"], [F.desc("score"), F.col("cid")], k)
 
 

@@ -6,6 +6,7 @@ from tidemark import rules
 from tidemark.functions import scalar as S
 from tidemark.operators import clean, pii, profile
 from tidemark.plans.registry import query
+from tidemark.sources.scratch import scratch_dir
 
 # order key and columns per profiled table, with the dtype the profile reports
 STAR = {
@@ -416,30 +417,35 @@ def inclusion_dependencies(t):
         for a, x, b, y in pairs])
 
 
-_BIGINT_COLUMNS = [(n, c) for n in KEYED for c, d in STAR[n][1].items() if d == "bigint"]
+_FAMILY = {"bigint": ("whole", "BIGINT"), "int": ("whole", "BIGINT"), "double": ("number", "DOUBLE"),
+           "timestamp_ntz": ("time", "TIMESTAMP"), "string": ("text", "VARCHAR")}
 
 
-def _pair_sql(child, parent):
-    (ct, c), (pt, p) = child, parent
-    return f"""SELECT '{ct}' AS child_table, '{c}' AS child_column, '{pt}' AS parent_table, '{p}' AS parent_column,
-        (SELECT count(DISTINCT {c}) FROM {ct}) AS child_values,
-        (SELECT count(DISTINCT {c}) FROM {ct} WHERE {c} IN (SELECT {p} FROM {pt})) AS matched
-        WHERE (SELECT count(DISTINCT {p}) = count(*) FROM {pt}) AND (SELECT min({c}) FROM {ct}) >= (SELECT min({p}) FROM {pt})
-          AND (SELECT max({c}) FROM {ct}) <= (SELECT max({p}) FROM {pt})"""
+def _range_sql(n, c, d, k):
+    own, _ = _FAMILY[d]
+    ends = ", ".join(
+        f"{f'{fn}({c})' if name == own else 'NULL'}::{kind} AS {end}_{name}" for end, fn in (("lo", "min"), ("hi", "max"))
+        for name, kind in dict(_FAMILY.values()).items())
+    return f"""SELECT '{n}' AS t, '{c}' AS c, '{own}' AS family, count(*) AS rows, count({c}) AS filled, count(DISTINCT {c}) AS dist, {ends} FROM {n}"""
+
+
+_INSIDE = " OR ".join(f"(a.lo_{n} >= b.lo_{n} AND a.hi_{n} <= b.hi_{n})" for n in dict(_FAMILY.values()))
 
 
 @query(
     "relationships",
-    "SELECT *, round(matched::DOUBLE / child_values, 4) AS confidence FROM ("
-    + " UNION ALL ".join(_pair_sql(a, b) for a in _BIGINT_COLUMNS for b in _BIGINT_COLUMNS if a != b) + ")",
+    f"""WITH col AS ({union_sql(_range_sql)}),
+         v AS ({union_sql(lambda n, c, d, k: f"SELECT DISTINCT '{n}' AS t, '{c}' AS c, '{_FAMILY[d][0]}' AS family, {c}::VARCHAR AS v FROM {n} WHERE {c} IS NOT NULL")}),
+         p AS (SELECT a.t AS child_table, a.c AS child_column, b.t AS parent_table, b.c AS parent_column, a.dist AS child_values
+               FROM col a JOIN col b ON a.family = b.family AND b.filled = b.rows AND b.dist = b.rows AND (a.t <> b.t OR a.c <> b.c) AND ({_INSIDE})),
+         m AS (SELECT x.t AS child_table, x.c AS child_column, y.t AS parent_table, y.c AS parent_column, count(*) AS matched
+               FROM v x JOIN v y ON x.family = y.family AND x.v = y.v JOIN p ON p.child_table = x.t AND p.child_column = x.c
+                 AND p.parent_table = y.t AND p.parent_column = y.c GROUP BY ALL)
+        SELECT *, round(matched::DOUBLE / child_values, 4) AS confidence FROM (
+          SELECT p.*, coalesce(matched, 0) AS matched FROM p LEFT JOIN m USING (child_table, child_column, parent_table, parent_column))""",
 )
 def relationships(t):
-    names = ["customer", "orders", "part", "supplier"]
-    tables = {n: getattr(t, n) for n in names}
-    profiles = each(t, profile.profile_columns, names).where("dtype = 'bigint'")
-    counts = each(t, profile.profile_table, names).select("table", "row_count")
-    keys = profile.key_candidates(profiles, counts)
-    return profile.relationships(tables, profiles, keys)
+    return profile.relationships({n: getattr(t, n) for n in STAR}, folder=f"{scratch_dir(t.spark, 'values')}/values")
 
 
 @query(

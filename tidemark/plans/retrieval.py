@@ -230,6 +230,25 @@ def ann_ivf_topk(t):
     return V.ivf_topk(query_vectors(t), corpus, V.train_cells(corpus, 16), 10, n_probe=6)
 
 
+_EXACT10 = f"WITH {_SEM} SELECT qid, cid, score, rank FROM sem WHERE rank <= 10"
+
+
+@query("ann_ivf_all_cells", _EXACT10)
+def ann_ivf_all_cells(t):
+    """Every cell probed: the same as exact search. Small parts, so that split cells are what is checked."""
+    corpus = corpus_vectors(t)
+    return V.ivf_topk(query_vectors(t), corpus, V.train_cells(corpus, 16), 10, n_probe=16, block_rows=40)
+
+
+@query("ann_recall", "SELECT true AS reached")
+def ann_recall(t):
+    """Whether three of four cells find at least 0.95 of the exact neighbours."""
+    corpus = corpus_vectors(t)
+    found = V.ivf_topk(query_vectors(t), corpus, V.train_cells(corpus, 16), 10, n_probe=12)
+    exact = V.topk(query_vectors(t), corpus, 10)
+    return V.recall(found, exact).select((F.col("recall") >= 0.95).alias("reached"))
+
+
 # --- keyword search -----------------------------------------------------------------------
 _STOP = sql_list(rules.KEY_TERM_STOP_WORDS)
 
