@@ -31,6 +31,20 @@ def _explode_stats(stats: DataFrame, rows: list[Column]) -> DataFrame:
     return stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+#: text up to this length is its own key, longer text its digest
+KEY_LENGTH = 64
+
+
+def text_key(v: Column) -> Column:
+    """What stands for a text where only equality counts, so that long texts are not shuffled."""
+    return F.when(F.length(v) > KEY_LENGTH, F.concat(F.lit("#"), F.sha2(v.cast("binary"), 256))).otherwise(F.concat(F.lit("="), v))
+
+
+def distinct_key(f: T.StructField) -> Column:
+    c = F.col(f"`{f.name}`")
+    return text_key(c) if isinstance(f.dataType, T.StringType) else c
+
+
 def profile_columns(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
     """Null and distinct counts, numeric min/max/avg (3 decimals), category: one pass per 50 columns.
 
@@ -43,7 +57,7 @@ def profile_columns(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
         aggs, rows = [F.count(F.lit(1)).alias("_rows")], []
         for f in fields:
             c, q = F.col(f"`{f.name}`"), lambda k, f=f: F.col(f"`{f.name}|{k}`")
-            aggs += [F.count(c).alias(f"{f.name}|n"), distinct(c).alias(f"{f.name}|d")]
+            aggs += [F.count(c).alias(f"{f.name}|n"), distinct(distinct_key(f)).alias(f"{f.name}|d")]
             null = F.lit(None).cast("double")
             lo = hi = avg = null
             if is_numeric(f.dataType):
@@ -71,7 +85,7 @@ def profile_columns_lengths(df: DataFrame, table: str) -> DataFrame:
         aggs, rows = [F.count(F.lit(1)).alias("_rows")], []
         for f in fields:
             c, q = F.col(f"`{f.name}`"), lambda k, f=f: F.col(f"`{f.name}|{k}`")
-            aggs += [F.count(c).alias(f"{f.name}|n"), F.count_distinct(c).alias(f"{f.name}|d")]
+            aggs += [F.count(c).alias(f"{f.name}|n"), F.count_distinct(distinct_key(f)).alias(f"{f.name}|d")]
             text = isinstance(f.dataType, T.StringType)
             lo = hi = F.lit(None).cast("string")
             size = F.lit(None).cast("bigint")
@@ -102,14 +116,15 @@ def business_category_by_name(name: Column) -> Column:
 def first_values(cells: DataFrame, n: int = 10) -> DataFrame:
     """First ``n`` distinct non-null values per column by order key.
 
-    Values are reduced to one row each before the window, and the rank filter lets Spark cut every
-    partition to ``n`` rows per column before the shuffle, so a column is never gathered whole.
+    Distinct is decided on short keys; the rank filter lets Spark cut every partition to ``n`` rows per
+    column before the shuffle; the texts of those few are then looked up in the cells.
     """
-    seen = cells.where(F.col("value").isNotNull()).groupBy("table", "column", "value").agg(
-        F.min("key").alias("key")
-    )
-    w = Window.partitionBy("table", "column").orderBy("key", "value")
-    return seen.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    live = cells.where(F.col("value").isNotNull()).withColumn("is", text_key(F.col("value")))
+    seen = live.groupBy("table", "column", "is").agg(F.min("key").alias("key"))
+    w = Window.partitionBy("table", "column").orderBy("key", "is")
+    top = seen.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    found = live.join(top, ["table", "column", "is", "key"])
+    return found.groupBy("table", "column", "rank").agg(F.first("value").alias("value"), F.min("key").alias("key"))
 
 
 def sample_values(cells: DataFrame, n: int = 10) -> DataFrame:
@@ -122,11 +137,12 @@ def sample_values(cells: DataFrame, n: int = 10) -> DataFrame:
 
 def sample_by_hash(cells: DataFrame, n: int = 10) -> DataFrame:
     """Repeatable sample of distinct values: the ``n`` smallest MD5 digests per column."""
-    seen = cells.where(F.col("value").isNotNull()).select("table", "column", "value").distinct()
-    w = Window.partitionBy("table", "column").orderBy(F.md5("value"), "value")
-    top = seen.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    live = cells.where(F.col("value").isNotNull()).select("table", "column", "value", F.md5(F.col("value").cast("binary")).alias("digest"))
+    w = Window.partitionBy("table", "column").orderBy("digest")
+    top = live.select("table", "column", "digest").distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    found = live.join(top, ["table", "column", "digest"]).groupBy("table", "column", "rank").agg(F.first("value").alias("value"))
     packed = F.array_sort(F.collect_list(F.struct("rank", "value")))
-    return top.groupBy("table", "column").agg(
+    return found.groupBy("table", "column").agg(
         F.transform(packed, lambda s: s["value"]).alias("sample_values")
     )
 
@@ -168,7 +184,7 @@ def quality_scores(df: DataFrame, table: str, valid: dict[str, Column] | None =
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for c in df.columns:
         ok = valid.get(c, F.col(f"`{c}`").isNotNull())
-        aggs += [F.count(F.col(f"`{c}`")).alias(f"{c}|n"), F.count_distinct(F.col(f"`{c}`")).alias(f"{c}|d"),
+        aggs += [F.count(F.col(f"`{c}`")).alias(f"{c}|n"), F.count_distinct(distinct_key(df.schema[c])).alias(f"{c}|d"),
                  F.count_if(ok).alias(f"{c}|v")]
     add = lambda k: reduce(Column.__add__, [F.col(f"`{c}|{k}`") for c in df.columns])
     cells, filled = F.col("_rows") * len(df.columns), add("n")
@@ -207,8 +223,6 @@ def inclusion(child: DataFrame, child_col: str, parent: DataFrame, parent_col: s
 
 #: what a column's values are compared as: (family, type)
 FAMILIES = ("whole", "bigint"), ("number", "double"), ("time", "timestamp_ntz"), ("text", "string")
-#: text up to this length is its own key, longer text its digest
-KEY_LENGTH = 64
 
 
 def family_of(dtype: T.DataType) -> tuple[str, str] | None:
@@ -244,7 +258,7 @@ def column_values(df: DataFrame, table: str) -> DataFrame:
         if family := family_of(f.dataType):
             v = F.col(f"`{f.name}`").cast(family[1])
             v = (v + F.lit(0.0) if family[0] == "number" else v).cast("string")  # -0.0 is 0.0
-            key = F.when(F.length(v) > KEY_LENGTH, F.concat(F.lit("#"), F.sha2(v.cast("binary"), 256))).otherwise(F.concat(F.lit("="), v))
+            key = text_key(v)
             cells.append(F.struct(F.lit(f.name).alias("column"), F.lit(family[0]).alias("family"), key.alias("key")))
     flat = df.select(F.lit(table).alias("table"), F.explode(F.array(*cells)).alias("c")).select("table", "c.*")
     return flat.where("key IS NOT NULL").distinct()

@@ -175,7 +175,8 @@ def profile_columns_lengths(t):
     return each(t, profile.profile_columns_lengths)
 
 
-SAMPLED = ["customer", "supplier", "part", "orders", "events"]
+SAMPLED = ["customer", "supplier", "part", "orders", "events", "documents"]
+PATTERNED = SAMPLED[:-1]
 _CELLS = lambda tables: union_sql(
     lambda n, c, d, k: f"""SELECT '{n}' AS "table", '{c}' AS "column", {k} AS key, {c}::VARCHAR AS value FROM {n}""", tables)
 
@@ -348,14 +349,14 @@ def business_category_name(t):
 
 @query(
     "value_patterns",
-    rf"""WITH c AS ({_CELLS(SAMPLED)}),
+    rf"""WITH c AS ({_CELLS(PATTERNED)}),
          p AS (SELECT "table", "column", regexp_replace(regexp_replace(value, '\p{{L}}', 'A', 'g'), '[0-9]', '9', 'g') AS pattern,
                       count(*) AS n FROM c WHERE value IS NOT NULL GROUP BY ALL),
          r AS (SELECT *, row_number() OVER (PARTITION BY "table", "column" ORDER BY n DESC, pattern) AS rank FROM p)
         SELECT "table", "column", pattern, n, rank::INTEGER AS rank FROM r WHERE rank <= 3""",
 )
 def value_patterns(t):
-    return profile.value_patterns(cells(t, SAMPLED))
+    return profile.value_patterns(cells(t, PATTERNED))
 
 
 @query(
