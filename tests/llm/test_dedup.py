@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup as E
 from tidemark.llm import simhash as S
@@ -53,9 +54,13 @@ def test_chunks_cover_the_text_and_shift(spark):
     assert max(len(x) for c in cut for x in c) <= E.LONGEST
 
 
-def test_verify_finds_an_identifier_of_two_chunks(spark):
+def test_identifiers_of_two_chunks_are_found(spark):
+    df = spark.createDataFrame([("a b",), ("c d",), ("a  b",), (None,)], "text string")
+    first_letter = lambda chunk, seed: F.unhex(F.lit("00")) if seed < 2 else E.chunk_id(chunk, seed)
+    assert E.verified_seed(df) == 0 and E.verified_seed(df, identify=first_letter) == 2
     with pytest.raises(ValueError):
-        E.verify(spark.createDataFrame([(b"1", "a"), (b"1", "b")], "chunk_id binary, chunk string"))
+        E.verified_seed(df, identify=first_letter, most=2)
+    assert sorted(r.chunk for r in E.chunk_table(df).collect()) == ["a b", "c d"]
 
 
 def test_keep_first_keeps_columns_and_one_of_repeated_rows(spark):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import documents, numbered, pick, sha256_hex, written
+from tidemark.llm.shared import documents, numbered, pick, sha256_hex, without, written
 
 #: A chunk ends behind one of these letters and a space, at least SHORTEST and at most LONGEST characters on.
 BOUNDARY, SHORTEST, LONGEST = "[dglmr] ", 512, 4096
@@ -22,31 +24,40 @@ def chunks_of(text: Column, boundary: str = BOUNDARY, shortest: int = SHORTEST,
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def chunk_id(chunk: Column) -> Column:
-    return F.unhex(sha256_hex(chunk))
+def chunk_id(chunk: Column, seed: int = 0) -> Column:
+    """A short identifier, 16 bytes; verify() tells whether it is one of a single chunk."""
+    return F.unhex(F.md5(F.concat(F.lit(f"{seed}:"), chunk).cast("binary")))
 
 
-def chunk_table(df: DataFrame, text: str = "text") -> DataFrame:
-    """Every distinct chunk once, by its whole text: chunk_id, chunk. Moves each distinct chunk once."""
+def chunk_table(df: DataFrame, text: str = "text", seed: int = 0) -> DataFrame:
+    """Every distinct chunk once: chunk_id, chunk."""
     rows = pick(df, text=text).select(F.explode(chunks_of(normalised(F.col("text")))).alias("chunk"))
-    return rows.select(chunk_id(F.col("chunk")).alias("chunk_id"), "chunk").distinct()
+    return rows.select(chunk_id(F.col("chunk"), seed).alias("chunk_id"), "chunk").distinct()
+
 
+def verified_seed(df: DataFrame, text: str = "text", identify: Callable[[Column, int], Column] = chunk_id, most: int = 8) -> int:
+    """The first seed under which no identifier names two different chunks of the corpus.
 
-def verify(chunks: DataFrame) -> None:
-    """Fails if one identifier names two different chunks; only counts of identifiers leave the executors."""
-    bad = chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").count()
-    if bad:
-        raise ValueError(f"{bad} chunk identifiers name more than one chunk")
+    A chunk is compared by its SHA-256, so chunks do not move; pairs of identifier and digest are reduced to
+    one a task before they meet.
+    """
+    chunk = F.explode(chunks_of(normalised(F.col("text")))).alias("chunk")
+    for seed in range(most):
+        pairs = pick(df, text=text).select(chunk).select(
+            identify(F.col("chunk"), seed).alias("id"), F.unhex(sha256_hex(F.col("chunk"))).alias("digest"))
+        if pairs.distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() == 0:
+            return seed
+    raise ValueError("no seed gives each chunk an identifier of its own")
 
 
-def recipes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def recipes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
     """One row per document: doc_id, text_sha256 and recipe, the ordered chunk identifiers. Nothing is moved."""
     norm = normalised(F.col("text"))
     rows = pick(df, doc_id=doc_id, text=text).select("doc_id", norm.alias("norm"))
     return rows.select(
         "doc_id",
         sha256_hex(F.col("norm")).alias("text_sha256"),
-        F.transform(chunks_of(F.col("norm")), chunk_id).alias("recipe"),
+        F.transform(chunks_of(F.col("norm")), lambda c: chunk_id(c, seed)).alias("recipe"),
     )
 
 
@@ -58,8 +69,8 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     columns are ignored. A group is counted map-side before it meets, and only groups of two or more are
     joined back, on tables that Spark can split where one group is hot.
     """
-    verify(chunk_table(df, text))
-    rows = written(recipes(df, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "recipes")
+    seed = verified_seed(df, text)
+    rows = written(recipes(df, doc_id, text, seed).withColumn("row", F.monotonically_increasing_id()), "recipes")
     pairs = rows.groupBy("recipe", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row"))
     groups = pairs.groupBy("recipe").agg(
         F.sum("n").alias("group_size"),
@@ -82,24 +93,11 @@ def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     Only the rows that go are listed; where a row that stays is itself repeated, one of its repeats is taken.
     """
-    found = dedup(df, doc_id, text)
+    gone = dedup(df, doc_id, text).where("not kept").groupBy(F.col(doc_id).alias("id"), F.col("text_sha256").alias("key"))
+    gone = gone.agg(F.bool_or(F.expr(f"`{doc_id}` <=> keep_id")).alias("once"))
     plain, names = numbered(df)
-    key = F.col(f"c{names.index(doc_id)}")
-    rows = plain.withColumn("__sha", sha256_hex(normalised(F.col(f"c{names.index(text)}"))))
-    gone = written(
-        found.where("not kept").groupBy(F.col(doc_id).alias("__id"), F.col("text_sha256").alias("__gone"))
-        .agg(F.first(F.expr(f"`{doc_id}` <=> keep_id")).alias("__again")), "gone",
-    )
-    same = key.eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__gone"))
-    stay = rows.join(gone.where("not __again"), same, "left_anti")
-    again = gone.where("__again")
-    once = stay.join(again, same, "left_anti")
-    repeated = stay.join(again, same, "left_semi").dropDuplicates([key_name(names, doc_id), "__sha"])
-    return once.union(repeated).drop("__sha").toDF(*names)
-
-
-def key_name(names: list[str], name: str) -> str:
-    return f"c{names.index(name)}"
+    key = sha256_hex(normalised(F.col(f"c{names.index(text)}")))
+    return without(plain, gone, f"c{names.index(doc_id)}", key, "copies-gone").toDF(*names)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,27 @@ def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.toDF(*[f"c{i}" for i in range(len(names))]), names
 
 
+def without(df: DataFrame, gone: DataFrame, doc_id: str, text_key: Column, name: str) -> DataFrame:
+    """df, whose columns are c0, c1, ..., without the documents listed in gone (id, key, once).
+
+    text_key names a row's text. A listed document goes with all its rows; with once, one row of it stays.
+    The rows are first met by 64-bit marks of the list, the narrowest table that can tell most rows apart, so
+    that Spark can broadcast it while it is small. Only rows with a mark are then compared by id and key, and
+    only they move.
+    """
+    mark = F.xxhash64(F.col(doc_id), F.col("__key"))
+    gone = written(gone.select(F.col("id").alias("__id"), F.col("key").alias("__gone"), F.col("once").alias("__once")), name)
+    marks = gone.select(F.xxhash64("__id", "__gone").alias("__mark")).distinct()
+    rows = df.withColumn("__key", text_key).withColumn("__mark", mark)
+    marks = written(marks, f"{name}-marks")
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone"))
+    stay = rows.join(marks, "__mark", "left_anti").select(*df.columns)
+    met = rows.join(marks, "__mark", "left_semi").join(gone, same, "left")
+    other = met.where("__gone IS NULL").select(*df.columns)
+    once = met.where("__once").dropDuplicates([doc_id, "__key"]).select(*df.columns)
+    return stay.union(other).union(once)
+
+
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 

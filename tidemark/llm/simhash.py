@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import documents, numbered, pick, sha256_hex, written
+from tidemark.llm.shared import documents, numbered, pick, sha256_hex, without, written
 from tidemark.llm.words import bounds
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -161,11 +161,10 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius:
     gone = found.join(written(first, "stay"), "root").where(
         ~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("keep_key")))
     )
-    gone = written(gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__gone")).distinct(), "gone")
+    gone = gone.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), F.lit(False).alias("once")).distinct()
     plain, names = numbered(df)
-    rows = plain.withColumn("__key", sha256_hex(F.coalesce(F.col(f"c{names.index(text)}"), F.lit(""))))
-    same = F.col(f"c{names.index(doc_id)}").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone"))
-    return rows.join(gone, same, "left_anti").drop("__key").toDF(*names)
+    key = sha256_hex(F.coalesce(F.col(f"c{names.index(text)}"), F.lit("")))
+    return without(plain, gone, f"c{names.index(doc_id)}", key, "near-gone").toDF(*names)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
