@@ -152,16 +152,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", r
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of df without near-duplicates: of each group the smallest doc_id stays, with all its columns.
 
-    Of rows that share that id the smallest text digest stays; rows that share both are one document and stay
-    together. Only the rows that go are listed.
+    Of rows that share that id the smallest text digest stays, and one of those that share both. Only the rows
+    that go, or of which one goes, are listed.
     """
     found = near_duplicates(df, doc_id, text, radius)
     groups = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = groups.groupBy("root").agg(F.min("text_key").alias("keep_key"))
-    gone = found.join(written(first, "stay"), "root").where(
-        ~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("keep_key")))
-    )
-    gone = gone.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), F.lit(False).alias("once")).distinct()
+    keeper = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("keep_key"))
+    each = found.join(written(first, "stay"), "root").groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    gone = each.agg(F.bool_or(keeper).alias("once"), F.count(F.lit(1)).alias("n")).where("not once or n > 1").drop("n")
     plain, names = numbered(df)
     key = sha256_hex(F.coalesce(F.col(f"c{names.index(text)}"), F.lit("")))
     return without(plain, gone, f"c{names.index(doc_id)}", key, "near-gone").toDF(*names)
