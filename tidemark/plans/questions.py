@@ -70,7 +70,7 @@ def extract_entities(t):
     "extract_entities_conversations",
     """WITH n AS (SELECT DISTINCT n_name AS name FROM nation UNION SELECT DISTINCT replace(p_name, ' ', '') FROM part
            UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part UNION SELECT DISTINCT left(split_part(p_name, ' ', 1), 2) FROM part),
-         h AS (SELECT conv_id * 100 + turn AS question_id, name AS entity, instr(lower(text), lower(name)) - 1 AS position,
+         h AS (SELECT concat(conv_id, ':', turn) AS question_id, name AS entity, instr(lower(text), lower(name)) - 1 AS position,
                  row_number() OVER (PARTITION BY conv_id, turn ORDER BY name) AS rank
                FROM conversations JOIN n ON contains(lower(text), lower(name)) WHERE role = 'user')
        SELECT question_id, entity, position::INTEGER AS position FROM h WHERE rank <= 20""",
@@ -80,7 +80,7 @@ def extract_entities_conversations(t):
         UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM {part} UNION SELECT DISTINCT left(split_part(p_name, ' ', 1), 2) FROM {part}""")
     names = words.select(F.lit("table").alias("type"), "name", F.lit(0).cast("bigint").alias("seq"))
     asked = t.conversations.where("role = 'user'").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), F.col("text").alias("question"))
+        F.concat_ws(":", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"))
     return nlq.extract_entities(asked, names).select("question_id", "entity", "position")
 
 
@@ -235,8 +235,8 @@ _DIFF = f"""round(least(0.1::DOUBLE + {_SUM(rules.DIFFICULTY_INDICATORS)} * 0.15
     + CASE WHEN {_WC} > 30 THEN 0.2 WHEN {_WC} > 15 THEN 0.1 ELSE 0 END::DOUBLE, 1.0), 6)"""
 _ANY = lambda ws: " OR ".join(f"contains({_LOW}, '{w}')" for w in ws)
 ASKED = """
-    SELECT question_id, question FROM {questions}
-    UNION ALL SELECT -1 - conv_id * 100 - turn, text FROM {conversations} WHERE role = 'user'"""
+    SELECT cast(question_id AS varchar(20)) AS question_id, question FROM {questions}
+    UNION ALL SELECT concat(cast(conv_id AS varchar(20)), ':', cast(turn AS varchar(20))), text FROM {conversations} WHERE role = 'user'"""
 _ASKED = ASKED.replace("{", "").replace("}", "")
 
 
