@@ -73,6 +73,27 @@ def test_main_text(open_, close):
     assert H.main_text(PAGE.format(open=open_, close=close)) == TEXT
 
 
+def prose(word, size):
+    return (f"{word} " * size)[:size].strip()
+
+
+def test_no_paragraph_is_lost_to_a_longer_one():
+    long, short = prose("long", 800), prose("short", 150)
+    assert H.main_text(f"<div><p>{long}</p><p>{short}</p></div>") == f"{long}\n\n{short}"
+    menu = "".join(f"<li><a href=x>Item {i}</a></li>" for i in range(20))
+    given = [*[prose(f"a{i}", 150) for i in range(6)], prose("huge", 20_000), *[prose(f"b{i}", 150) for i in range(6)]]
+    page = f"<ul class=menu>{menu}</ul><div>{''.join(f'<p>{x}</p>' for x in given)}</div>"
+    assert H.main_text(page) == "\n\n".join(given)
+
+
+def test_chosen_lines_outside_the_best_article_stay():
+    a, b, c = prose("first", 400), prose("second", 600), prose("third", 500)
+    page = f"<article><p>{a}</p></article><article><h2>Head</h2><p>{b}</p></article><div class=ad><p>{prose('ad', 300)}</p></div>"
+    assert H.main_text(page) == f"{a}\n\nHead\n\n{b}"
+    teaser = f"<article><p>{a}</p></article><div><p>{b}</p><p>Short.</p><p>{c}</p></div><footer><p>{prose('foot', 300)}</p></footer>"
+    assert H.main_text(teaser) == f"{a}\n\n{b}\n\nShort.\n\n{c}"
+
+
 def test_odd_pages(spark):
     assert [H.main_text(x) for x in (None, "", "<p", "just text", "<article><p>One.</p></article><p")] == ["", "", "", "just text", "One."]
     got = H.extract(pages(spark, [(1, "u", None), (1, "u", "<article>é b"), (None, None, "<nav>x</nav>")])).collect()

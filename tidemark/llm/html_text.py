@@ -16,8 +16,10 @@ from tidemark.llm.shared import pick
 
 #: Smoothing width in lines, and the share of the ratios' standard deviation that a content line reaches.
 SIGMA, SHARE = 1.0, 0.5
-#: Share of the selected text that an element holds to be the region; of a line's text in links to be a menu.
-HOLDS, LINKED = 0.7, 0.6
+#: Characters a tag from which a line is as good as any: longer ones do not lift the threshold.
+LONG = 200
+#: Share of the selected text that an article holds to be the region whole; of a line's text in links to be a menu.
+LEAST, LINKED = 0.3, 0.6
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table "
@@ -163,36 +165,61 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return whole / np.convolve(np.ones(len(ratios)), kernel, mode="full")[reach : reach + len(ratios)]
 
 
+def threshold(ratios: np.ndarray, share: float = SHARE) -> float:
+    """Share of the ratios' standard deviation; a paragraph counts as LONG at most, so that one alone cannot lift it."""
+    return share * np.minimum(ratios, LONG).std()
+
+
+def ratios_of(lines: list[Line]) -> np.ndarray:
+    return np.array([0.0 if x.around else len(x.text) / max(1, x.tags) for x in lines])
+
+
 def select(lines: list[Line], sigma: float = SIGMA, share: float = SHARE) -> np.ndarray:
     """Lines whose smoothed text-to-tag ratio reaches the threshold and that nothing marks as surroundings."""
-    ratios = np.array([0.0 if x.around else len(x.text) / max(1, x.tags) for x in lines])
-    level = smoothed(ratios, sigma)
-    return (level >= share * ratios.std()) & (ratios > 0)
+    ratios = ratios_of(lines)
+    return (smoothed(ratios, sigma) >= threshold(ratios, share)) & (ratios > 0)
+
+
+def span(lines: list[Line], among: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The lines among these from the first chosen one to the last; those not chosen only if they are not mostly links."""
+    at = np.flatnonzero(among & chosen)
+    if not len(at):
+        return np.zeros(len(lines), bool)
+    plain = np.array([not x.around and x.linked < LINKED * len(x.text) for x in lines])
+    out = among & (chosen | plain)
+    out[: at[0]] = out[at[-1] + 1 :] = False
+    return out
 
 
 def region(page: Page, chosen: np.ndarray) -> list[Line]:
     """The lines of the content region, in page order.
 
-    The region is the article element that holds most of the chosen text; without one, the deepest element that
-    holds most of it, there from the first chosen line to the last and without lines that are mostly links.
-    Short lines between the clusters belong to it, what marks itself as surroundings does not.
+    The region is the article element that holds most of the chosen text, and what is chosen outside it without
+    its lines' help and is not mostly links: in every other article, and in the rest of the page, from the first
+    such line to the last. Without an article, or if it holds little, it is all of the page from the first chosen
+    line to the last. Short lines between the clusters belong to it, what marks itself as surroundings does not.
     """
+    lines = page.lines
     inside: dict[int, int] = {}
-    for line, yes in zip(page.lines, chosen, strict=True):
+    for line, yes in zip(lines, chosen, strict=True):
         if yes:
             for number in line.path:
                 inside[number] = inside.get(number, 0) + len(line.text)
-    total = sum(len(x.text) for x, yes in zip(page.lines, chosen, strict=True) if yes)
-    articles = [n for n in page.articles if inside.get(n, 0) > 0]
+    total = sum(len(x.text) for x, yes in zip(lines, chosen, strict=True) if yes)
+    articles = {n for n in page.articles if inside.get(n, 0) > 0}
     best = max(articles, key=lambda n: (inside[n], n), default=None)
-    if best is not None and inside[best] >= (1 - HOLDS) * total:
-        return [x for x in page.lines if best in x.path and not x.around]
-    best = max((n for n, size in inside.items() if size >= HOLDS * total), default=None)
-    at = np.flatnonzero(chosen)
-    return [
-        x for i, x in enumerate(page.lines)
-        if at[0] <= i <= at[-1] and not x.around and (best is None or best in x.path) and (chosen[i] or x.linked < LINKED * len(x.text))
-    ] if len(at) else []
+    if best is None or inside[best] < LEAST * total:
+        return [x for x, yes in zip(lines, span(lines, np.ones(len(lines), bool), chosen), strict=True) if yes]
+    within = np.array([best in x.path for x in lines])
+    keep = within & np.array([not x.around for x in lines])
+    ratios = ratios_of(lines)
+    alone = np.where(within, 0.0, ratios)
+    menu = np.array([x.linked >= LINKED * len(x.text) for x in lines])
+    more = chosen & ~within & ~menu & (smoothed(alone) >= threshold(ratios))
+    group = np.array([next((n for n in x.path if n in articles), 0) for x in lines])
+    for n in set(group[more].tolist()):
+        keep |= span(lines, (group == n) & ~within, more)
+    return [x for x, yes in zip(lines, keep, strict=True) if yes]
 
 
 def main_text(html: str | None) -> str:
