@@ -94,6 +94,25 @@ def test_chosen_lines_outside_the_best_article_stay():
     assert H.main_text(teaser) == f"{a}\n\n{b}\n\nShort.\n\n{c}"
 
 
+@pytest.mark.parametrize("wrap", [
+    '<div class="layout with-sidebar">{}</div>', '<div id="no-comments">{}</div>', "<form action=x>{}</form>",
+    '<form><div class="has-sidebar"><section id="page-header">{}</section></div></form>', '<body hidden style="display: none">{}</body>',
+])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_marks_on_wrappers_do_not_count(wrap, tag):
+    a, b = prose("one", 400), prose("two", 120)
+    inner = f"<div class=sidebar><p>{prose('side', 90)}</p></div><{tag}><p>{a}</p><p>{b}</p></{tag}><div class=comments><p>{prose('nice', 90)}</p></div>"
+    assert H.main_text(wrap.format(inner)) == f"{a}\n\n{b}"
+
+
+def test_marks_on_boxes_of_small_articles_count():
+    a, b = prose("one", 400), prose("two", 300)
+    small = f"<article><p>{prose('small', 100)}</p></article>"
+    page = f"<article><p>{a}</p><p>{b}</p></article><div class=related>{small}</div><aside>{small}</aside><template><article><p>{a}</p></article></template>"
+    assert H.main_text(page) == f"{a}\n\n{b}"
+    assert H.main_text(f"<nav><article><p>{a}</p></article></nav>") == a
+
+
 def test_odd_pages(spark):
     assert [H.main_text(x) for x in (None, "", "<p", "just text", "<article><p>One.</p></article><p")] == ["", "", "", "just text", "One."]
     got = H.extract(pages(spark, [(1, "u", None), (1, "u", "<article>é b"), (None, None, "<nav>x</nav>")])).collect()

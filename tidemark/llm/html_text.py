@@ -26,11 +26,13 @@ BLOCKS = frozenset(
     "tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never the article's.
+#: Elements whose text is not the article's.
 NEVER = frozenset(
     "script style noscript template head title nav footer aside form button select option textarea input label iframe object svg "
     "math canvas audio video map dialog menu search".split()
 )
+#: Those of them, and the hidden ones, that never hold an article either; the others may be wrapped around one.
+CLOSED = NEVER - frozenset("nav footer aside form dialog menu search".split())
 #: Words in a class, id or role that mark what stands around an article.
 AROUND = frozenset(
     "ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner cookie cookies consent "
@@ -53,34 +55,70 @@ class Line:
     tags: int
     linked: int
     path: tuple[int, ...]
-    around: bool
+    around: bool = False
 
 
 @dataclass
 class Element:
     number: int
     tag: str
-    around: bool
 
 
 @dataclass
 class Page:
     lines: list[Line] = field(default_factory=list)
     articles: list[int] = field(default_factory=list)
+    marks: dict[int, str] = field(default_factory=dict)
 
 
-def marked(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
-    """Whether the element itself says that it is no part of an article; a header within one belongs to it."""
+def marked(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> str:
+    """How the element itself says that it is no part of an article, or "": closed, tag or words (see settle).
+
+    A header within an article belongs to it; the elements of the whole page say nothing.
+    """
     given = {k: v or "" for k, v in attrs}
-    if tag in NEVER or "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", given.get("style", "")):
-        return True
-    if tag in ("html", "body", "main"):
-        return False
+    if tag in ("html", "body"):
+        return ""
+    if tag in CLOSED or "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", given.get("style", "")):
+        return "closed"
+    if tag == "form":
+        return "words"
+    if tag in NEVER:
+        return "tag"
+    if tag == "main":
+        return ""
     if tag == "header" and not in_article:
-        return True
+        return "tag"
     values = [given.get(k, "") for k in ("class", "id", "role")]
     words = {w.lower() for v in values for w in (v.split() if tag == "article" else _PARTS.findall(v))}
-    return not AROUND.isdisjoint(words - {"header"} if in_article else words)
+    return "" if AROUND.isdisjoint(words - {"header"} if in_article else words) else "words"
+
+
+def settle(page: Page) -> None:
+    """Decides which lines are surroundings, once the whole page is known.
+
+    A mark does not count on what an article stands in, be it a tag or a word, nor a word or a form on what holds
+    most of the page's text that is not in links: these are wrappers. Articles with little text beside the
+    largest one, such as teasers and comments, do not say so of their boxes. Closed elements stay closed.
+    """
+    closed = {n for n, how in page.marks.items() if how == "closed"}
+    held: dict[int, int] = {}
+    total = 0
+    for line in page.lines:
+        if closed.isdisjoint(line.path):
+            size = max(0, len(line.text) - line.linked)
+            total += size
+            for number in line.path:
+                held[number] = held.get(number, 0) + size
+    own = {n: held[n] for n in page.articles if n not in page.marks and held.get(n, 0) > 0}
+    large = {n for n, size in own.items() if size >= LEAST * max(own.values())}
+    wrappers = {n for n, how in page.marks.items() if how == "words" and held.get(n, 0) > total / 2}
+    for line in page.lines:
+        last = max((i for i, n in enumerate(line.path) if n in large), default=0)
+        wrappers.update(line.path[:last])
+    around = {n for n in page.marks if n in closed or n not in wrappers}
+    for line in page.lines:
+        line.around = not around.isdisjoint(line.path)
 
 
 class Lines(HTMLParser):
@@ -97,8 +135,7 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
         if text:
-            around = any(e.around for e in self.stack)
-            self.page.lines.append(Line(text, self.tags, self.linked, tuple(e.number for e in self.stack), around))
+            self.page.lines.append(Line(text, self.tags, self.linked, tuple(e.number for e in self.stack)))
             self.tags = 0
         self.words, self.linked = [], 0
 
@@ -113,11 +150,12 @@ class Lines(HTMLParser):
         if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") or re.fullmatch("h[1-6]", tag):
             self.implied(tag)
         in_article = any(e.number in self.page.articles for e in self.stack)
-        around = marked(tag, attrs, in_article)
         self.number += 1
+        if how := marked(tag, attrs, in_article):
+            self.page.marks[self.number] = how
         if tag in ARTICLE or ("itemprop", "articleBody") in attrs or ("role", "main") in attrs:
             self.page.articles.append(self.number)
-        self.stack.append(Element(self.number, tag, around))
+        self.stack.append(Element(self.number, tag))
         self.links += tag == "a"
 
     def implied(self, tag: str) -> None:
@@ -155,6 +193,7 @@ class Lines(HTMLParser):
     def close(self) -> None:
         super().close()
         self.flush()
+        settle(self.page)
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
