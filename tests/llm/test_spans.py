@@ -135,6 +135,29 @@ def test_spans_below_a_layer_are_exact():
     assert secrets.scan("token=abcdefgh%20x") == [("assign", 0, 14, "")]
 
 
+@pytest.mark.parametrize("hidden", [
+    "https://h/?q=caf%E9&token%3Dabcdef123456", "%00&token%3Dabcdef123456&x=%01",
+    b64(b"\x01\xff " + SECRET.encode()), b64(SECRET.encode() + b"\x00\xe9" + b"more text" * 9), b64(gzip.compress(b"\xe9\x00 " + SECRET.encode())),
+    b64(SECRET.encode("utf-16")), b64(SECRET.encode("utf-16-be")), b64(gzip.compress(b64(SECRET).encode("utf-16-le"))),
+    b64(bytes(range(128, 256)) * 4 + SECRET.encode() + bytes(range(128, 256)) * 4),
+])
+def test_odd_bytes_do_not_hide_a_layer(hidden):
+    text = f"é {hidden} and after"
+    found = [s for s in secrets.scan(text) if s[0] == "decoded_assign"]
+    assert found and all(2 <= a < b <= 2 + len(hidden) for _, a, b, _ in found)
+
+
+def test_spans_beside_odd_bytes_are_exact():
+    text = "x caf%E9%00%C3%A9&token%3Dabcdefgh&y%FF"
+    (_, a, b, _), = [s for s in secrets.scan(text) if s[0] == "decoded_assign"]
+    assert text[a:b] == "token%3Dabcdefgh"
+
+
+def test_pieces_of_noise_are_still_tried():
+    text = f"a_{b64(SECRET)}"
+    assert any(s[0] == "decoded_assign" for s in secrets.scan(text))
+
+
 def test_bombs_are_reported_and_long_texts_end(monkeypatch):
     monkeypatch.setattr(secrets.unpacked, "__defaults__", (1000,))
     kinds = {s[0] for s in secrets.scan(b64(gzip.compress(b"a" * 5000)))}

@@ -36,7 +36,10 @@ _ESCAPED = re.compile(r"[\\&]\S*(?:[\\&]\S*)*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*(?:\r?\n[A-Za-z0-9+/_-]+)?={0,2}")
 _PIECE = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
 _URLSAFE = str.maketrans("-_", "+/", "\r\n")
-_CONTROL = re.compile(r"[\x00-\x08\x0E-\x1F\x7F-\x9F]")
+_CONTROL = re.compile(r"[\x00-\x08\x0E-\x1F\x7F-\x9F\uFFFD]")
+_WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7E]\x00){8,}|(?:\x00[\t\n\r\x20-\x7E]){8,}")  # ASCII in UTF-16, either way round
+#: Share of odd characters up to which a base64 run counts as text, so that its pieces are not tried by themselves too.
+MOST_ODD = 0.3
 _MAGIC = {b"\x1f\x8b": "gzip", b"\x78\x01": "zlib", b"\x78\x5e": "zlib", b"\x78\x9c": "zlib", b"\x78\xda": "zlib",
           b"BZh": "bzip2", b"\xfd7zXZ\x00": "xz", b"\x28\xb5\x2f\xfd": "zstd"}
 
@@ -93,26 +96,34 @@ def _unpack(name: str, data: bytes, most: int) -> bytes:
     return out
 
 
-def from_bytes(data: bytes, name: str, layer: Layer, start: int, end: int, at: Callable[[int, int], tuple[int, int]]) -> Layer | None:
-    """The text that bytes of a segment hold, if any. at: range of bytes to range of the segment."""
+def from_bytes(data: bytes, name: str, layer: Layer, start: int, end: int, at: Callable[[int, int], tuple[int, int]]) -> Iterator[Layer]:
+    """The texts that bytes of a segment hold: all of them as UTF-8, where an invalid byte is one U+FFFD, and each
+    run of UTF-16. at: range of bytes to range of the segment."""
     data, packed = unpacked(data)
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    if not text or _CONTROL.search(text):
-        return None
-    if packed:
-        place = lambda i, j: layer.place(start, end)  # noqa: E731  within a compressed layer nothing finer is known
-    else:
-        def place(i: int, j: int) -> tuple[int, int]:
-            first = len(text[:i].encode())
-            a, b = at(first, first + len(text[i:j].encode()))
-            return layer.place(start + a, start + b)
-    return Layer(text, (*layer.path, name, *packed), place)
+    if not data:
+        return
+
+    def within(a: int, b: int) -> tuple[int, int]:
+        if packed:
+            return layer.place(start, end)  # within a compressed layer nothing finer is known
+        a, b = at(a, b)
+        return layer.place(start + a, start + b)
 
+    raw = data.decode(errors="surrogateescape")  # keeps the number of bytes of every character
+    size = lambda text: len(text.encode(errors="surrogateescape"))
 
-def from_url(layer: Layer) -> Iterator[tuple[int, int, Layer | None]]:
+    def place(i: int, j: int) -> tuple[int, int]:
+        first = size(raw[:i])
+        return within(first, first + size(raw[i:j]))
+
+    path = (*layer.path, name, *packed)
+    yield Layer(re.sub("[\udc80-\udcff]", "\ufffd", raw), path, place)
+    for m in _WIDE.finditer(data):
+        text = m[0].replace(b"\0", b"").decode()
+        yield Layer(text, (*path, "utf-16"), lambda i, j, s=m.start(): within(s + 2 * i, s + 2 * j))
+
+
+def from_url(layer: Layer) -> Iterator[tuple[int, int, Layer]]:
     if "%" not in layer.text:
         return
     for m in _URL.finditer(layer.text):
@@ -125,10 +136,11 @@ def from_url(layer: Layer) -> Iterator[tuple[int, int, Layer | None]]:
             out += piece
             i += size
         begins.append(len(body))
-        yield m.start(), m.end(), from_bytes(bytes(out), "url", layer, m.start(), m.end(), lambda a, b, s=begins: (s[a], s[b]))
+        for made in from_bytes(bytes(out), "url", layer, m.start(), m.end(), lambda a, b, s=begins: (s[a], s[b])):
+            yield m.start(), m.end(), made
 
 
-def from_unicode(layer: Layer) -> Iterator[tuple[int, int, Layer | None]]:
+def from_unicode(layer: Layer) -> Iterator[tuple[int, int, Layer]]:
     if "\\" not in layer.text and "&#" not in layer.text:
         return
     for m in _ESCAPED.finditer(layer.text):
@@ -157,39 +169,47 @@ def from_unicode(layer: Layer) -> Iterator[tuple[int, int, Layer | None]]:
         yield m.start(), m.end(), Layer(text, (*layer.path, "unicode"), place)
 
 
-def from_base64(layer: Layer) -> Iterator[tuple[int, int, Layer | None]]:
+def from_base64(layer: Layer) -> Iterator[tuple[int, int, Layer]]:
+    """Every run as a whole and every line of it; where neither is text, also the pieces between its signs."""
     for m in _BASE64.finditer(layer.text):
-        parts = [(m.start(), m.end())]
+        made = _base64(layer, m.start(), m.end())
+        yield from ((m.start(), m.end(), x) for x in made)
+        poor = [] if _is_text(made) else [m.span()]
         if "\n" in m[0]:
-            parts += [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer(r"[^\r\n]{16,}", m[0])]
-        found = False
-        for start, end in parts:
-            made = _base64(layer, start, end)
-            found = found or made is not None
-            yield start, end, made
-        if not found:
-            for p in _PIECE.finditer(layer.text, m.start(), m.end()):
-                if p.span() != m.span():
-                    yield p.start(), p.end(), _base64(layer, p.start(), p.end())
-
-
-def _base64(layer: Layer, start: int, end: int) -> Layer | None:
+            whole, poor = not poor, []
+            for p in re.finditer(r"[^\r\n]{16,}", m[0]):
+                start, end = m.start() + p.start(), m.start() + p.end()
+                made = _base64(layer, start, end)
+                yield from ((start, end, x) for x in made)
+                if not whole and not _is_text(made):
+                    poor.append((start, end))
+        for start, end in poor:
+            for p in _PIECE.finditer(layer.text, start, end):
+                if p.span() != (start, end):
+                    yield from ((p.start(), p.end(), x) for x in _base64(layer, p.start(), p.end()))
+
+
+def _is_text(made: list[Layer]) -> bool:
+    """Whether a decoded run is text or was compressed rather than noise; it is scanned in any case."""
+    if not made or not made[0].text:
+        return False
+    return "base64" != made[-1].path[-1] or len(_CONTROL.findall(made[0].text)) <= MOST_ODD * len(made[0].text)
+
+
+def _base64(layer: Layer, start: int, end: int) -> list[Layer]:
     body = layer.text[start:end]
     code = body.translate(_URLSAFE).rstrip("=")
     code = code[: len(code) - (len(code) % 4 == 1)]
     try:
-        head = binascii.a2b_base64(code[:16])
-        if not head.startswith(tuple(_MAGIC)) and any(b < 32 and b not in (9, 10, 13) or b == 127 for b in head):
-            return None  # neither compressed nor text
         data = base64.b64decode(code + "=" * (-len(code) % 4))
     except binascii.Error:
-        return None
-    kept = [i for i, c in enumerate(body) if c not in "\r\n"]
+        return []
+    kept = [i for i, c in enumerate(body) if c not in "\r\n"] if "\n" in body else range(len(body))
 
     def at(a: int, b: int) -> tuple[int, int]:
         return kept[4 * (a // 3)], kept[min(4 * ((max(a, b - 1)) // 3) + 4, len(code)) - 1] + 1
 
-    return from_bytes(data, "base64", layer, start, end, at)
+    return list(from_bytes(data, "base64", layer, start, end, at))
 
 
 def scan(text: str | None) -> list[tuple[str, int, int, str]]:
@@ -216,8 +236,6 @@ def scan(text: str | None) -> list[tuple[str, int, int, str]]:
                 except Oversize:
                     found.add(("oversize", *layer.place(0, len(layer.text)), "+".join(layer.path)))
                     break
-                if made is None:
-                    continue
                 key = (*layer.place(start, end), hashlib.sha256(made.text.encode()).digest())
                 if key in seen or made.text == layer.text:
                     continue
