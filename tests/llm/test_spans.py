@@ -167,6 +167,27 @@ def test_bombs_are_reported_and_long_texts_end(monkeypatch):
     assert secrets.scan(None) == []
 
 
+def test_a_bomb_hides_nothing_after_it(monkeypatch):
+    monkeypatch.setattr(secrets.unpacked, "__defaults__", (1000,))
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        bomb = b64(pack(b"a" * 5000))
+        for text in (f"{bomb} {b64(SECRET)}", urllib.parse.quote(bomb) + " " + urllib.parse.quote(b64(SECRET))):
+            found = secrets.scan(text)
+            assert {s[0] for s in found} == {"oversize", "decoded_assign"}
+            assert all(b <= text.index(" ") for k, _, b, _ in found if k == "oversize")
+        halves = b64(pack(b"a" * 600) + pack(b"a" * 600))
+        assert {s[0] for s in secrets.scan(halves)} == {"oversize"}
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+@pytest.mark.parametrize("other", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress, bytes])
+def test_all_members_of_concatenated_streams_are_read(pack, other):
+    first, noise = b"nothing here " * 3, random.Random(3).randbytes(150_000)
+    for data in (pack(first) + other(SECRET.encode()), pack(noise) + bytes(8) + other(SECRET.encode()), pack(first) * 300 + other(SECRET.encode())):
+        assert any(s[0] == "decoded_assign" for s in secrets.scan(b64(data)))
+    assert secrets.unpacked(pack(first) + pack(noise))[0] == first + noise
+
+
 def test_find_keeps_rows(spark):
     given = [(1, f"é {b64(SECRET)}"), (1, None), (None, ""), (2, "AKIA" + "A" * 16)]
     got = secrets.find(spark.createDataFrame(given, "doc_id long, text string").selectExpr("*", "0 AS spans", "0 AS TEXT"))

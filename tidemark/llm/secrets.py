@@ -44,17 +44,26 @@ _MAGIC = {b"\x1f\x8b": "gzip", b"\x78\x01": "zlib", b"\x78\x5e": "zlib", b"\x78\
           b"BZh": "bzip2", b"\xfd7zXZ\x00": "xz", b"\x28\xb5\x2f\xfd": "zstd"}
 
 
+#: Bytes given to an unpacker at once, so that many small members are not copied over and over.
+STEP = 1 << 16
+_PADDING = re.compile(rb"\x00*")
+
+
 class Oversize(Exception):
     pass
 
 
 @dataclass
 class Layer:
-    """A text, the layers it was unwrapped from, and where a range of it lies in the document."""
+    """A text, the layers it was unwrapped from, and where a range of it lies in the document.
+
+    oversize: the segment holds more than may be unpacked and was not opened.
+    """
 
     text: str
     path: tuple[str, ...]
     place: Callable[[int, int], tuple[int, int]]
+    oversize: bool = False
 
 
 def hits(text: str) -> Iterator[tuple[str, int, int]]:
@@ -69,37 +78,92 @@ def unpacked(data: bytes, most: int = MOST_UNPACKED) -> tuple[bytes, list[str]]:
     """The bytes below all compressed layers, and these; a layer that was seen before ends the unwrapping."""
     names: list[str] = []
     seen = {hashlib.sha256(data).digest()}
-    while name := next((n for magic, n in _MAGIC.items() if data.startswith(magic)), None):
-        try:
-            out = _unpack(name, data, most)
-        except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError):
-            break
+    while _packing(data):
+        out, more = _unpack(data, most)
         digest = hashlib.sha256(out).digest()
-        if digest in seen:
+        if not more or digest in seen:
             break
         seen.add(digest)
-        data, names = out, [*names, name]
+        data, names = out, [*names, *more]
     return data, names
 
 
-def _unpack(name: str, data: bytes, most: int) -> bytes:
+def _packing(data: bytes, at: int = 0) -> str | None:
+    return next((n for magic, n in _MAGIC.items() if data.startswith(magic, at)), None)
+
+
+def _unpack(data: bytes, most: int) -> tuple[bytes, list[str]]:
+    """All members of concatenated streams, most bytes in total, and what follows them as it is; their formats."""
+    parts: list[bytes] = []
+    names: list[str] = []
+    at = size = 0
+    while name := _packing(data, at):
+        out, end = _member(name, data, at, most - size)
+        size += len(out)
+        if size > most:
+            raise Oversize
+        if end is None and not out:
+            break
+        parts.append(out)
+        names += [name] if name not in names else []
+        if end is None:
+            break  # broken: what could be read counts, and the bytes themselves follow
+        at = _PADDING.match(data, end).end()
+    return b"".join([*parts, data[at:]]), names
+
+
+def _member(name: str, data: bytes, at: int, most: int) -> tuple[bytes, int | None]:
+    """What one member holds, at most a byte more than most, and where it ends; None if it is broken."""
     if name == "zstd":
-        with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-            out = reader.read(most + 1)
-    elif name in ("gzip", "zlib"):
-        out = zlib.decompressobj(47).decompress(data, most + 1)
-    else:
-        unpacker = bz2.BZ2Decompressor() if name == "bzip2" else lzma.LZMADecompressor()
-        out = unpacker.decompress(data, most + 1)
-    if len(out) > most:
-        raise Oversize
-    return out
+        return _frame(data, at, most)
+    unpacker = zlib.decompressobj(47) if name in ("gzip", "zlib") else bz2.BZ2Decompressor() if name == "bzip2" else lzma.LZMADecompressor()
+    out: list[bytes] = []
+    size = 0
+    try:
+        while not unpacker.eof and size <= most:
+            chunk = getattr(unpacker, "unconsumed_tail", b"")
+            if not chunk and getattr(unpacker, "needs_input", True):
+                chunk = data[at : at + STEP]
+                at += len(chunk)
+                if not chunk:
+                    return b"".join(out), len(data)  # cut off
+            out.append(unpacker.decompress(chunk, most + 1 - size))
+            size += len(out[-1])
+    except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError):
+        return b"".join(out), None
+    return b"".join(out), at - len(unpacker.unused_data)
+
+
+def _frame(data: bytes, at: int, most: int) -> tuple[bytes, int | None]:
+    """_member for a zstd frame, whose blocks say where it ends."""
+    out: list[bytes] = []
+    size = 0
+    try:
+        head = data[at : at + 18]
+        end = at + zstandard.frame_header_size(head)
+        last = False
+        while not last and end + 3 <= len(data):
+            block = int.from_bytes(data[end : end + 3], "little")
+            last = bool(block & 1)
+            end += 3 + (1 if block >> 1 & 3 == 1 else block >> 3)
+        end = min(end + 4 * zstandard.get_frame_parameters(head).has_checksum, len(data))
+        with zstandard.ZstdDecompressor().stream_reader(data[at:end]) as reader:
+            while size <= most and (got := reader.read(min(16 * STEP, most + 1 - size))):
+                out.append(got)
+                size += len(got)
+    except (ValueError, zstandard.ZstdError):
+        return b"".join(out), None
+    return b"".join(out), end
 
 
 def from_bytes(data: bytes, name: str, layer: Layer, start: int, end: int, at: Callable[[int, int], tuple[int, int]]) -> Iterator[Layer]:
     """The texts that bytes of a segment hold: all of them as UTF-8, where an invalid byte is one U+FFFD, and each
     run of UTF-16. at: range of bytes to range of the segment."""
-    data, packed = unpacked(data)
+    try:
+        data, packed = unpacked(data)
+    except Oversize:
+        yield Layer("", (*layer.path, name), lambda i, j: layer.place(start, end), oversize=True)
+        return
     if not data:
         return
 
@@ -191,9 +255,9 @@ def from_base64(layer: Layer) -> Iterator[tuple[int, int, Layer]]:
 
 def _is_text(made: list[Layer]) -> bool:
     """Whether a decoded run is text or was compressed rather than noise; it is scanned in any case."""
-    if not made or not made[0].text:
+    if not made or not (made[0].text or made[0].oversize):
         return False
-    return "base64" != made[-1].path[-1] or len(_CONTROL.findall(made[0].text)) <= MOST_ODD * len(made[0].text)
+    return made[0].oversize or "base64" != made[-1].path[-1] or len(_CONTROL.findall(made[0].text)) <= MOST_ODD * len(made[0].text)
 
 
 def _base64(layer: Layer, start: int, end: int) -> list[Layer]:
@@ -227,15 +291,10 @@ def scan(text: str | None) -> list[tuple[str, int, int, str]]:
     while work:
         layer = work.pop()
         for unwrap in (from_url, from_unicode, from_base64):
-            steps = unwrap(layer)
-            while True:
-                try:
-                    start, end, made = next(steps)
-                except StopIteration:
-                    break
-                except Oversize:
-                    found.add(("oversize", *layer.place(0, len(layer.text)), "+".join(layer.path)))
-                    break
+            for start, end, made in unwrap(layer):
+                if made.oversize:
+                    found.add(("oversize", *made.place(0, 0), "+".join(made.path)))
+                    continue
                 key = (*layer.place(start, end), hashlib.sha256(made.text.encode()).digest())
                 if key in seen or made.text == layer.text:
                     continue
