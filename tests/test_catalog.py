@@ -1,6 +1,7 @@
 """Dictionary folds, clean-up edge cases, fusion properties, pages, filters."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -181,3 +182,30 @@ def test_relationships_of_text_dates_and_exact_numbers(spark):
     got = {(r.child_column, r.parent_column): (r.child_values, r.matched, r.confidence) for r in profile.relationships({"a": a, "b": b}).collect()}
     assert got == {("ref", "code"): (1, 1, 1.0), ("at", "day"): (1, 1, 1.0), ("some.id", "id"): (1, 1, 1.0), ("n", "num"): (2, 1, 0.5)}
     assert profile.relationships({"a": a, "b": b}, 0.9).count() == 3
+
+
+def shapes_of(rows):
+    """Brute force: the three most frequent shapes of every (table, column)."""
+    counts = {}
+    for table, column, value in rows:
+        if value is not None:
+            shape = "".join("A" if c.isalpha() else "9" if c in "0123456789" else c for c in value)
+            of = counts.setdefault((table, column), Counter())
+            of[shape] += 1
+    return {(*k, p, n, i + 1) for k, of in counts.items() for i, (p, n) in enumerate(sorted(of.items(), key=lambda x: (-x[1], x[0].encode()))[:3])}
+
+
+def test_value_patterns_of_long_texts(spark):
+    same = "é1 " * 200
+    rows = [("t", "a", f"{same}{end}") for end in ("-", "+", "x", "/", "-", "+", "x", "*")] + [("t", "a", None), ("t", "b", "x" * 64), ("t", "b", "y" * 65), ("t", "b", "")]
+    got = profile.value_patterns(spark.createDataFrame(rows, "table string, column string, value string"))
+    assert {tuple(r) for r in got.select("table", "column", "pattern", "n", "rank").collect()} == shapes_of(rows)
+
+
+def test_value_patterns_all_reads_documents(spark):
+    import __spark_entry__ as entry
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", "lang", "source").collect()
+    want = shapes_of([("documents", c, r[c]) for r in docs for c in ("text", "lang", "source")])
+    got = entry.queries()["value_patterns_all"](spark, "/root/testdata/sf0.001").where("table = 'documents' AND column IN ('text', 'lang', 'source')")
+    assert {tuple(r) for r in got.select("table", "column", "pattern", "n", "rank").collect()} == want

@@ -33,6 +33,8 @@ def _explode_stats(stats: DataFrame, rows: list[Column]) -> DataFrame:
 
 #: text up to this length is its own key, longer text its digest
 KEY_LENGTH = 64
+#: first characters of a shape that go with its key, to order shapes of equal count; at least KEY_LENGTH
+SHAPE_START = 256
 
 
 def text_key(v: Column) -> Column:
@@ -196,13 +198,22 @@ def quality_scores(df: DataFrame, table: str, valid: dict[str, Column] | None =
 
 
 def value_patterns(cells: DataFrame, top: int = 3) -> DataFrame:
-    """Most frequent value shapes (digits as 9, letters as A) per column."""
+    """Most frequent value shapes (digits as 9, letters as A) per column.
+
+    Shapes are counted by their keys and ordered by their starts; the long ones that may win, with all that tie
+    with the last by count and start, are then looked up in the cells.
+    """
     shape = F.regexp_replace(F.regexp_replace("value", r"\p{L}", "A"), r"[0-9]", "9")
-    counts = cells.where(F.col("value").isNotNull()).groupBy(
-        "table", "column", shape.alias("pattern")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("table", "column").orderBy(F.desc("n"), "pattern")
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    live = cells.where(F.col("value").isNotNull()).select("table", "column", shape.alias("pattern")).withColumn("is", text_key(F.col("pattern")))
+    counts = live.groupBy("table", "column", "is", F.substring("pattern", 1, SHAPE_START).alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    columns = Window.partitionBy("table", "column")
+    some = counts.withColumn("place", F.rank().over(columns.orderBy(F.desc("n"), "start"))).where(F.col("place") <= top)
+    long = F.col("is").startswith("#")
+    found = live.where(long).join(some.where(long).select("table", "column", "is", "n"), ["table", "column", "is"])
+    texts = found.groupBy("table", "column", "is", "n").agg(F.min("pattern").alias("pattern")).select("table", "column", "pattern", "n")
+    shapes = some.where(~long).select("table", "column", F.col("start").alias("pattern"), "n").unionByName(texts)
+    w = columns.orderBy(F.desc("n"), "pattern")
+    return shapes.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
 def key_candidates(profiles: DataFrame, row_counts: DataFrame) -> DataFrame:

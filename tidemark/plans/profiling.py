@@ -359,6 +359,11 @@ def value_patterns(t):
     return profile.value_patterns(cells(t, PATTERNED))
 
 
+@query("value_patterns_all")
+def value_patterns_all(t):
+    return profile.value_patterns(cells(t, SAMPLED))
+
+
 @query(
     "table_governance",
     """SELECT t.table_id, t.name, coalesce(column_count, 0) AS column_count, coalesce(pii_columns, 0) AS pii_columns,
