@@ -83,4 +83,77 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coale
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLES = {"op2_warc": OP2_SQL, "op4_pii": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op7_decontaminate": OP7_SQL}
+#: CRC-32 of the distinct texts `w` of the table `named`, by the table of its polynomial.
+_CRC = """
+crc_table AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab
+), bytes AS (
+    SELECT w, list_transform(range(octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), (2 * i + 1)::BIGINT, 2))::BIGINT) AS b FROM (SELECT DISTINCT w FROM named)
+), crc AS (
+    SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM bytes, crc_table
+)"""
+
+OP12_SQL = f"""
+WITH doc AS (
+    SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM documents
+), source AS (
+    SELECT r, unnest(words) AS w FROM doc
+), target AS (
+    SELECT unnest({_WORDS}) AS w FROM benchmark
+), named AS (
+    SELECT w FROM source UNION SELECT w FROM target
+), {_CRC}, s AS (
+    SELECT crc % 10000 AS bucket, count(*) AS s FROM source JOIN crc USING (w) GROUP BY 1
+), t AS (
+    SELECT crc % 10000 AS bucket, count(*) AS t FROM target JOIN crc USING (w) GROUP BY 1
+), gain AS (
+    SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM source) + 10000)
+        / ((s + 1)::DOUBLE * ((SELECT count(*) FROM target) + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)
+), weight AS (
+    SELECT r, sum(gain)::BIGINT AS weight FROM source JOIN crc USING (w) JOIN gain ON gain.bucket = crc.crc % 10000 GROUP BY r
+), scored AS (
+    SELECT r, doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+        (('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM doc LEFT JOIN weight USING (r)
+), ranked AS (
+    SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (r)
+"""
+
+OP13_SQL = f"""
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+    FROM conversations WHERE conv_id IS NOT NULL
+), named AS (
+    SELECT DISTINCT conv_id::VARCHAR AS w FROM t
+), {_CRC}, own AS (
+    SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY p) AS seq, (SELECT crc % 6 FROM crc WHERE w = conv_id::VARCHAR)::BIGINT AS h FROM t GROUP BY conv_id
+), rebuilt AS (
+    SELECT c.conv_id, list_concat(list_filter(coalesce(b.seq, []), lambda x, i: i <= c.h), list_filter(c.seq, lambda x, i: i > c.h)) AS seq
+    FROM own c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100
+), m AS (
+    SELECT conv_id, d, sha256(to_json(list_filter(seq, lambda x, i: i <= d))::VARCHAR) AS node, d = len(seq) AS last,
+        CASE WHEN d > 0 THEN length(seq[d]['text']) ELSE 0 END AS size
+    FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)
+), node AS (
+    SELECT node, d, min(conv_id) AS conv_id, count(*) AS n, any_value(size) AS size, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last) AS ends
+    FROM m GROUP BY node, d
+), above AS (
+    SELECT n.node, m.node AS over FROM node n JOIN m ON m.conv_id = n.conv_id AND m.d = n.d - 1
+), kids AS (
+    SELECT over AS node, count(*) AS kids FROM above GROUP BY over
+), below AS (
+    SELECT m.node, count(*) FILTER (kids IS NULL) AS leaves, sum((n - 1) * n.size)::BIGINT AS saved
+    FROM node n LEFT JOIN kids USING (node) JOIN m ON m.conv_id = n.conv_id AND m.d <= n.d GROUP BY m.node
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(kids, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens,
+    sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM node n LEFT JOIN above USING (node) LEFT JOIN node p ON p.node = above.over LEFT JOIN kids ON kids.node = n.node JOIN below ON below.node = n.node
+"""
+
+ORACLES = {
+    "op2_warc": OP2_SQL, "op4_pii": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op7_decontaminate": OP7_SQL, "op12_resample": OP12_SQL,
+    "op13_trie": OP13_SQL,
+}

@@ -9,9 +9,12 @@ from tidemark.llm.oracles import ORACLES
 from tidemark.llm.packing import op3_packing
 from tidemark.llm.pii import op4_pii
 from tidemark.llm.quality import op8_quality
+from tidemark.llm.resample import op12_resample
 from tidemark.llm.secrets import op10_secrets
 from tidemark.llm.sharding import op9_rendezvous
 from tidemark.llm.simhash import op1_simhash
+from tidemark.llm.toxicity import op11_toxicity
+from tidemark.llm.trie import op13_trie
 from tidemark.llm.warc import op2_warc
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -27,4 +30,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_rendezvous": op9_rendezvous,
     "op10_secrets": op10_secrets,
+    "op11_toxicity": op11_toxicity,
+    "op12_resample": op12_resample,
+    "op13_trie": op13_trie,
 }
