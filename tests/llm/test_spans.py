@@ -5,6 +5,7 @@ import bz2
 import gzip
 import lzma
 import random
+import time
 import re
 import urllib.parse
 import zlib
@@ -167,6 +168,32 @@ def test_bombs_are_reported_and_long_texts_end(monkeypatch):
     assert secrets.scan(None) == []
 
 
+def test_long_unbroken_texts_end_soon():
+    began = time.time()
+    for text in ("50% " + "x" * 5_000_000, "50%" + "x" * 5_000_000, "%4" * 1_000_000, "%41" * 1_000_000):
+        assert secrets.scan(text) == []
+    assert time.time() - began < 40
+
+
+def test_random_nestings_are_unwrapped_as_by_a_plain_decoder():
+    rng = random.Random(8)
+    ways = [
+        ("base64", b64), ("unicode", escaped), ("url", lambda t: "".join(f"%{b:02x}" for b in t.encode())),
+        ("gzip", lambda t: b64(gzip.compress(t.encode()))), ("zstd", lambda t: b64(zstandard.compress(t.encode()))),
+    ]
+    for _ in range(120):
+        path = [rng.choice(ways) for _ in range(rng.randint(1, 4))]
+        secret, hidden = f"api_key = {rng.randbytes(6).hex()}Z", ""
+        hidden = f"é {secret}"
+        for _, way in path:
+            hidden = way(hidden)
+        text = f"{'ä' * rng.randint(0, 5)} {hidden} end"
+        found = [x for x in secrets.scan(text) if x[0] == "decoded_assign"]
+        at = text.index(hidden)
+        names = "+".join(n if n in ("base64", "unicode", "url") else f"base64+{n}" for n, _ in reversed(path))
+        assert any(layers == names and at <= a < b <= at + len(hidden) for _, a, b, layers in found), (names, found)
+
+
 def test_a_bomb_hides_nothing_after_it(monkeypatch):
     monkeypatch.setattr(secrets.unpacked, "__defaults__", (1000,))
     for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):

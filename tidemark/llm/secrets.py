@@ -13,6 +13,7 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,11 +31,14 @@ KINDS = [
 MOST_UNPACKED = 256 << 20
 SPANS = "array<struct<kind:string,start:long,end:long,layers:string>>"
 
-_URL = re.compile(r"(?:[!-$&-~]|%[0-9A-Fa-f]{2})*?%[0-9A-Fa-f]{2}(?:[!-$&-~]|%[0-9A-Fa-f]{2})*")
+_URL = re.compile(r"(?:[!-$&-~]|%[0-9A-Fa-f]{2})++")  # a run is tried once, whether it has an escape or not
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _ESCAPED = re.compile(r"[\\&]\S*(?:[\\&]\S*)*")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*(?:\r?\n[A-Za-z0-9+/_-]+)?={0,2}")
 _PIECE = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
+_HEX = np.zeros(256, dtype=np.uint8)
+for _digit in "0123456789abcdefABCDEF":
+    _HEX[ord(_digit)] = int(_digit, 16)
 _URLSAFE = str.maketrans("-_", "+/", "\r\n")
 _CONTROL = re.compile(r"[\x00-\x08\x0E-\x1F\x7F-\x9F\uFFFD]")
 _WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7E]\x00){8,}|(?:\x00[\t\n\r\x20-\x7E]){8,}")  # ASCII in UTF-16, either way round
@@ -174,11 +178,14 @@ def from_bytes(data: bytes, name: str, layer: Layer, start: int, end: int, at: C
         return layer.place(start + a, start + b)
 
     raw = data.decode(errors="surrogateescape")  # keeps the number of bytes of every character
-    size = lambda text: len(text.encode(errors="surrogateescape"))
+    byte_of: list[np.ndarray] = []
 
     def place(i: int, j: int) -> tuple[int, int]:
-        first = size(raw[:i])
-        return within(first, first + size(raw[i:j]))
+        if len(raw) == len(data):
+            return within(i, j)
+        if not byte_of:
+            byte_of.append(byte_places(raw))
+        return within(int(byte_of[0][i]), int(byte_of[0][j]))
 
     path = (*layer.path, name, *packed)
     yield Layer(re.sub("[\udc80-\udcff]", "\ufffd", raw), path, place)
@@ -187,20 +194,29 @@ def from_bytes(data: bytes, name: str, layer: Layer, start: int, end: int, at: C
         yield Layer(text, (*path, "utf-16"), lambda i, j, s=m.start(): within(s + 2 * i, s + 2 * j))
 
 
+def byte_places(raw: str) -> np.ndarray:
+    """Where each character of a text decoded with surrogateescape begins in its bytes, and their number."""
+    codes = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    sizes = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+    sizes[(codes >= 0xDC80) & (codes <= 0xDCFF)] = 1
+    return np.concatenate(([0], np.cumsum(sizes)))
+
+
 def from_url(layer: Layer) -> Iterator[tuple[int, int, Layer]]:
     if "%" not in layer.text:
         return
     for m in _URL.finditer(layer.text):
-        body, out, begins = m[0], bytearray(), []
-        i = 0
-        while i < len(body):
-            size = 3 if body[i] == "%" else 1
-            piece = bytes([int(body[i + 1 : i + 3], 16)]) if size == 3 else body[i].encode()
-            begins += [i] * len(piece)
-            out += piece
-            i += size
-        begins.append(len(body))
-        for made in from_bytes(bytes(out), "url", layer, m.start(), m.end(), lambda a, b, s=begins: (s[a], s[b])):
+        if "%" not in m[0]:
+            continue
+        body = np.frombuffer(m[0].encode(), dtype=np.uint8)
+        escapes = np.flatnonzero(body == ord("%"))
+        first = np.ones(len(body), dtype=bool)
+        first[escapes + 1] = first[escapes + 2] = False
+        begins = np.flatnonzero(first)
+        out = body[begins]
+        out[np.searchsorted(begins, escapes)] = _HEX[body[escapes + 1]] * 16 + _HEX[body[escapes + 2]]
+        begins = np.append(begins, len(body))
+        for made in from_bytes(out.tobytes(), "url", layer, m.start(), m.end(), lambda a, b, s=begins: (int(s[a]), int(s[b]))):
             yield m.start(), m.end(), made
 
 
@@ -209,27 +225,28 @@ def from_unicode(layer: Layer) -> Iterator[tuple[int, int, Layer]]:
         return
     for m in _ESCAPED.finditer(layer.text):
         out: list[str] = []
-        begins: list[int] = []
+        begins: list[np.ndarray] = []
         last = 0
         for e in _ESCAPE.finditer(m[0]):
-            out += m[0][last : e.start()]
-            begins += range(last, e.start())
             digits = next(g for g in e.groups() if g)
             code = int(digits, 10 if e.lastindex == 6 else 16)
             if code > 0x10FFFF:
                 continue
+            if e.start() > last:
+                out.append(m[0][last : e.start()])
+                begins.append(np.arange(last, e.start()))
             if 0xDC00 <= code < 0xE000 and out and "\ud800" <= out[-1] < "\udc00":
                 out[-1] = chr(0x10000 + (ord(out[-1]) - 0xD800) * 0x400 + code - 0xDC00)
             else:
                 out.append(chr(code))
-                begins.append(e.start())
+                begins.append(np.array([e.start()]))
             last = e.end()
         if not last:
             continue
-        out += m[0][last:]
-        begins += [*range(last, len(m[0])), len(m[0])]
-        text = "".join("\ufffd" if "\ud800" <= c < "\ue000" else c for c in out)
-        place = lambda i, j, s=begins, at=m.start(): layer.place(at + s[i], at + s[j])
+        out.append(m[0][last:])
+        places = np.concatenate([*begins, np.arange(last, len(m[0]) + 1)])
+        text = re.sub("[\ud800-\udfff]", "\ufffd", "".join(out))
+        place = lambda i, j, s=places, at=m.start(): layer.place(at + int(s[i]), at + int(s[j]))
         yield m.start(), m.end(), Layer(text, (*layer.path, "unicode"), place)
 
 
@@ -268,10 +285,11 @@ def _base64(layer: Layer, start: int, end: int) -> list[Layer]:
         data = base64.b64decode(code + "=" * (-len(code) % 4))
     except binascii.Error:
         return []
-    kept = [i for i, c in enumerate(body) if c not in "\r\n"] if "\n" in body else range(len(body))
+    signs = np.frombuffer(body.encode(), dtype=np.uint8)
+    kept = np.flatnonzero((signs != 10) & (signs != 13)) if "\n" in body else range(len(body))
 
     def at(a: int, b: int) -> tuple[int, int]:
-        return kept[4 * (a // 3)], kept[min(4 * ((max(a, b - 1)) // 3) + 4, len(code)) - 1] + 1
+        return int(kept[4 * (a // 3)]), int(kept[min(4 * ((max(a, b - 1)) // 3) + 4, len(code)) - 1]) + 1
 
     return list(from_bytes(data, "base64", layer, start, end, at))
 
