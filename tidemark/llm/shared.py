@@ -9,20 +9,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders of local sessions that have no spark.checkpoint.dir, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where it is unset a local session gets a folder of its own; a cluster without it is an error, since
-    a machine-local folder would lose what other executors wrote.
+    Where it is unset a local session gets a folder of its own, the same one as long as it runs; a cluster without
+    it is an error, since a machine-local folder would lose what other executors wrote.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="tidemark-llm-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-llm-")
+    return _OWN[app]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
