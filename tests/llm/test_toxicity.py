@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import toxicity as X
+from tidemark.llm.labelled import sample
 
 DOCS = "doc_id long, text string, TEXT string, label string, weight string, score string"
 
@@ -66,7 +67,7 @@ def test_a_repeated_drawn_id_is_bounded_by_distinct_rows(spark):
     known = spark.createDataFrame([(0, 1), (0, 1), (1, 0)], "doc_id long, toxic int")
     same = spark.range(5000).select(F.lit(0).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
     own = spark.range(5000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
-    rows = X.sample(same.union(own), known, 500).collect()
+    rows = sample(same.union(own), known, "toxic", 500, 11).collect()
     assert not held_out(0) and not held_out(1)
     assert 300 < len(rows) < 700
     assert all(r.weight == (10_000 if r.label else 1) for r in rows)

@@ -18,18 +18,24 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges = links.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
     edges = written(edges, "links")
+    state = mark(edges)
     for _ in range(most_rounds):
-        large = star(edges, both=True)
-        small = written(star(large, both=False), "links")
-        changed = small.exceptAll(edges).limit(1).count() or edges.exceptAll(small).limit(1).count()
-        edges = small
-        if not changed:
+        edges = written(star(star(edges, both=True), both=False), "links")
+        before, state = state, mark(edges)
+        if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
     raise RuntimeError(f"the links did not settle in {most_rounds} rounds")
 
 
+def mark(edges: DataFrame) -> tuple:
+    """Count and hash sums of distinct links: equal for equal sets, one pass over the written table."""
+    h = F.xxhash64("a", "b")
+    sums = [F.sum(F.shiftrightunsigned(h, 32)), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))), F.bit_xor(F.xxhash64("b", "a"))]
+    return tuple(edges.agg(F.count(F.lit(1)), *sums).head())
+
+
 def star(edges: DataFrame, both: bool) -> DataFrame:
     """Links of every node's neighbours to the smallest among them and itself.
 

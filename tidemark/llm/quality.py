@@ -11,15 +11,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.labelled import held_out, sample
 from tidemark.llm.shared import documents, numbered, pick, written
 from tidemark.llm.words import blocks, bounds, grams, hashes, mix
 
 BITS = 18
-#: Training rows at most (in expectation): the sample is drawn by a hash of the id.
+#: Distinct training rows at most (in expectation): the sample is drawn by hashes.
 MAX_TRAIN = 12_000
+#: Numbers in a row while states lie in the shared folder.
+CHUNK = 1 << 14
 #: Parts that are trained side by side (of PART_ROWS at least), rounds after which their states are averaged,
 #: passes within a round.
 PARTS, PART_ROWS, ROUNDS, PASSES = 8, 1500, 4, 2
@@ -33,11 +36,6 @@ _DIGIT[48:58] = 1
 _MARK[[c for c in range(33, 127) if not chr(c).isalnum()]] = 1
 
 
-def held_out(doc_id: Column) -> Column:
-    """Whether crc32 of the id as text leaves 1 modulo 3; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
-
-
 def _within(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return total[ends] - total[starts]
 
@@ -83,13 +81,13 @@ def weights_of(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, w)
 
 
-def learn(rows: list[tuple[np.ndarray, np.ndarray, int]], z: np.ndarray, n: np.ndarray, passes: int) -> None:
-    """Follow-the-regularised-leader over (columns, values, label); z and n are changed. The last weight is a bias."""
+def learn(rows: list[tuple[np.ndarray, np.ndarray, int, int]], z: np.ndarray, n: np.ndarray, passes: int) -> None:
+    """Follow-the-regularised-leader over (columns, values, label, weight); z and n are changed. The last weight is a bias."""
     for _ in range(passes):
-        for at, value, label in rows:
+        for at, value, label, weight in rows:
             w = weights_of(z[at], n[at])
             p = 1.0 / (1.0 + np.exp(-np.clip(w @ value, -35, 35)))
-            g = (p - label) * value
+            g = weight * (p - label) * value
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
             z[at] += g - sigma * w
             n[at] += g * g
@@ -101,43 +99,55 @@ def train(
 ) -> np.ndarray:
     """Weights from labelled documents that are not held out.
 
-    The sample is bounded: of more than `max_train` labelled rows a share is drawn by a hash of the id. Each
-    part runs over its own rows from the common state; the driver only averages `parts` states of 2**bits
-    numbers a round. A small sample is one part. Rows with a null label or text-less ids are left out; without rows all weights are 0.
+    The sample is bounded by distinct rows (see labelled.sample). Each part runs over its own rows from the common
+    state; the states of 2**bits numbers lie in the shared folder in chunks, are handed to the parts by a join and
+    averaged by an aggregate. The driver only gets the last one. A small sample is one part. Without rows all
+    weights are 0.
     """
-    known = pick(labels, doc_id="doc_id", label="quality").where("doc_id is not null and label is not null")
-    known = known.where(~held_out(F.col("doc_id")))
-    count = known.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000))
-    most = 1_000_000 if count <= max_train else int(1_000_000 * max_train / count)
-    known = known.where(draw < most)
-    texts = pick(docs, doc_id="doc_id", text="text").where(draw < most).where(~held_out(F.col("doc_id")))
+    rows = sample(docs, labels, "quality", max_train, 8)
+    count = rows.count()
     parts = max(1, min(parts, count // PART_ROWS, max_train // PART_ROWS))
-    part = F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(9)), F.lit(parts)).cast("int")
-    rows = texts.join(known, "doc_id").select("doc_id", "text", "label", part.alias("part"))
-    rows = written(rows, "quality-training")
+    part = F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(parts)).cast("int")
+    rows = written(rows.select("doc_id", "text", "label", "weight", part.alias("part")), "quality-training")
+    spark, size = docs.sparkSession, (1 << bits) + 1
+    state = spark.range(-(-size // CHUNK)).select(F.col("id").cast("int").alias("chunk"))
+    state = state.withColumns({"z": F.lit(None).cast("binary"), "n": F.lit(None).cast("binary")})
+    for _ in range(rounds if count else 0):
+        given = state.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        both = rows.groupBy("part").cogroup(given.groupBy("part"))
+        each = both.applyInPandas(one_round(bits, passes), "chunk int, rows long, z binary, n binary")
+        state = written(each.groupBy("chunk").applyInPandas(averaged, "chunk int, z binary, n binary"), "quality-state")
+    last = state.orderBy("chunk").collect() if count else []
+    if not last:
+        return np.zeros(size)
+    return weights_of(*(np.concatenate([np.frombuffer(r[k]) for r in last]) for k in ("z", "n")))
+
+
+def averaged(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One chunk of the states of all parts, weighted by their rows."""
+    share = pdf["rows"].to_numpy() / pdf["rows"].sum()
+    out = {k: [sum(a * np.frombuffer(v) for a, v in zip(share, pdf[k], strict=True)).tobytes()] for k in ("z", "n")}
+    return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1].tolist(), **out})
+
+
+def one_round(bits: int, passes: int):
+    """The function that takes a part of the sample from the common state to its own, in chunks."""
     size = (1 << bits) + 1
-    z, n = np.zeros(size), np.zeros(size)
-    for _ in range(rounds):
-        states = rows.groupBy("part").applyInPandas(one_round(z, n, bits, passes), "rows long, z binary, n binary").collect()
-        if not states:
-            break
-        share = np.array([s["rows"] for s in states], dtype=np.float64)
-        share /= share.sum()
-        z = sum(a * np.frombuffer(s["z"]) for a, s in zip(share, states, strict=True))
-        n = sum(a * np.frombuffer(s["n"]) for a, s in zip(share, states, strict=True))
-    return weights_of(z, n)
-
-
-def one_round(z: np.ndarray, n: np.ndarray, bits: int, passes: int):
-    """The function that takes a part of the sample from the common state to its own."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+
+    def run(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"chunk": [], "rows": [], "z": [], "n": []})
+        state = state.sort_values("chunk")
+        blank = state["z"].isna().any()
+        z, n = (np.zeros(size) if blank else np.concatenate([np.frombuffer(v) for v in state[k]]) for k in ("z", "n"))
         pdf = pdf.sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
         pdf = pdf.iloc[np.random.default_rng(1).permutation(len(pdf))]
-        given = vectors([(t or "").encode() for t in pdf["text"]], bits)
-        z1, n1 = z.copy(), n.copy()
-        learn([(a, v, int(y)) for (a, v), y in zip(given, pdf["label"], strict=True)], z1, n1, passes)
-        return pd.DataFrame({"rows": [len(pdf)], "z": [z1.tobytes()], "n": [n1.tobytes()]})
+        given = vectors([t.encode() for t in pdf["text"]], bits)
+        learn([(a, v, int(y), int(w)) for (a, v), y, w in zip(given, pdf["label"], pdf["weight"], strict=True)], z, n, passes)
+        cuts = range(0, size, CHUNK)
+        return pd.DataFrame({
+            "chunk": range(len(cuts)), "rows": len(pdf), "z": [z[c : c + CHUNK].tobytes() for c in cuts], "n": [n[c : c + CHUNK].tobytes() for c in cuts],
+        })
 
     return run
 

@@ -109,14 +109,21 @@ def links_within(x: np.ndarray, y: np.ndarray, radius: int, rows: int = 64) -> t
 
 
 def links(prints: DataFrame, radius: int = RADIUS, size: int = TILE) -> DataFrame:
-    """Links (a, b) that join all distinct fingerprints within the radius; not every pair, but every group."""
+    """Links (a, b) that join all distinct fingerprints within the radius; not every pair, but every group.
+
+    The parts of tiles to compare are listed first, as numbers; the fingerprints then come to each pair of parts,
+    so that the parts of one large tile meet in as many tasks as there are.
+    """
     packed = written(tiles(prints, size), "tiles")
     offsets = [sum(d * 32**i for i, d in enumerate(step)) for step in near_counts(radius)]
-    left = packed.select(
-        F.explode(F.array(*[F.lit(o) for o in offsets])).alias("step"), "tile", "part", "prints"
-    ).select((F.col("tile") + F.col("step")).alias("other"), "step", "part", F.col("prints").alias("x"))
-    right = packed.select(F.col("tile").alias("other"), F.col("part").alias("other_part"), F.col("prints").alias("y"))
-    pairs = left.join(right, "other").where("step <> 0 or part <= other_part")
+    parts = packed.groupBy("tile").agg((F.max("part") + 1).alias("parts"))
+    near = packed.select(F.explode(F.array(*[F.lit(o) for o in offsets])).alias("step"), "tile", "part")
+    near = near.withColumn("other", F.col("tile") + F.col("step")).join(parts.withColumnRenamed("tile", "other"), "other")
+    near = near.withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    near = near.where("step <> 0 or part <= other_part").select("step", "tile", "part", "other", "other_part")
+    x = packed.withColumnRenamed("prints", "x")
+    y = packed.select(F.col("tile").alias("other"), F.col("part").alias("other_part"), F.col("prints").alias("y"))
+    pairs = near.join(x, ["tile", "part"]).join(y, ["other", "other_part"])
     pairs = pairs.select((F.expr("step = 0 and part = other_part")).alias("own"), "x", "y")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

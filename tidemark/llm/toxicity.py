@@ -17,7 +17,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.quality import held_out
+from tidemark.llm.labelled import held_out, sample
 from tidemark.llm.shared import documents, pick, written
 
 BITS, LENGTHS = 18, (3, 4, 5)
@@ -47,28 +47,6 @@ def buckets_of(text: str, bits: int = BITS) -> Iterator[np.ndarray]:
                 yield (mixed[:STEP] >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFrame:
-    """text, label, weight of the training rows: labelled ones that are not held out, repeats as weights.
-
-    Ids are drawn first, by a hash, then the distinct rows that they have: at most about max_train.
-    """
-    known = pick(labels, doc_id="doc_id", label="toxic").where("doc_id is not null and label is not null")
-    known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("times"))
-    known = written(known, "toxic-labels")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
-    most = _share(known.count(), max_train)
-    texts = pick(docs, doc_id="doc_id", text="text").where(draw < most).where(~held_out(F.col("doc_id")))
-    texts = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
-    rows = texts.join(known.where(draw < most), "doc_id")
-    rows = written(rows.select("doc_id", "text", "label", (F.col("n") * F.col("times")).alias("weight")), "toxic-rows")
-    again = F.pmod(F.xxhash64("doc_id", "text", "label", F.lit(12)), F.lit(1_000_000))
-    return rows.where(again < _share(rows.count(), max_train)).select("text", "label", "weight")
-
-
-def _share(n: int, most: int) -> int:
-    return 1_000_000 if n <= most else int(1_000_000 * most / n)
-
-
 def ratios(rows: DataFrame, bits: int = BITS, inputs: int = INPUTS) -> tuple[np.ndarray, np.ndarray]:
     """The buckets that are the model's inputs, in rising order, and their log-count ratios.
 
@@ -108,7 +86,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, bits:
     The sample is bounded by the distinct rows that are trained on, so a repeated row or id costs no more than one.
     Without labelled rows all weights are 0; with one class only the bias says which.
     """
-    rows = written(sample(docs, labels, max_train).repartition(PARTS), "toxic-sample")
+    rows = sample(docs, labels, "toxic", max_train, 11).select("text", "label", "weight")
+    rows = written(rows.repartition(PARTS), "toxic-sample")
     out = np.zeros((1 << bits) + 1)
     at, ratio = ratios(rows, bits, inputs)
     place = np.full(1 << bits, -1, dtype=np.int64)
