@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark import rules
 from tidemark.functions import similarity as M
-from tidemark.operators import match
+from tidemark.operators import match, simjoin
 
 WORDS = ["order", "orders", "customer", "custom", "price", "unit price", "prices", "region", "religion", "tide", "diet", "a", "email"]
 
@@ -71,8 +71,7 @@ def test_score_pairs(spark):
 
 
 @pytest.mark.parametrize("kernel,floor,k", [("matcher", 0.3, 3), ("indel", 0.5, 2), ("indel", 0.6, 10)])
-@pytest.mark.parametrize("small", [True, False])
-def test_fuzzy_topk(spark, kernel, floor, k, small):
+def test_fuzzy_topk(spark, kernel, floor, k):
     rng = random.Random(8)
     texts = WORDS + [noise(rng, 10) for _ in range(20)]
     # a third of all objects look the same
@@ -80,7 +79,7 @@ def test_fuzzy_topk(spark, kernel, floor, k, small):
     got = match.fuzzy_topk(
         spark.createDataFrame([(x,) for x in texts], "q string"),
         spark.createDataFrame(objects, "object_id bigint, terms array<string>").select("object_id", F.array_sort(F.array_distinct("terms")).alias("terms")),
-        k, floor, kernel, **({"small_queries": True} if small else {"block_rows": 7}))
+        k, floor, kernel)
     fn = M.KERNELS[kernel]
     want = set()
     for q in set(texts):
@@ -108,8 +107,7 @@ def brute(entity, kind, objects):
     return [(typ, oid, -s) for s, _, oid, typ in sorted(out)[:20]]
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_match_candidates(spark, small):
+def test_match_candidates(spark):
     rng = random.Random(11)
     objects = []
     for i in range(120):
@@ -119,8 +117,7 @@ def test_match_candidates(spark, small):
     entities = [(w, k) for w in WORDS for k in ("table", "column", "value", "business_term", "other")]
     got = match.match_candidates(
         spark.createDataFrame(entities, "entity string, entity_type string"),
-        spark.createDataFrame(objects, "object_type string, object_id bigint, name string, terms array<string>, description string"),
-        **({"small_queries": True} if small else {"block_rows": 16})).collect()
+        spark.createDataFrame(objects, "object_type string, object_id bigint, name string, terms array<string>, description string")).collect()
     for e, k in entities:
         mine = [(r["object_type"], r["object_id"], round(r["max_score"], 9)) for r in sorted(got, key=lambda r: r["rank"]) if (r["q"], r["kind"]) == (e, k)]
         assert mine == [(a, b, round(c, 9)) for a, b, c in brute(e, k, objects)], (e, k)
@@ -133,3 +130,42 @@ def test_dictionary_search(spark):
     q = spark.createDataFrame([(" ORD ",)], "query string")
     got = {r["entry_id"]: (round(r["score"], 4), r["match_type"]) for r in match.dictionary_search(q, entries).collect()}
     assert got == {2: (1.0, "exact"), 1: (0.75, "fuzzy")}
+
+
+@pytest.mark.parametrize("floor", [0.3, 0.5, 0.85])
+def test_prefix_filter_loses_no_pair(spark, floor):
+    rng = random.Random(int(floor * 100))
+    texts = sorted({noise(rng, 14) for _ in range(60)} | set(WORDS) | {""})
+    strings = sorted({noise(rng, 14) for _ in range(150)} | set(WORDS) | {"aaaa", "aaaaaaaaaaaa", "", "x"})
+    q, s = (spark.createDataFrame([(x,) for x in v], f"{n} string") for n, v in (("q", texts), ("s", strings)))
+    for kernel, fn in M.KERNELS.items():
+        got = {(r["q"], r["s"]): r["score"] for r in simjoin.ratio_join(q, s, floor, kernel).collect()}
+        assert got == {(a, b): fn(a, b) for a in texts for b in strings if a and b and fn(a, b) > floor}
+
+
+def test_parts_of_strings(spark):
+    rng = random.Random(4)
+    texts = sorted({noise(rng, 6) for _ in range(80)})
+    strings = sorted({noise(rng, 9) for _ in range(120)} | {""})
+    q, s = (spark.createDataFrame([(x,) for x in v], f"{n} string") for n, v in (("q", texts), ("s", strings)))
+    pairs = lambda df: sorted((r["q"], r["s"]) for r in df.collect())
+    assert pairs(simjoin.containing(q, s)) == sorted((a, b) for a in texts for b in strings if a in b)
+    assert pairs(simjoin.contained(q, s)) == sorted((a, b) for a in texts for b in strings if b in a)
+
+
+def test_no_blocks_are_copied(spark, capsys):
+    q = spark.createDataFrame([("order",)], "q string")
+    o = spark.createDataFrame([(1, ["orders"])], "object_id bigint, terms array<string>")
+    match.fuzzy_topk(q, o, 3, 0.5).explain()
+    plan = capsys.readouterr().out
+    assert "CoGroups" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_ranking_sees_all_candidates(spark):
+    """Thirty objects with the best single score, and one that the weights put first."""
+    objects = [("column", i, "price", ["price", f"price {i}"], "") for i in range(30)]
+    objects.append(("column", 99, "price", ["price"], "the price of an order"))
+    df = spark.createDataFrame(objects, "object_type string, object_id bigint, name string, terms array<string>, description string")
+    e = spark.createDataFrame([(1, "price", "column", 0.3)], "entity_id bigint, entity string, entity_type string, confidence double")
+    first = lambda k: [r["target_id"] for r in match.rank_mappings(e, match.match_candidates(e, df, k), 0.0)[0].collect()]
+    assert first(None) == [99] and first(20) == [0]

@@ -161,6 +161,14 @@ def match_scores(t):
 
 @query("rank_mappings")
 def rank_mappings(t):
+    e = valid_entities(t)
+    mapped, _ = match.rank_mappings(e, match.match_candidates(e, objects_of(t), None))
+    return mapped.withColumn("alternatives", F.array_join("alternatives", ","))
+
+
+@query("rank_mappings_of_20")
+def rank_mappings_of_20(t):
+    """The ranking over the twenty candidates with the best single score."""
     e = valid_entities(t)
     mapped, _ = match.rank_mappings(e, match.match_candidates(e, objects_of(t)))
     return mapped.withColumn("alternatives", F.array_join("alternatives", ","))
@@ -169,7 +177,7 @@ def rank_mappings(t):
 @query("unmapped_entities")
 def unmapped_entities(t):
     e = valid_entities(t)
-    return match.rank_mappings(e, match.match_candidates(e, objects_of(t)))[1]
+    return match.rank_mappings(e, match.match_candidates(e, objects_of(t), None))[1]
 
 
 MAPPINGS = """
