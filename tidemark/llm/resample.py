@@ -114,9 +114,9 @@ def gains(source: DataFrame, target: DataFrame, buckets: int) -> np.ndarray:
     both = every.join(source.withColumnRenamed("n", "s"), "bucket", "left").join(target.withColumnRenamed("n", "t"), "bucket", "left")
     both = written(both.fillna(0, ["s", "t"]), "resample-buckets")
     d = lambda c: F.col(c).cast("double")
-    size = both.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-    ratio = (d("t") + 1.0) * (d("all_s") + float(buckets)) / ((d("s") + 1.0) * (d("all_t") + float(buckets)))
-    rows = both.join(F.broadcast(size)).select("bucket", F.floor(F.log(ratio) * 1000.0).cast("long").alias("gain"))
+    size = both.agg(F.sum("s").alias("s"), F.sum("t").alias("t")).head()
+    ratio = (d("t") + 1.0) * float(size["s"] + buckets) / ((d("s") + 1.0) * float(size["t"] + buckets))
+    rows = both.select("bucket", F.floor(F.log(ratio) * 1000.0).cast("long").alias("gain"))
     out = np.zeros(buckets, dtype=np.int64)
     for row in rows.collect():  # `buckets` numbers
         out[row["bucket"]] = row["gain"]
