@@ -147,18 +147,12 @@ def assign_cells(df: DataFrame, vector: str, centres: np.ndarray, n: int = 1) ->
     return df.withColumn("cell", F.explode(nearest(vector)))
 
 
-def ivf_topk(queries: DataFrame, corpus: DataFrame, centres: np.ndarray, k: int = 10, n_probe: int = 10,
-             block_rows: int = 20000) -> DataFrame:
-    """Approximate cosine neighbours: score only the ``n_probe`` nearest cells of each query; all cells are exact.
+def cell_meetings(left: DataFrame, right: DataFrame, score, schema: str, block_rows: int) -> DataFrame:
+    """``score(left part, right part)`` for all parts of both sides that share a cell.
 
-    Both sides of a cell are split by a hash of the id into as many parts as their own counts ask for, so a
-    cell with a third of the corpus or of the queries is scored on many tasks, none with more than about
-    ``block_rows`` rows of a side. Only the counts per cell come to the driver.
+    A side of a cell has as many parts, by a hash of the id, as its own count asks for. ``left``: qid, cell;
+    ``right``: cid, cell. Only the counts per cell come to the driver.
     """
-    queries, corpus = usable(queries, "qv"), usable(corpus, "cv")
-    right = assign_cells(corpus.select("cid", "cv"), "cv", centres)
-    left = assign_cells(queries.select("qid", "qv"), "qv", centres, n_probe)
-
     def parts(df: DataFrame):
         counts = {r["cell"]: -(-r["count"] // block_rows) for r in df.groupBy("cell").count().collect()}
         table = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair]) if counts else F.create_map().cast("map<int,int>")
@@ -169,14 +163,28 @@ def ivf_topk(queries: DataFrame, corpus: DataFrame, centres: np.ndarray, k: int
     of_left, of_right = parts(left), parts(right)
     left = left.withColumn("lp", own("qid", of_left)).withColumn("rp", every(of_right))
     right = right.withColumn("rp", own("cid", of_right)).withColumn("lp", every(of_left))
-    inner = _scorer(k, "cosine", None, False)
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame() if a.empty or b.empty else inner(a, b)
+        return pd.DataFrame() if a.empty or b.empty else score(a, b)
 
-    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, cid {corpus.schema['cid'].dataType.simpleString()}, score double"
     keys = ["cell", "lp", "rp"]
-    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
+
+
+def ivf_topk(queries: DataFrame, corpus: DataFrame, centres: np.ndarray, k: int = 10, n_probe: int = 10,
+             block_rows: int = 20000) -> DataFrame:
+    """Approximate cosine neighbours: score only the ``n_probe`` nearest cells of each query; all cells are exact.
+
+    Both sides of a cell are split by a hash of the id into as many parts as their own counts ask for, so a
+    cell with a third of the corpus or of the queries is scored on many tasks, none with more than about
+    ``block_rows`` rows of a side. Only the counts per cell come to the driver.
+    """
+    queries, corpus = usable(queries, "qv"), usable(corpus, "cv")
+    right = assign_cells(corpus.select("cid", "cv"), "cv", centres)
+    left = assign_cells(queries.select("qid", "qv"), "qv", centres, n_probe)
+
+    schema = f"qid {queries.schema['qid'].dataType.simpleString()}, cid {corpus.schema['cid'].dataType.simpleString()}, score double"
+    local = cell_meetings(left, right, _scorer(k, "cosine", None, False), schema, block_rows)
     return keep_topk(local, ["qid"], [F.desc("score"), F.col("cid")], k)
 
 

@@ -18,11 +18,17 @@ def table_state(t, name: str) -> tuple:
     return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
 
 
-def saved_index(t, kind: str, build, table: str = "documents") -> dict[str, DataFrame]:
-    """The parts of an index over a table; ``build(t)`` gives them where this session has not saved them yet."""
+def saved_folder(t, kind: str, write, table: str) -> str:
+    """The folder of an index over a table; ``write(t, folder)`` fills it where this session has not done so yet."""
     key = (t.spark.sparkContext.applicationId, kind, table_state(t, table))
     if key not in _SAVED:
         path = f"{scratch_dir(t.spark, 'index')}/{kind}"
-        sinks.save_index(build(t), path, {"type": kind})
+        write(t, path)
         _SAVED[key] = path
-    return sinks.load_index(t.spark, _SAVED[key])[0]
+    return _SAVED[key]
+
+
+def saved_index(t, kind: str, build, table: str = "documents") -> dict[str, DataFrame]:
+    """The parts of an index over a table; ``build(t)`` gives them where this session has not saved them yet."""
+    path = saved_folder(t, kind, lambda t, to: sinks.save_index(build(t), to, {"type": kind}), table)
+    return sinks.load_index(t.spark, path)[0]
