@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import clean
+from tidemark.operators import clean, profile, states
 from tidemark.plans.derived import DERIVED
+from tidemark.plans.profiling import NUMERIC, STAR, union_sql
 from tidemark.plans.registry import query
 from tidemark.sources.scratch import scratch_dir
-from tidemark.streaming import ingest, rate_limit as RL, search_log as SL
+from tidemark.streaming import catalog, ingest, rate_limit as RL, search_log as SL
 
 
 def stream_of(t, name):
@@ -68,3 +69,50 @@ def incremental_ingest(t):
     types = clean.decide_types(t.customer)
     ingest.ingest_stream(stream_of(t, "customer"), base, f"{base}/checkpoint", "customer", "c_name", "c_custkey", types).awaitTermination()
     return t.spark.read.parquet(f"{base}/rows").drop("batch")
+
+
+def streamed_catalog(t, name="events", batches=3):
+    """The folder of the states of a table that arrives in about three micro-batches."""
+    base = scratch_dir(t.spark, "catalog")
+    rows = getattr(t, name)
+    n = max(batches, rows.rdd.getNumPartitions())
+    rows.repartition(n, STAR[name][0]).write.parquet(f"{base}/inbox")
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-n // batches)).parquet(f"{base}/inbox")
+    catalog.catalog_stream(stream, f"{base}/states", f"{base}/checkpoint", name).awaitTermination()
+    return f"{base}/states"
+
+
+def _exact_profile(n, c, d, key):
+    num = lambda f: f"round({f}({c}::DOUBLE), 3)" if d in NUMERIC else "NULL::DOUBLE"
+    return f"""SELECT '{n}' AS "table", '{c}' AS "column", '{d}' AS dtype, count(*) AS rows, count(*) - count({c}) AS null_count,
+        count(*) > count({c}) AS is_nullable, {num('min')} AS min_value, {num('max')} AS max_value, {num('avg')} AS avg_value FROM {n}"""
+
+
+@query("running_catalog", union_sql(_exact_profile, ["events"]))
+def running_catalog(t):
+    """The exact columns of a catalog whose table arrived in several micro-batches."""
+    return catalog.catalog_at(t.spark, streamed_catalog(t)).select(
+        "table", "column", "dtype", "rows", "null_count", "is_nullable", "min_value", "max_value", "avg_value")
+
+
+@query("running_catalog_error", union_sql(
+    lambda n, c, d, key: f"""SELECT '{n}' AS "table", '{c}' AS "column", true AS distinct_near, true AS median_near, true AS top_near""", ["events"]))
+def running_catalog_error(t):
+    """Whether the estimates of a streamed catalog keep their stated errors against all rows (distinct values and medians: about five standard errors)."""
+    found = catalog.catalog_at(t.spark, streamed_catalog(t))
+    exact = profile.profile_columns(t.events, "events").select("table", "column", F.col("distinct_count").alias("exact"))
+    cells = profile.melt(t.events, "events").where("value IS NOT NULL")
+    counts = cells.groupBy("table", "column", states.shown(F.col("value")).alias("value")).count()
+    most = counts.groupBy("table", "column").agg(F.max("count").alias("most"))
+    # the share of values up to the estimated median
+    median = found.where("median_value IS NOT NULL").select("table", "column", "median_value")
+    below = cells.join(median, ["table", "column"]).groupBy("table", "column").agg(
+        F.avg((F.col("value").cast("double") <= F.col("median_value")).cast("double")).alias("upto"),
+        F.avg((F.col("value").cast("double") < F.col("median_value")).cast("double")).alias("under"))
+    all_of = found.join(exact, ["table", "column"]).join(most, ["table", "column"], "left").join(below, ["table", "column"], "left")
+    top = F.coalesce(F.get("top_values", F.lit(0))["count"], F.lit(0))
+    few = F.col("exact") < 0.6 * states.TOP_TRACKED
+    return all_of.select(
+        "table", "column", (F.abs(F.col("distinct_count") - F.col("exact")) <= 0.05 * F.col("exact")).alias("distinct_near"),
+        F.coalesce((F.col("upto") >= 0.44) & (F.col("under") <= 0.56), F.lit(True)).alias("median_near"),
+        F.coalesce(F.when(few, top == F.col("most")).otherwise(F.abs(top - F.col("most")) <= states.TOP_ERROR * F.col("rows")), F.lit(True)).alias("top_near"))
