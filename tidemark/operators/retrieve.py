@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark import rules
 from tidemark.functions.scalar import clip, mean
 from tidemark.operators.blocks import keep_topk
+from tidemark.sources.scratch import stored
 
 OBJECT = ["object_type", "object_id"]
 
@@ -82,6 +84,33 @@ def enrich(results: DataFrame, tables: DataFrame, columns: DataFrame, entries: D
     }).drop("t_name", "c_name", "e_name", "t_meta", "c_meta", "e_meta")
 
 
+def search(requests: DataFrame, indexes: DataFrame, engines: dict[str, Callable[[DataFrame], DataFrame]], tables: DataFrame,
+           columns: DataFrame, entries: DataFrame, k: int = rules.SEARCH_TOP_K, threshold: float = rules.SEARCH_MIN_SCORE,
+           search_type: str = "hybrid", mode: str = "after", index_ids: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """One search from request to log: (named results, one log row per request).
+
+    ``requests``: query (unique), project_id and whatever the engines read. A request goes to the ready indexes of
+    its project, each type of index by its engine: a function from the requests routed there to their best hits
+    (query, object_type, object_id, score). Two indexes of one type in a project are one engine's run. An engine
+    is given routed requests only; without one for a type its indexes are skipped. Lists are merged by the best score
+    of an object, cut by ``threshold`` (see search_threshold) and named. Requests without a ready index have no
+    results and a log row with zeros; so have requests without a project.
+    """
+    ready = index_route(indexes, search_type, index_ids).where(F.col("type").isin(*engines)).select("project_id", "type", "index_id", "method")
+    lists = []
+    for kind, run in engines.items():
+        there = ready.where(F.col("type") == kind).select("project_id").distinct()
+        hits = run(requests.join(there, "project_id", "left_semi"))
+        lists.append(hits.select("query", *OBJECT, F.col("score").cast("double").alias("score"), F.lit(METHOD[kind]).alias("method")))
+    results = stored(enrich(search_threshold(lists, threshold, mode, k), tables, columns, entries), "results")
+    used = ready.groupBy("project_id").agg(F.count_distinct("index_id").alias("indexes_used"))
+    counts = results.groupBy("query").agg(F.count(F.lit(1)).alias("results_count"))
+    log = requests.select("query", "project_id").join(used, "project_id", "left").join(counts, "query", "left").select(
+        "query", "project_id", F.coalesce("results_count", F.lit(0)).alias("results_count"),
+        F.coalesce("indexes_used", F.lit(0)).alias("indexes_used"))
+    return results, log
+
+
 def browse(kind: str, objects: DataFrame, key: str, name: str, metadata: list[str], k: int = 10) -> DataFrame:
     """The first ``k`` objects of one kind by id, score 1.0, with metadata."""
     return objects.orderBy(key).limit(k).select(

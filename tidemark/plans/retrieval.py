@@ -348,17 +348,17 @@ def _unigrams(src, key):
         unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({_STOP}))) AS term FROM {src}) GROUP BY ALL"""
 
 
-@query(
-    "bm25_search",
-    f"""WITH c AS ({_unigrams('documents', 'doc_id')}), q AS ({_unigrams('benchmark', 'item_id')}),
+_BM25 = f"""WITH c AS ({_unigrams('documents', 'doc_id')}), q AS ({_unigrams('benchmark', 'item_id')}),
          l AS (SELECT id, sum(tf)::DOUBLE AS dl FROM c GROUP BY 1), d AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
          g AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, (SELECT sum(tf) FROM c)::DOUBLE / (SELECT count(*) FROM documents) AS mean),
          s AS (SELECT q.id AS query, c.id AS doc, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * c.tf * 2.2::DOUBLE
                 / (c.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 6) AS score
                FROM q JOIN c ON q.term = c.term JOIN d ON d.term = c.term JOIN l ON l.id = c.id, g GROUP BY ALL),
          r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)::INTEGER AS rank FROM s WHERE score > 0)
-        SELECT query, doc, score, rank FROM r WHERE rank <= 10""",
-)
+        SELECT query, doc, score, rank FROM r WHERE rank <= 10"""
+
+
+@query("bm25_search", _BM25)
 def bm25_search(t):
     return L.bm25_search(saved_index(t, "bm25", bm25_parts)["postings"], t.benchmark, "item_id", "text", 10)
 
@@ -450,6 +450,69 @@ def enrich_results(t):
                       F.coalesce(g("row_count"), g("data_type"), g("definition"), F.lit("")).alias("detail"))
 
 
+# --- one search from request to log ---------------------------------------------------------
+def search_all(t):
+    """Every benchmark item as a request of a project, by the ready indexes of that project."""
+    requests = t.benchmark.join(query_vectors(t), F.col("item_id") == F.col("qid"), "left").select(
+        F.col("item_id").alias("query"), (F.col("item_id") % 25).alias("project_id"), "text", "qv")
+    kinds = t.cat_embeddings.select("object_type", "object_id")
+
+    def semantic(asked):
+        vectors = asked.where("qv IS NOT NULL").select(F.col("query").alias("qid"), "qv")
+        hits = VI.search(vectors, vector_index(t), 10, exact=True)
+        return hits.join(kinds, F.col("cid") == F.col("object_id")).select(F.col("qid").alias("query"), "object_type", "object_id", "score")
+
+    def words(hits):
+        return hits.select("query", F.lit("document").alias("object_type"), F.col("doc").alias("object_id"), "score")
+
+    def tfidf(asked):
+        index = saved_index(t, "tfidf", tfidf_parts)
+        return words(L.tfidf_search(index["postings"], L.tfidf_queries(asked, "query", "text", index["vocabulary"]), 10))
+
+    def bm25(asked):
+        return words(L.bm25_search(saved_index(t, "bm25", bm25_parts)["postings"], asked, "query", "text", 10))
+
+    engines = {"faiss": semantic, "tfidf": tfidf, "bm25": bm25}
+    return R.search(requests, t.cat_indexes, engines, t.cat_tables, t.cat_columns, t.cat_entries)
+
+
+_FOUND = f"""WITH {_SEM}, {_KW}, bm AS ({_BM25}),
+    req AS (SELECT item_id AS query, (item_id % 25)::BIGINT AS project_id FROM benchmark),
+    ready AS (SELECT project_id, type, count(DISTINCT index_id) AS n FROM cat_indexes WHERE status = 'ready' GROUP BY ALL),
+    go AS (SELECT query, type FROM req JOIN ready USING (project_id)),
+    u AS (SELECT go.query, e.object_type, e.object_id, score, 'semantic' AS method FROM go JOIN sem ON qid = go.query JOIN cat_embeddings e ON e.object_id = cid WHERE type = 'faiss' AND rank <= 10
+      UNION ALL SELECT go.query, 'document', doc, score, 'keyword' FROM go JOIN kw ON kw.query = go.query WHERE type = 'tfidf' AND rank <= 10
+      UNION ALL SELECT go.query, 'document', doc, score, 'keyword' FROM go JOIN bm ON bm.query = go.query WHERE type = 'bm25'),
+    m AS (SELECT query, object_type, object_id, max(score) AS score, arg_max(method, (score, method)) AS method FROM u GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, object_type, object_id)::INTEGER AS rank FROM m),
+    res AS (SELECT * FROM ranked WHERE rank <= 10 AND score >= 0.1)"""
+
+
+@query(
+    "search_end_to_end",
+    f"""{_FOUND} SELECT query, res.object_type, res.object_id, score, method, rank,
+          coalesce(t.display_name, t.name, c.display_name, c.name, e.term, '') AS object_name,
+          coalesce(t.row_count::VARCHAR, c.data_type, e.category, '') AS detail
+        FROM res LEFT JOIN cat_tables t ON res.object_type = 'table' AND t.table_id = res.object_id
+        LEFT JOIN cat_columns c ON res.object_type = 'column' AND c.column_id = res.object_id
+        LEFT JOIN cat_entries e ON res.object_type = 'dictionary_entry' AND e.entry_id = res.object_id""",
+)
+def search_end_to_end(t):
+    """Routed, searched by each index's own method, merged, cut, named."""
+    g = lambda k: F.get_json_object("context", f"$.{k}")
+    return search_all(t)[0].withColumn("detail", F.coalesce(g("row_count"), g("data_type"), g("category"), F.lit(""))).drop("context")
+
+
+@query(
+    "search_end_to_end_log",
+    f"""{_FOUND} SELECT query, project_id, (SELECT count(*) FROM res WHERE res.query = req.query) AS results_count,
+          (SELECT coalesce(sum(n), 0)::BIGINT FROM ready WHERE ready.project_id = req.project_id) AS indexes_used FROM req""",
+)
+def search_end_to_end_log(t):
+    """The log of the same searches: requests without an index or a hit too."""
+    return search_all(t)[1]
+
+
 @query(
     "browse_category",
     """(SELECT 'table' AS object_type, table_id AS object_id, name AS text, 1.0::DOUBLE AS score FROM cat_tables ORDER BY table_id LIMIT 10)
