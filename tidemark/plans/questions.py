@@ -142,7 +142,32 @@ def objects_of(t):
     return match.schema_objects(t.cat_tables, t.cat_columns, t.cat_entries)
 
 
-@query("map_entities")
+# The longest common subsequence of two texts, with the row of its table packed into one integer: bit i stands for
+# the i-th character of the first text, which may have 120 characters here.
+_LCS = """list_reduce(list_prepend(((1::HUGEINT << la) - 1), list_transform(range(1, lb + 1), lambda i: coalesce(places[b[i]], 0::HUGEINT))),
+    lambda r, m: ((r + (r & m)) | (r - (r & m))) & ((1::HUGEINT << la) - 1))"""
+_MAPPED = f"""WITH asked AS (SELECT DISTINCT session_id, lower(entity) AS q FROM ({_VALID}) WHERE rank <= 20 AND length(entity) > 0),
+    qs AS (SELECT DISTINCT q FROM asked),
+    letters AS (SELECT q, substr(q, i, 1) AS ch, sum(1::HUGEINT << (i - 1)) AS m FROM (SELECT q, unnest(range(1, length(q) + 1)) AS i FROM qs) GROUP BY ALL),
+    qm AS (SELECT q, length(q)::INTEGER AS la, map_from_entries(list((ch, m::HUGEINT))) AS places FROM letters GROUP BY q),
+    strings AS (SELECT DISTINCT 0 AS prio, table_id AS object_id, lower(name) AS b FROM cat_tables
+      UNION SELECT 1, column_id, lower(unnest([name, display_name, business_category] || coalesce(sample_values[1:5], []))) FROM cat_columns),
+    pairs AS (SELECT q, b, la, length(b)::INTEGER AS lb, places FROM qm, (SELECT DISTINCT b FROM strings WHERE b <> '')),
+    ratios AS (SELECT q, b, round_even(100::DOUBLE * 2 * (la - bit_count({_LCS})) / (la + lb), 0) / 100 AS score FROM pairs),
+    best AS (SELECT q, prio, object_id, max(score) AS score FROM ratios JOIN strings USING (b)
+      WHERE score > CASE WHEN prio = 0 THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END GROUP BY ALL),
+    three AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, prio, object_id) <= 3),
+    named AS (SELECT h.q, h.prio, h.object_id, h.score, t.name AS "table", c.name AS "column" FROM three h
+      LEFT JOIN cat_columns c ON h.prio = 1 AND c.column_id = h.object_id
+      JOIN cat_tables t ON t.table_id = CASE WHEN h.prio = 0 THEN h.object_id ELSE c.table_id END),
+    once AS (SELECT session_id, n.* FROM asked JOIN named n USING (q)
+      QUALIFY row_number() OVER (PARTITION BY session_id, "table", "column" ORDER BY score DESC, q, prio, object_id) = 1)
+    SELECT session_id, q AS entity, CASE WHEN prio = 0 THEN 'table' ELSE 'column' END AS type, "table", "column", score AS confidence, object_id,
+      row_number() OVER (PARTITION BY session_id ORDER BY score DESC, q, prio, object_id)::INTEGER AS rank
+    FROM once QUALIFY rank <= 10"""
+
+
+@query("map_entities", _MAPPED)
 def map_entities(t):
     return match.map_entities(valid_entities(t), t.cat_tables, t.cat_columns)
 
