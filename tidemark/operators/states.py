@@ -20,6 +20,7 @@ TOP_ERROR = 3.5 / TOP_TRACKED  # share of the rows
 TOP_SHOWN = 5
 SHOWN_LENGTH = 64
 FIRST_GROUPS = 64
+MERGE_TASKS = 16
 
 KEYS = ["table", "column", "dtype"]
 
@@ -39,11 +40,13 @@ def shown(text: Column) -> Column:
 
 
 def column_states(df: DataFrame, table: str) -> DataFrame:
-    """One state per column of ``df``; of an empty table too. Columns are read in passes of fifty.
+    """One state per column of ``df``; of an empty table too. Columns are read in passes of fifty."""
+    return merge_states(partial_states(df, table))
 
-    Tasks first merge into ``FIRST_GROUPS`` groups, then every column on its own, so that neither the tasks of
-    a large batch nor its columns meet in one place.
-    """
+
+def partial_states(df: DataFrame, table: str) -> DataFrame:
+    """Up to ``FIRST_GROUPS`` + 1 states per column, for merge_states: neither the tasks of a large table nor its
+    columns meet in one place."""
     fields = [T.StructField(f.name, f.dataType) for f in df.schema.fields]
     parts = []
     for some in chunks(fields):
@@ -71,12 +74,15 @@ def column_states(df: DataFrame, table: str) -> DataFrame:
         # no rows at all still give one state a column
         wide = cells.groupBy("part").agg(*aggs).drop("part").unionByName(cells.limit(0).agg(*aggs))
         parts.append(wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*"))
-    return merge_states(union_all(parts))
+    return union_all(parts)
 
 
 def merge_states(states: DataFrame) -> DataFrame:
-    """One state per column from any number of them, in any order and grouping."""
-    return states.groupBy(*KEYS, "numeric").agg(
+    """One state per column from any number of them, in any order and grouping.
+
+    There are as many rows as columns, so they are dealt over MERGE_TASKS tasks, whatever a session sets for shuffles.
+    """
+    return states.repartition(MERGE_TASKS, *KEYS, "numeric").groupBy(*KEYS, "numeric").agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("present"), F.lit(0)).alias("present"),
         F.hll_union_agg("values").alias("values"),
         F.expr(f"approx_top_k_combine(frequent, {TOP_TRACKED})").alias("frequent"),

@@ -4,16 +4,17 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import clean, profile, states
 from tidemark.plans.derived import DERIVED
+from tidemark.plans.indexes import table_state
 from tidemark.plans.profiling import NUMERIC, STAR, union_sql
 from tidemark.plans.registry import query
 from tidemark.sources.scratch import scratch_dir
 from tidemark.streaming import catalog, ingest, rate_limit as RL, search_log as SL
 
 
-def stream_of(t, name):
+def stream_of(t, name, **options):
     """A stream needs a folder to watch: the table's own, or for a single file the folder it is in, cut to that file."""
     path = t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.sf_dir}/{name}.parquet")
-    stream = t.spark.readStream.schema(getattr(t, name).schema)
+    stream = t.spark.readStream.schema(getattr(t, name).schema).options(**options)
     if path.getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
         return stream.parquet(path.toString())
     return stream.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString())
@@ -72,12 +73,18 @@ def incremental_ingest(t):
 
 
 def streamed_catalog(t, name="events", batches=3):
-    """The folder of the states of a table that arrives in about three micro-batches."""
+    """The folder of the states of a table that arrives in about three micro-batches.
+
+    The files of a table's own folder are watched; one file or two are first dealt into parts.
+    """
     base = scratch_dir(t.spark, "catalog")
-    rows = getattr(t, name)
-    n = max(batches, rows.rdd.getNumPartitions())
-    rows.repartition(n, STAR[name][0]).write.parquet(f"{base}/inbox")
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-n // batches)).parquet(f"{base}/inbox")
+    n = len(table_state(t, name))
+    if n >= batches:  # files of the folder
+        stream = stream_of(t, name, maxFilesPerTrigger=-(-n // batches))
+    else:
+        rows = getattr(t, name)
+        rows.repartition(batches, STAR[name][0]).write.parquet(f"{base}/inbox")
+        stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/inbox")
     catalog.catalog_stream(stream, f"{base}/states", f"{base}/checkpoint", name).awaitTermination()
     return f"{base}/states"
 

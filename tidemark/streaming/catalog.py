@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.operators.states import catalog, column_states, merge_states
+from tidemark.operators.states import catalog, merge_states, partial_states
 
 
 def catalog_stream(stream: DataFrame, out: str, checkpoint: str, table: str):
@@ -18,11 +18,11 @@ def catalog_stream(stream: DataFrame, out: str, checkpoint: str, table: str):
         if batch.isEmpty():
             return
         spark = batch.sparkSession
-        states = column_states(batch, table)
+        states = partial_states(batch, table)
         before = state_at(spark, out, batch_id - 1, states) if batch_id else None
         if before is not None:
-            states = merge_states(states.unionByName(before))
-        states.coalesce(1).write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+            states = states.unionByName(before)
+        merge_states(states).coalesce(1).write.mode("overwrite").parquet(f"{out}/version={batch_id}")
 
     return (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
