@@ -100,6 +100,12 @@ def bm25_build(docs: DataFrame, doc_id: str, text: str, k1: float = rules.BM25_K
     return sized.join(df, "term").select("doc", "term", (idf * part).alias("weight"))
 
 
+def bm25_queries(queries: DataFrame, query_id: str, text: str, stop_words=None) -> DataFrame:
+    """(query, term, qw): each distinct term of a query weighs one."""
+    counts = term_counts(queries, query_id, text, 1, stop_words)
+    return counts.select(F.col("doc").alias("query"), "term", F.lit(1.0).alias("qw"))
+
+
 def bm25_search(postings: DataFrame, queries: DataFrame, query_id: str, text: str, k: int = 10, stop_words=None) -> DataFrame:
     q = term_counts(queries, query_id, text, 1, stop_words).select(F.col("doc").alias("query"), "term")
     wanted = postings.join(q.select("term").distinct(), "term", "left_semi")

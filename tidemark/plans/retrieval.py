@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from tidemark import rules
 from tidemark.functions import text as X
-from tidemark.operators import embed as E, lexical as L, retrieve as R, vector as V, vector_index as VI
+from tidemark.operators import blockmax as BM, embed as E, lexical as L, retrieve as R, vector as V, vector_index as VI
 from tidemark.plans.columns import sql_list
 from tidemark.plans.indexes import saved_folder, saved_index
-from tidemark.plans.registry import query
+from tidemark.plans.registry import ORACLES, query
 from tidemark.sources.scratch import scratch_dir
 
 # --- object texts -------------------------------------------------------------------------
@@ -363,6 +363,39 @@ def bm25_search(t):
     return L.bm25_search(saved_index(t, "bm25", bm25_parts)["postings"], t.benchmark, "item_id", "text", 10)
 
 
+def block_search(t, kind, floor=None, k=10):
+    """A search with bounds over the saved postings of ``kind``, whose blocks are saved once as well."""
+    parts = saved_index(t, kind, tfidf_parts if kind == "tfidf" else bm25_parts)
+    folder = saved_folder(t, f"{kind}_blocks", lambda t, to: BM.write_index(BM.block_index(parts["postings"]), to), "documents")
+    if kind == "tfidf":
+        asked = L.tfidf_queries(t.benchmark, "item_id", "text", parts["vocabulary"])
+    else:
+        asked = L.bm25_queries(t.benchmark, "item_id", "text")
+    doc_type = parts["postings"].schema["doc"].dataType.simpleString()
+    return BM.Search(BM.read_index(t.spark, folder, doc_type), asked, k, floor)
+
+
+@query("tfidf_search_blocks", ORACLES["tfidf_search"])
+def tfidf_search_blocks(t):
+    return block_search(t, "tfidf", rules.SEARCH_MIN_SCORE).top()
+
+
+@query("tfidf_search_blocks_positive", ORACLES["tfidf_search_positive"])
+def tfidf_search_blocks_positive(t):
+    return block_search(t, "tfidf").top()
+
+
+@query("bm25_search_blocks", _BM25)
+def bm25_search_blocks(t):
+    return block_search(t, "bm25").top()
+
+
+@query("keyword_read")
+def keyword_read(t):
+    """Postings of each query's terms and how many of them a search with the usual lowest score reads."""
+    return block_search(t, "tfidf", rules.SEARCH_MIN_SCORE).read()
+
+
 # --- fusion -------------------------------------------------------------------------------
 def semantic_list(t, k):
     hits = V.topk(query_vectors(t), corpus_vectors(t), k)
