@@ -100,10 +100,56 @@ def bm25_build(docs: DataFrame, doc_id: str, text: str, k1: float = rules.BM25_K
     return sized.join(df, "term").select("doc", "term", (idf * part).alias("weight"))
 
 
-def bm25_queries(queries: DataFrame, query_id: str, text: str, stop_words=None) -> DataFrame:
-    """(query, term, qw): each distinct term of a query weighs one."""
+def row_terms(docs: DataFrame, doc_id: str, text: str, stop_words=None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, *keep, term, tf, dl): terms counted inside the row of their text, which moves nothing.
+
+    Texts whose id repeats count as one text, as in ``term_counts``; only they are shuffled. ``keep`` are
+    columns that the id decides. One look at the ids tells whether any repeats.
+    """
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), *keep, tokens(text, stop_words).alias("t"))
+    rows = rows.where(F.size("t") > 0)
+    repeated = docs.groupBy(F.col(doc_id).alias("doc")).count().where("count > 1 AND doc IS NOT NULL").select("doc")
+    if repeated.isEmpty():
+        return _runs(rows, keep)
+    many = rows.join(repeated, "doc", "left_semi").select("doc", *keep, F.explode("t").alias("term"))
+    many = many.groupBy("doc", *keep, "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    many = many.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc")).cast("int"))
+    return _runs(rows.join(repeated, "doc", "left_anti"), keep).unionByName(many)
+
+
+def _runs(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Counts of the terms of an array: the lengths of its runs once it is sorted."""
+    ordered = rows.select("doc", *keep, F.sort_array("t").alias("t"), F.size("t").alias("dl"))
+    first = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    starts = ordered.withColumn("starts", first)
+    run = F.transform("starts", lambda i, j: F.struct(
+        F.get("t", i).alias("term"), (F.coalesce(F.get("starts", j + 1), F.col("dl")) - i).alias("tf")))
+    return starts.select("doc", *keep, "dl", F.explode(run).alias("r")).select("doc", *keep, "r.term", "r.tf", "dl")
+
+
+def bm25_impacts(rows: DataFrame, docs: DataFrame, doc_id: str, text: str, k1: float = rules.BM25_K1, b: float = rules.BM25_B,
+                 stop_words=None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, *keep, term, weight): the part of BM25 that the document decides; the idf belongs to the query.
+
+    ``rows`` (doc, text, *keep) are the texts of ``docs`` that are wanted, lengths are compared with the mean of ``docs``.
+    """
+    lengths = docs.select(F.when(F.col(doc_id).isNotNull(), F.size(tokens(text, stop_words))).alias("dl"))
+    # size of a null text is null or -1, by the session's settings
+    mean = lengths.agg((F.sum(F.greatest("dl", F.lit(0))) / F.count(F.lit(1))).alias("m")).scalar()
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
+    return row_terms(rows, "doc", "text", stop_words, keep).select("doc", *keep, "term", part.alias("weight"))
+
+
+def bm25_idf(docs: DataFrame, doc_id: str, text: str, stop_words=None) -> DataFrame:
+    """(term, idf); totals of a term are combined before they are shuffled."""
+    df = row_terms(docs, doc_id, text, stop_words).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return df.select("term", F.log(1.0 + (n_docs(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+
+def bm25_queries(queries: DataFrame, query_id: str, text: str, idf: DataFrame, stop_words=None) -> DataFrame:
+    """(query, term, qw): each distinct term of a query weighs its idf; the postings are ``bm25_impacts``."""
     counts = term_counts(queries, query_id, text, 1, stop_words)
-    return counts.select(F.col("doc").alias("query"), "term", F.lit(1.0).alias("qw"))
+    return counts.join(idf, "term").select(F.col("doc").alias("query"), "term", F.col("idf").alias("qw"))
 
 
 def bm25_search(postings: DataFrame, queries: DataFrame, query_id: str, text: str, k: int = 10, stop_words=None) -> DataFrame:

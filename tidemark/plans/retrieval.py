@@ -363,16 +363,24 @@ def bm25_search(t):
     return L.bm25_search(saved_index(t, "bm25", bm25_parts)["postings"], t.benchmark, "item_id", "text", 10)
 
 
+def write_blocks(t, kind, folder):
+    if kind == "tfidf":
+        BM.write_index(BM.block_index(saved_index(t, "tfidf", tfidf_parts)["postings"]), f"{folder}/blocks")
+        return
+    index, idf = BM.bm25_index(t.spread("documents", "doc_id", "text"), "doc_id", "text")
+    BM.write_index(index, f"{folder}/blocks")
+    idf.write.parquet(f"{folder}/idf")
+
+
 def block_search(t, kind, floor=None, k=10):
-    """A search with bounds over the saved postings of ``kind``, whose blocks are saved once as well."""
-    parts = saved_index(t, kind, tfidf_parts if kind == "tfidf" else bm25_parts)
-    folder = saved_folder(t, f"{kind}_blocks", lambda t, to: BM.write_index(BM.block_index(parts["postings"]), to), "documents")
+    """A search with bounds over the saved blocks of ``kind``."""
+    folder = saved_folder(t, f"{kind}_blocks", lambda t, to: write_blocks(t, kind, to), "documents")
     if kind == "tfidf":
-        asked = L.tfidf_queries(t.benchmark, "item_id", "text", parts["vocabulary"])
+        asked = L.tfidf_queries(t.benchmark, "item_id", "text", saved_index(t, "tfidf", tfidf_parts)["vocabulary"])
     else:
-        asked = L.bm25_queries(t.benchmark, "item_id", "text")
-    doc_type = parts["postings"].schema["doc"].dataType.simpleString()
-    return BM.Search(BM.read_index(t.spark, folder, doc_type), asked, k, floor)
+        asked = L.bm25_queries(t.benchmark, "item_id", "text", t.spark.read.parquet(f"{folder}/idf"))
+    doc_type = t.documents.schema["doc_id"].dataType.simpleString()
+    return BM.Search(BM.read_index(t.spark, f"{folder}/blocks", doc_type), asked, k, floor)
 
 
 @query("tfidf_search_blocks", ORACLES["tfidf_search"])
