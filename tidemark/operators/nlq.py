@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark import rules
 from tidemark.functions.scalar import contains_any, first_rule, mean
 from tidemark.operators.blocks import keep_topk
+from tidemark.sources.scratch import stored
 
 ANCHOR = 4
 
@@ -27,28 +28,31 @@ def extract_entities(questions: DataFrame, names: DataFrame, limit: int = rules.
     characters (fewer for shorter names) in the list of keys, one row per key, which tells the
     lengths of the names that start so. Then the substring of each such length is looked up among
     the distinct names. The rows in between carry a short piece of text, not the text, and a key
-    shared by a third of all names adds one row per name length only.
+    shared by a third of all names adds one row per name length only. Distinct names and keys are
+    stored first: Spark knows their size then, and where they are small no position of a text is shuffled.
     """
     conf = F.when(F.col("type") == "table", 0.8).when(F.col("type") == "column", 0.7).otherwise(0.6)
     n = names.where(F.length("name") > 0).withColumn("confidence", conf)
     first = n.groupBy("name").agg(F.min_by(F.struct("type", "confidence", "seq"), F.struct((-F.col("confidence")).alias("c"), "seq")).alias("b"))
-    distinct = first.select("name", F.lower("name").alias("low"), "b.*")
+    distinct = stored(first.select("name", F.lower("name").alias("low"), "b.*"), "names")
     keyed = distinct.select(F.substring("low", 1, ANCHOR).alias("key"), F.length("low").alias("size"))
-    keys = keyed.groupBy("key").agg(F.collect_set("size").alias("sizes"))
+    keys = stored(keyed.groupBy("key").agg(F.collect_set("size").alias("sizes")), "keys")
     known = keys.agg(F.collect_set(F.length("key")).alias("k"), F.max(F.array_max("sizes")).alias("m")).first()
     key_sizes, longest = sorted(known["k"]), known["m"] or ANCHOR
-    texts = questions.select("question").where(F.length("question") > 0).distinct().select(
-        F.sha2("question", 256).alias("text_id"), F.lower("question").alias("text"))
+    text_id = F.unhex(F.sha2("question", 256)).alias("text_id")
+    texts = questions.select("question").where(F.length("question") > 0).distinct().select(text_id, F.lower("question").alias("text"))
     at = texts.select("text_id", F.posexplode(F.transform(
         F.sequence(F.lit(1), F.length("text")), lambda i: F.substring(F.col("text"), i, F.lit(longest)))).alias("position", "piece"))
     cuts = F.explode(F.array(*[F.when(F.length("piece") >= s, F.substring("piece", 1, s)) for s in key_sizes] or [F.lit(None).cast("string")]))
     probes = at.select("text_id", "position", "piece", cuts.alias("key")).where("key IS NOT NULL").join(keys, "key")
     found = probes.select("text_id", "position", "piece", F.explode("sizes").alias("size")).where(
         F.length("piece") >= F.col("size")).select("text_id", "position", F.expr("substring(piece, 1, size)").alias("low"))
-    hits = found.groupBy("text_id", "low").agg(F.min("position").alias("position")).join(distinct, "low")
+    # only what is a name goes on to its text
+    held = found.join(distinct.select("low"), "low", "left_semi")
+    hits = held.groupBy("text_id", "low").agg(F.min("position").alias("position")).join(distinct, "low")
     top = keep_topk(hits, ["text_id"], [F.desc("confidence"), F.col("seq"), F.col("name")], limit)
     top = top.select("text_id", F.col("name").alias("entity"), "type", "confidence", "position", "rank")
-    return questions.select("question_id", F.sha2("question", 256).alias("text_id")).join(top, "text_id").drop("text_id")
+    return questions.select("question_id", text_id).join(top, "text_id").drop("text_id")
 
 
 def validate_entities(raw: DataFrame, threshold: float = rules.ENTITY_CONFIDENCE, limit: int = rules.MAX_ENTITIES) -> DataFrame:
