@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.clean import apply_types, decide_types, rename_clean
 from tidemark.operators.embed import HashEmbedder, embed_batch
 from tidemark.operators.profile import profile_columns
 
+TASK_ROWS = 100_000  # rows that one task profiles and embeds
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a scan on as many tasks as their number asks for: splits are cut by bytes, and packed rows are short."""
+    n = ceil(rows.count() / TASK_ROWS)
+    return rows.repartition(n, F.xxhash64(*[f"`{c}`" for c in rows.columns])) if n > rows.rdd.getNumPartitions() else rows
+
 
 def ingest_stream(stream: DataFrame, out: str, checkpoint: str, table: str, text: str | None = None, key: str | None = None,
                   types: dict[str, str] | None = None, factory=HashEmbedder):
@@ -25,7 +35,7 @@ def ingest_stream(stream: DataFrame, out: str, checkpoint: str, table: str, text
         clean = apply_types(clean, types if types is not None else decide_types(clean))
         where = lambda part: f"{out}/{part}/batch={batch_id}"
         clean.write.mode("overwrite").parquet(where("rows"))
-        written = batch.sparkSession.read.parquet(where("rows"))
+        written = dealt(batch.sparkSession.read.parquet(where("rows")))
         profile_columns(written, table).write.mode("overwrite").parquet(where("profiles"))
         if text and key:
             objects = written.select(F.col(key).alias("object_id"), F.col(text).alias("text")).dropDuplicates(["object_id"])
