@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 SMALL_SIDE_ROWS = 2048
 SMALL_SIDE_BYTES = 64 << 20
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 4096  # rows of a side that are scored at once
+MEET_ROWS = 32768  # rows of a side that meet in one task
 
 Scorer = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 
@@ -28,7 +29,9 @@ def block_topk(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id:
 
     ``small_queries`` broadcasts the query side; more than SMALL_SIDE_ROWS rows or SMALL_SIDE_BYTES are
     an error then, not another plan. ``prune`` cuts the union of two local results back to the best per
-    query, so a partition emits one result however many batches it reads. ``rebalance`` spreads a corpus of few rows that are
+    query, so a partition emits one result however many batches it reads. Up to MEET_ROWS of a side meet in one
+    task, less where that leaves cores without work, but not less than ``block_rows``, which ``score`` takes at
+    once: a row is copied once per meeting of its side, so small meetings would copy most. ``rebalance`` spreads a corpus of few rows that are
     costly to score over all cores.
     """
     if small_queries:
@@ -51,7 +54,9 @@ def block_topk(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id:
             corpus = corpus.repartition(spark.sparkContext.defaultParallelism, corpus_id)
         return corpus.mapInPandas(scan, schema)
     n_queries, n_corpus = queries.count(), corpus.count()
-    qb, cb = max(1, ceil(n_queries / block_rows)), max(1, ceil(n_corpus / block_rows))
+    side = ceil((2 * queries.sparkSession.sparkContext.defaultParallelism) ** 0.5)
+    parts = lambda n: max(1, ceil(n / MEET_ROWS), min(ceil(n / block_rows), side))
+    qb, cb = parts(n_queries), parts(n_corpus)
     if rebalance:
         cb = max(cb, min(n_corpus, queries.sparkSession.sparkContext.defaultParallelism))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")

@@ -6,8 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.operators.blocks import block_topk, keep_topk
+from tidemark.operators.blocks import BLOCK_ROWS, block_topk, keep_topk
 
+ROUNDING = 1e-6  # scores have six decimals
 METRICS = ("cosine", "l2", "dot")
 
 
@@ -62,35 +63,56 @@ def _matrix(col: pd.Series, unit: bool) -> np.ndarray:
     return m
 
 
-def _scorer(k: int, metric: str, min_score: float | None, exclude_self: bool):
-    def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        a, b = _matrix(q["qv"], metric == "cosine"), _matrix(c["cv"], metric == "cosine")
+def _scorer(k: int, metric: str, min_score: float | None, exclude_self: bool, block_rows: int = BLOCK_ROWS):
+    """Best ``k`` of every query; ``block_rows`` of each side are scored at once, which bounds the memory.
+
+    Scores are ranked on six decimals, ties by id, so that the same rows win everywhere. Only what reaches the
+    k-th best score of the pieces before it is rounded and ranked.
+    """
+    floor = -np.inf if min_score is None else min_score
+
+    def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if metric == "l2":
             d2 = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T), 0.0)
-            s = 1.0 / (1.0 + np.sqrt(d2))
-        else:
-            s = a @ b.T
-        # ranked on six decimals, ties by id, so that the same rows win everywhere
-        s = np.round(s, 6)
-        ids = c["cid"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        s, ids = s[:, order], ids[order]
-        out_q, out_c, out_s = [], [], []
-        keep = k + 1 if exclude_self else k
-        for i, qid in enumerate(q["qid"].to_numpy()):
-            row = s[i]
-            live = np.flatnonzero(~np.isnan(row) if min_score is None else row >= min_score)
+            return 1.0 / (1.0 + np.sqrt(d2))
+        return a @ b.T
+
+    def best(a: np.ndarray, qids: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        kth = np.full(len(qids), floor)
+        held = np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0)
+        for at in range(0, len(ids), block_rows):
+            s = scores(a, b[at:at + block_rows])
             if exclude_self:
-                live = live[ids[live] != qid]
-            if len(live) > keep:
-                # everything at or above the k-th score, then a stable sort settles the ties
-                cut = np.partition(row[live], len(live) - keep)[len(live) - keep]
-                live = live[row[live] >= cut]
-            top = live[np.argsort(-row[live], kind="stable")][:k]
-            out_q += [qid] * len(top)
-            out_c += ids[top].tolist()
-            out_s += row[top].tolist()
-        return pd.DataFrame({"qid": out_q, "cid": out_c, "score": out_s})
+                s[qids[:, None] == ids[None, at:at + block_rows]] = np.nan
+            cut = kth - ROUNDING
+            if at == 0 and s.shape[1] > k:
+                # a score that is no number ranks below all
+                cut = np.maximum(cut, np.partition(np.where(np.isnan(s), -np.inf, s), -k, axis=1)[:, -k] - ROUNDING)
+            rows, cols = np.nonzero(s >= cut[:, None])
+            found = np.round(s[rows, cols], 6)
+            live = found >= floor
+            if not live.any():
+                continue
+            rows, cols, found = (np.concatenate([x, y[live]]) for x, y in zip(held, (rows, cols + at, found)))
+            order = np.lexsort((cols, -found, rows))
+            rows, cols, found = rows[order], cols[order], found[order]
+            rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            last = rank == k - 1
+            kth[rows[last]] = found[last]
+            held = rows[rank < k], cols[rank < k], found[rank < k]
+        return held
+
+    def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        a, b = _matrix(q["qv"], metric == "cosine"), _matrix(c["cv"], metric == "cosine")
+        qids, ids = q["qid"].to_numpy(), c["cid"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        b, ids = b[order], ids[order]
+        out = []
+        for at in range(0, len(qids), block_rows):
+            some = qids[at:at + block_rows]
+            rows, cols, found = best(a[at:at + block_rows], some, b, ids)
+            out.append(pd.DataFrame({"qid": some[rows], "cid": ids[cols], "score": found}))
+        return pd.concat(out, ignore_index=True)
 
     return score
 
@@ -120,7 +142,7 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "cosi
     schema = f"qid {queries.schema['qid'].dataType.simpleString()}, cid {corpus.schema['cid'].dataType.simpleString()}, score double"
     left, right = usable(queries.select("qid", "qv"), "qv"), usable(corpus.select("cid", "cv"), "cv")
     local = block_topk(left, right, "qid", "cid",
-                       _scorer(k, metric, min_score, exclude_self), schema, _pruner(k), **block_sizes)
+                       _scorer(k, metric, min_score, exclude_self, block_sizes.get("block_rows", BLOCK_ROWS)), schema, _pruner(k), **block_sizes)
     return keep_topk(local, ["qid"], [F.desc("score"), F.col("cid")], k)
 
 
