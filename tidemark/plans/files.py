@@ -4,10 +4,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark import rules
 from tidemark.functions import scalar as S
-from tidemark.operators import clean, lexical as L
+from tidemark.operators import clean
 from tidemark.plans.registry import ORACLES, query
-from tidemark.plans import retrieval  # noqa: F401 - its oracle is shared below
+from tidemark.plans import retrieval
 from tidemark.sources import files, sinks
 from tidemark.sources.scratch import scratch_dir
 
@@ -93,10 +94,9 @@ def export_csv(t):
 @query("index_save_load", ORACLES["tfidf_search"])
 def index_save_load(t):
     path = f"{scratch_dir(t.spark, 'index')}/tfidf"
-    postings, vocab = L.tfidf_build(t.spread("documents", "doc_id", "text"), "doc_id", "text")
-    sinks.save_index({"postings": postings, "vocabulary": vocab}, path, {"type": "tfidf"})
-    parts, _ = sinks.load_index(t.spark, path)
-    return L.tfidf_search(parts["postings"], L.tfidf_queries(t.benchmark, "item_id", "text", parts["vocabulary"]), 10)
+    sinks.save_index(retrieval.tfidf_parts(t), path, {"type": "tfidf"})
+    index, _ = sinks.load_index(t.spark, path)
+    return retrieval.tfidf_hits(index, t.benchmark, "item_id", "text", 10, rules.SEARCH_MIN_SCORE)
 
 
 @query("workbook_names", "SELECT page_id, lower(trim(regexp_replace('book_' || url, '[^a-zA-Z0-9]+', '_', 'g'), '_')) AS table_name FROM pages")
