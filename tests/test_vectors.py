@@ -124,3 +124,45 @@ def test_delete_scope(spark):
     assert (kept.count(), n.first()[0]) == (1, 2)
     kept, n = E.delete_scope(df, 1, "table")
     assert (kept.count(), n.first()[0]) == (2, 1)
+
+
+def test_pieces_of_a_meeting_keep_the_rows_of_brute_force():
+    """Ties, repeated ids, zero vectors and floors over several pieces of a meeting."""
+    import numpy as np
+    import pandas as pd
+
+    from tidemark.operators.vector import _scorer
+
+    rng = np.random.default_rng(3)
+    vecs = rng.integers(-1, 2, (60, 3)).astype("float32")  # many equal directions, some of length zero
+    ids = np.concatenate([np.arange(55), np.arange(5)])
+    q, c = pd.DataFrame({"qid": ids, "qv": list(vecs)}), pd.DataFrame({"cid": ids[::-1], "cv": list(vecs[::-1])})
+    with np.errstate(divide="ignore", invalid="ignore"):
+        u = vecs.astype(float) / np.linalg.norm(vecs.astype(float), axis=1, keepdims=True)
+    for floor, alone, step in ((None, True, 7), (0.5, False, 7), (None, False, 1000), (None, True, 1)):
+        got = _scorer(4, "cosine", floor, alone, step)(q, c)
+        want = []
+        for i, x in enumerate(ids):
+            hits = [(-round(float(u[i] @ u[j]), 6), int(y)) for j, y in enumerate(ids) if not (alone and x == y)]
+            hits = sorted(h for h in hits if h[0] == h[0] and (floor is None or -h[0] >= floor))[:4]
+            want += [(int(x), y, -s) for s, y in hits]
+        assert sorted(zip(got["qid"], got["cid"], got["score"] + 0.0)) == sorted((x, y, s + 0.0) for x, y, s in want)
+
+
+def test_a_row_is_copied_once_per_meeting_not_per_piece(spark):
+    """Small pieces do not make small meetings."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import blocks
+
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.range(1200)
+
+    def score(q, c):
+        seen.add(len(q))
+        return q.rename(columns={"qid": "a"})[["a"]].head(0)
+
+    blocks.block_topk(rows.select(F.col("id").alias("qid")), rows.select(F.col("id").alias("cid")), "qid", "cid",
+                      score, "a bigint", None, block_rows=4).collect()
+    cores = spark.sparkContext.defaultParallelism
+    assert seen.value <= 1200 * ((2 * cores) ** 0.5 + 1)  # 300 copies of each row before
