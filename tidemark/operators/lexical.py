@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemark import rules
 from tidemark.functions.text import ngrams, tokens
+from tidemark.operators import segments as S
 from tidemark.operators.blocks import keep_topk
+from tidemark.sources.scratch import stored
 
 HOT_DOCS = 1 << 20  # documents of a term that meet in one task
-SENT_TERMS = 100_000  # a vocabulary capped to so many terms is sent to the texts
+SENT_TERMS = 100_000  # a vocabulary capped to so many terms is sent to the texts, up to so many query terms to an index
 COUNTED_ROWS = 64  # texts whose words are Python strings together
 
 def terms_of(docs: DataFrame, doc_id: str, text: str, n_max: int = 2, stop_words=None) -> DataFrame:
@@ -102,22 +104,75 @@ def tfidf_build(docs: DataFrame, doc_id: str, text: str, max_features: int | Non
                 n_max: int = 2, stop_words=None) -> tuple[DataFrame, DataFrame]:
     """(postings: doc, term, weight; vocabulary: term, df, idf). Rows of a document have unit norm.
 
-    All terms are kept, or with ``max_features`` the most frequent ones, ties by term: then only totals of terms
-    are shuffled before the terms outside are dropped, and the vocabulary, bounded by the parameter, is sent to
-    the texts up to SENT_TERMS terms. An index to search is ``tfidf_postings`` with ``tfidf_norms``.
+    All terms are kept; then texts are counted and weighed in segments, which are stored first. Or with
+    ``max_features`` the most frequent ones are, ties by term: then only totals of terms are shuffled before the
+    terms outside are dropped, and the vocabulary, bounded by the parameter, is sent to the texts up to SENT_TERMS
+    terms. An index to search is ``tfidf_index``.
     """
+    if not max_features:
+        index = stored(S.segments(docs, doc_id, text, n_max, stop_words), "segments")
+        vocab = S.vocabulary(index).select("term", "df", idf_of(n_docs(docs)).alias("idf"))
+        return S.weights(index, S.document_counts(index), docs.count()), vocab
     rows = row_terms(docs, doc_id, text, stop_words, n_max=n_max)
     totals = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    if max_features:
-        totals = totals.orderBy(F.desc("total"), "term").limit(max_features)
+    totals = totals.orderBy(F.desc("total"), "term").limit(max_features)
     vocab = totals.select("term", "df", idf_of(n_docs(docs)).alias("idf"))
-    if max_features:
-        raw = rows.join(F.broadcast(vocab) if max_features <= SENT_TERMS else vocab, "term")
-    else:
-        raw = tfidf_postings(docs, doc_id, text, n_max, stop_words)
+    raw = rows.join(F.broadcast(vocab) if max_features <= SENT_TERMS else vocab, "term")
     return unit_weights(raw.select("doc", "term", (F.col("tf") * F.col("idf")).alias("w")), "doc", "weight"), vocab
 
 
+def tfidf_index(docs: DataFrame, doc_id: str, text: str, n_max: int = 2, stop_words=None) -> dict:
+    """Parts of an index to save (``sinks.save_index``): packed postings, the texts of each term, documents with their norms.
+
+    The parts hold what ``tfidf_postings`` and ``tfidf_norms`` hold, without a row per posting.
+    """
+    return {"postings": S.segments(docs, doc_id, text, n_max, stop_words),
+            "counts": lambda saved: S.document_counts(saved["postings"]),
+            "documents": lambda saved: S.norms(saved["postings"], saved["counts"], docs.count())}
+
+
+def index_norms(index: dict[str, DataFrame]) -> DataFrame:
+    """(doc, norm) of a saved ``tfidf_index``."""
+    return index["documents"].select(F.explode(F.arrays_zip("ids", "norms")).alias("x")).select(F.col("x.ids").alias("doc"), F.col("x.norms").alias("norm"))
+
+
+class Asked:
+    """What queries ask of a saved ``tfidf_index``: their terms and, where these are few, the postings of those, stored.
+
+    More than ``limit`` query terms are not sent to the index: its rows are joined with them.
+    """
+
+    def __init__(self, index: dict[str, DataFrame], queries: DataFrame, query_id: str, text: str, n_max: int = 2, stop_words=None, limit: int = SENT_TERMS):
+        self.index, self.spark = index, queries.sparkSession
+        rows = term_counts(queries, query_id, text, n_max, stop_words)
+        self.n_texts = index["documents"].agg(F.max("texts")).first()[0] or 0
+        held = rows.limit(limit + 1).collect()
+        self.sent = len(held) <= limit
+        if not self.sent:
+            vocab = S.vocabulary(index["postings"]).join(rows.select("term").distinct(), "term", "left_semi")
+            self.vocab = vocab.select("term", idf_of(F.lit(self.n_texts)).alias("idf"))
+            return
+        terms = sorted({r["term"] for r in held})
+        self.rows = stored(S.asked_rows(index["postings"], terms), "asked")
+        df = S.asked_counts(self.rows)
+        self.places = {t: i for i, t in enumerate(terms) if i in df}
+        found = self.spark.createDataFrame([(t, df[i]) for t, i in self.places.items()], "term string, df bigint")
+        self.vocab = found.select("term", idf_of(F.lit(self.n_texts)).alias("idf"))
+
+    def search(self, query_terms: DataFrame, k: int = 10, min_score: float | None = rules.SEARCH_MIN_SCORE) -> DataFrame:
+        """(query, doc, score, rank) like ``tfidf_search``, of (query, term, qw) by ``tfidf_queries`` with ``vocab``."""
+        if not self.sent:
+            postings = S.weights(self.index["postings"], self.index["counts"], self.n_texts)
+            return tfidf_search(postings, query_terms, k, min_score)
+        asked = query_terms.join(self.vocab, "term").select("query", "term", (F.col("qw") * F.col("idf")).alias("w"))
+        queries: dict = {}
+        for r in asked.collect():  # at most SENT_TERMS
+            queries.setdefault(r["query"], []).append((self.places[r["term"]], r["w"]))
+        names = self.spark.createDataFrame(list(enumerate(queries)), f"at int, query {query_terms.schema['query'].dataType.simpleString()}")
+        hits = S.best(self.rows, self.index["documents"], list(queries.values()), k, min_score).join(names, "at")
+        return keep_topk(hits.select("query", "doc", "score"), ["query"], [F.desc("score"), F.col("doc")], k)
+
+
 def unit_weights(raw: DataFrame, key: str, out: str) -> DataFrame:
     """Scale the weights of each ``key`` to unit length: one shuffle, no join.
 

@@ -305,8 +305,7 @@ _KW = f"""{_TFIDF}, qc AS (SELECT id, term, count(*) AS tf FROM ({_terms('benchm
 
 
 def tfidf_parts(t):
-    postings = L.tfidf_postings(t.spread("documents", "doc_id", "text"), "doc_id", "text")
-    return {"postings": postings, "norms": lambda saved: L.tfidf_norms(saved["postings"])}
+    return L.tfidf_index(t.spread("documents", "doc_id", "text"), "doc_id", "text")
 
 
 def bm25_parts(t):
@@ -319,8 +318,8 @@ def bm25_parts(t):
 
 def tfidf_hits(index, queries, query_id, text, k, min_score=None):
     """A search over the saved parts of a TF-IDF index."""
-    asked = L.tfidf_queries(queries, query_id, text, L.asked_vocabulary(index["postings"], queries, query_id, text))
-    return L.tfidf_search(L.asked_weights(index["postings"], index["norms"], asked), asked, k, min_score)
+    asked = L.Asked(index, queries, query_id, text)
+    return asked.search(L.tfidf_queries(queries, query_id, text, asked.vocab), k, min_score)
 
 
 def bm25_hits(index, queries, query_id, text, k):
@@ -379,7 +378,7 @@ def bm25_search(t):
 def write_blocks(t, kind, folder):
     docs = t.spread("documents", "doc_id", "text")
     if kind == "tfidf":
-        BM.write_index(BM.tfidf_index(docs, "doc_id", "text", saved_index(t, "tfidf", tfidf_parts)["norms"]), f"{folder}/blocks")
+        BM.write_index(BM.tfidf_index(docs, "doc_id", "text", L.index_norms(saved_index(t, "tfidf", tfidf_parts))), f"{folder}/blocks")
         return
     index, idf = BM.bm25_index(docs, "doc_id", "text")
     BM.write_index(index, f"{folder}/blocks")
@@ -390,7 +389,7 @@ def block_search(t, kind, floor=None, k=10):
     """A search with bounds over the saved blocks of ``kind``."""
     folder = saved_folder(t, f"{kind}_blocks", lambda t, to: write_blocks(t, kind, to), "documents")
     if kind == "tfidf":
-        vocab = L.asked_vocabulary(saved_index(t, "tfidf", tfidf_parts)["postings"], t.benchmark, "item_id", "text")
+        vocab = L.Asked(saved_index(t, "tfidf", tfidf_parts), t.benchmark, "item_id", "text").vocab
         asked = L.with_idf(L.tfidf_queries(t.benchmark, "item_id", "text", vocab), vocab)
     else:
         asked = L.bm25_queries(t.benchmark, "item_id", "text", t.spark.read.parquet(f"{folder}/idf"))
