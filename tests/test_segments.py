@@ -84,3 +84,12 @@ def test_empty_tables(spark, tmp_path):
         parts, _ = sinks.load_index(spark, f"{tmp_path}/{i}")
         found = L.Asked(parts, a, "q", "body")
         assert found.search(L.tfidf_queries(a, "q", "body", found.vocab)).collect() == []
+
+
+def test_the_build_moves_its_segments_once(spark):
+    docs = spark.createDataFrame([r for r in TEXTS if r[0] != 4], "id bigint, body string")
+    built, _ = L.tfidf_build(docs, "id", "body")
+    one = built.agg(F.count("*").alias("n"))
+    assert one.first()["n"] == sum(len(c) for c in counted([r for r in TEXTS if r[0] != 4], 2).values())
+    one.collect()
+    assert one._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ReusedExchange") == 1

@@ -104,13 +104,14 @@ def tfidf_build(docs: DataFrame, doc_id: str, text: str, max_features: int | Non
                 n_max: int = 2, stop_words=None) -> tuple[DataFrame, DataFrame]:
     """(postings: doc, term, weight; vocabulary: term, df, idf). Rows of a document have unit norm.
 
-    All terms are kept; then texts are counted and weighed in segments, which are stored first. Or with
+    All terms are kept; then texts are counted and weighed in segments, which move once: the counts of their
+    terms and the weights read the same exchange. Or with
     ``max_features`` the most frequent ones are, ties by term: then only totals of terms are shuffled before the
     terms outside are dropped, and the vocabulary, bounded by the parameter, is sent to the texts up to SENT_TERMS
     terms. An index to search is ``tfidf_index``.
     """
     if not max_features:
-        index = stored(S.segments(docs, doc_id, text, n_max, stop_words), "segments")
+        index = S.segments(docs, doc_id, text, n_max, stop_words).repartition("segment")
         vocab = S.vocabulary(index).select("term", "df", idf_of(n_docs(docs)).alias("idf"))
         return S.weights(index, S.document_counts(index), docs.count()), vocab
     rows = row_terms(docs, doc_id, text, stop_words, n_max=n_max)

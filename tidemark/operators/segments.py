@@ -169,7 +169,7 @@ def segments(docs: DataFrame, doc_id: str, text: str, n_max: int = 2, stop_words
 
     Texts are counted where they lie. Texts whose id repeats count as one text; only they are shuffled. One look
     at the texts tells their size, which gives the number of shards, one at the ids whether any repeats. No document
-    is in two segments. To be stored before it is read twice.
+    is in two segments. To be stored before two jobs read it; the readers of one job may share an exchange of it.
     """
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     shards = max(1, ceil(chars / shard_chars))
@@ -239,8 +239,13 @@ def document_counts(index: DataFrame) -> DataFrame:
         back = [pack(x) for x in np.split(df, np.cumsum([len(t) for t in terms])[:-1])]
         return pa.table({"segment": found.column("segment"), "shard": found.column("shard"), "df": pa.array(back, pa.binary())})
 
-    rows = index.select("segment", "shard", "lengths", "chars", "ns")
-    return rows.groupBy("shard").applyInArrow(count, f"segment {_kind(index)}, shard int, df binary")
+    return _terms_only(index).groupBy("shard").applyInArrow(count, f"segment {_kind(index)}, shard int, df binary")
+
+
+def _terms_only(index: DataFrame) -> DataFrame:
+    """The columns that the counts need. A cut that Spark can't see through, so that an exchange below is the same for all readers."""
+    names = ["segment", "shard", "lengths", "chars", "ns"]
+    return index.mapInArrow(lambda batches: (b.select(names) for b in batches), f"segment {_kind(index)}, shard int, lengths binary, chars binary, ns binary")
 
 
 def _kind(index: DataFrame) -> str:
